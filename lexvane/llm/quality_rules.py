@@ -16,7 +16,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated 3-word windows
 #: The least mean log-likelihood ratio (nats an n-gram) of a kept document.
-THRESHOLD = -0.065
+THRESHOLD = -0.05
 
 
 def _hashes(words: Column) -> Column:
@@ -29,6 +29,12 @@ def _gram(hashes: Column, h: Column, i: Column, second: bool, buckets: int) -> C
     return value.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
+def _without(text: Column, characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def _with_hashes(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     return docs.select(*keep, space_words(F.col(text).cast("string")).alias("_words")).select("*", _hashes(F.col("_words")).alias("_h"))
 
@@ -45,7 +51,7 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     words = _with_hashes(marked, "_text", [F.coalesce("_trusted", F.lit(0)).alias("_t")])
     h = F.col("_h")
     gram = lambda second: F.transform(h, lambda x, i: _gram(h, x, i, second, buckets))
-    grams = words.select("_t", F.explode(F.concat(gram(False), gram(True))).alias("bucket"))
+    grams = words.select("_t", F.explode_outer(F.concat(gram(False), gram(True))).alias("bucket")).filter("bucket is not null")  # outer: else Spark computes the arrays once more, to filter
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
     return _weights({r["bucket"]: (r["raw"], r["target"]) for r in rows.collect()}, buckets)  # at most `buckets` rows
 
@@ -75,14 +81,15 @@ def judge(docs: DataFrame, weights: list[int], key: str = "doc_id", text: str =
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = [key] if keep is None else keep
     base = docs.select(*out, body.alias("_body"), space_words(body).alias("_words"))
-    base = base.select(*out, "_body", F.size("_words").cast("long").alias("_n"), _hashes(F.col("_words")).alias("_h"), (F.length("_body") - F.length(F.translate("_body", SYMBOLS, ""))).cast("long").alias("_symbols"), F.length(F.translate("_body", SPACES, "")).cast("long").alias("_chars"))
+    base = base.select(*out, "_body", F.size("_words").cast("long").alias("_n"), _hashes(F.col("_words")).alias("_h"), (F.length("_body") - F.length(_without(F.col("_body"), SYMBOLS))).cast("long").alias("_symbols"), F.length(_without(F.col("_body"), SPACES)).cast("long").alias("_chars"))
     base = base.withColumn("_lines", F.filter(F.split("_body", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != ""))
     h = F.col("_h")
     window = lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))
     whole = lambda array: F.slice(array, 1, F.greatest(F.size(h) - 2, F.lit(0)))
     base = base.withColumn("_windows", whole(F.transform(h, window)))
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")  # most texts have none, and need no order
-    base = base.withColumn("_order", F.when(repeats, F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    base = base.withColumn("_sorted", F.sort_array("_windows"))
+    again = F.size(F.filter("_sorted", lambda x, i: x == F.get(F.col("_sorted"), i + 1))) > 0  # most texts repeat no window, and need no places
+    base = base.withColumn("_order", F.when(again, F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     base = base.withColumn("_places", _repeated_places(F.col("_order")))
     places = F.col("_places")
     covered = F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
@@ -93,7 +100,9 @@ def judge(docs: DataFrame, weights: list[int], key: str = "doc_id", text: str =
     llr = F.when(n > 0, total / (2 * n * SCALE).cast("double")).otherwise(F.lit(0.0))
     rows = base.select(*out, n.alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated.cast("long").alias("n_repeat_words"), llr.alias("llr"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return rows.select(*out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
+    verdict = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
+    # One row in, one row out: without this step a filter on the verdict would move below the arrays and compute them for each word.
+    return rows.select(*out, F.explode(F.array(verdict)).alias("v")).select(*out, "v.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
