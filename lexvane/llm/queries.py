@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexvane.llm import bpe, packing, quality_rules, sharding, url_filter
+from lexvane.llm import bpe, near_dup, packing, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op3_rendezvous_sharding": sharding.query,
+    "op4_minhash_near_dedup": near_dup.query,
     "op5_url_redirects": url_filter.query,
     "op9_bpe_trie": bpe.query,
     "op10_best_two_fit": packing.query,
