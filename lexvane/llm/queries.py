@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexvane.llm import bpe, near_dup, packing, quality_rules, sharding, url_filter
+from lexvane.llm import bpe, near_dup, packing, quality_rules, sharding, topk, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_exact_top_k": topk.query,
     "op3_rendezvous_sharding": sharding.query,
     "op4_minhash_near_dedup": near_dup.query,
     "op5_url_redirects": url_filter.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_best_two_fit": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": topk.ORACLE}
