@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexvane.llm import bpe, near_dup, packing, quality_rules, sharding, topk, url_filter
+from lexvane.llm import bpe, classifier, licences, line_dedup, near_dup, packing, quality_rules, sharding, topk, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_rendezvous_sharding": sharding.query,
     "op4_minhash_near_dedup": near_dup.query,
     "op5_url_redirects": url_filter.query,
+    "op6_licence_scan": licences.query,
+    "op7_line_dedup": line_dedup.query,
+    "op8_quality_classifier": classifier.query,
     "op9_bpe_trie": bpe.query,
     "op10_best_two_fit": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": topk.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
