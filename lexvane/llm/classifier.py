@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexvane.llm.bpe import groups
 from lexvane.llm.common import table
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns in keep (default: the key), score double from 0 to 1, predicted int; a row for each row, no shuffle."""
     names = [key] if keep is None else keep
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    schema = T.StructType([*docs.select(*names).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +156,7 @@ def score(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
                 p = trees.score(statistics(texts[start:stop]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.select(*names, F.col(text).cast("string").cast("binary").alias("_text")).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.select(*names, F.col(text).cast("string").cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +168,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents that a model from the labelled part of the whole corpus takes for good."""
     trees = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(docs, trees, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("_row"))  # whole rows, so that no column name can clash
+    return score(rows, trees, keep=["_row"]).filter("predicted = 1").select("_row.*")

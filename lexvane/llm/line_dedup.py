@@ -60,11 +60,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents without the boilerplate lines of their source; n_chars follows the text."""
-    out = drop_lines(docs)
+    out = drop_lines(docs.select("source", "text", F.struct("*").alias("_row")))  # whole rows, so that no column name can clash
+    changed = F.col("n_dropped") > 0
+    row = F.col("_row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")))
+    return out.select(row.alias("_row")).select("_row.*")
 
 
 ORACLE = f"""

@@ -118,4 +118,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents that the rules keep, with their own columns."""
     weights = fit_weights(docs, trusted_ids(table(spark, sf_dir, "labels")))
-    return judge(docs, weights, keep=docs.columns).filter("kept").select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("_row"))  # whole rows, so that no column name can clash
+    return judge(rows, weights, keep=["_row"]).filter("kept").select("_row.*")
