@@ -239,3 +239,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, max_broadcast: int
     if repeated.isEmpty():
         return kept
     return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
+#: All pairs that share a shingle: only for small tables.
+ORACLE = r"""
+with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, case when w is null or len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) end as s from words),
+shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+shared as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as both_ from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id where 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n) group by 1, 2),
+links as (select a, b from shared where 100 * both_ >= 80 * (na + nb - both_)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id as node, doc_id as other from sets union select r.node, e.b from reach r join edges e on r.other = e.a),
+components as (select node, min(other) as component_id from reach group by 1)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join components on doc_id = node
+"""

@@ -9,9 +9,6 @@ from pyspark.sql.window import Window
 from lexvane.llm.common import table
 
 SHARDS = 40
-#: Rows of a shard are numbered in so many parts, so that no task holds a whole shard.
-PARTS = 256
-
 
 def _draw(key: Column, salt: str) -> Column:
     """A number in (0, 1) that depends on key and salt alone: 48 bits of a digest."""
@@ -56,8 +53,9 @@ def shard_manifest(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     order = ["k", "size", "text_crc32"]
     counted = narrow.groupBy(*order).agg(F.count("*").alias("n"))
     placed = counted.withColumn("shard", rendezvous_shard(F.col("k"), weights)).withColumn("grown_shard", F.when(_beats(F.col("k"), shards), F.lit(shards)).otherwise(F.col("shard")))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
-    sizes = placed.groupBy("shard", "part").agg(F.sum("n").alias("in_part"))  # at most shards x PARTS rows
+    # a shard's rows are numbered in 256 parts, by two digits of a digest, so that no task holds a whole shard
+    placed = placed.withColumn("part", F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]).cast("binary")), 1, 2))
+    sizes = placed.groupBy("shard", "part").agg(F.sum("n").alias("in_part"))  # at most shards x 256 rows
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,3 +71,15 @@ def _beats(key: Column, shard: int) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+with crc_table as (select list(list_reduce(range(0, 8), lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i) order by i) as t from (select unnest(range(0, 256)) as i)),
+bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+rows as (select doc_id, len(h) // 2 + 16 as size,
+    xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) as text_crc32 from bytes, crc_table),
+draws as (select *, s, -1 / ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || s), 1, 12) as bigint) + 0.5) / 281474976710656) as score from rows, (select unnest(range(0, {SHARDS} + 1)) as s)),
+placed as (select doc_id, size, text_crc32, cast(arg_max(s, score) filter (s < {SHARDS}) as integer) as shard, cast(arg_max(s, score) as integer) as grown, count(*) // ({SHARDS} + 1) as n from draws group by 1, 2, 3)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by substr(md5(concat_ws('|', doc_id, size, text_crc32)), 1, 2), doc_id, size, text_crc32) - 1 as slot,
+    case when grown = {SHARDS} then grown else shard end as grown_shard from placed, unnest(range(0, n)) as u(k)
+"""

@@ -97,3 +97,24 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+ORACLE = r"""
+with recursive p as (select page_id, url, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+b as (select page_id, html, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') as path, case when rest is not null then translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) end as key from p),
+rules as (select * from (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(verdict, name, prefix)),
+targets as (select key as src, host, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) as t from b where key is not null),
+absolute as (select src, case when contains(t, '://') then substr(t, strpos(t, '://') + 3) when starts_with(t, '//') then substr(t, 3) when starts_with(t, '/') then host || t end as rest from targets where t <> ''),
+edges as (select src, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) as dst from absolute where rest is not null),
+both_ways as (select src, dst from edges union select dst, src from edges),
+reach as (select src as node, src as other from both_ways union select r.node, e.dst from reach r join both_ways e on r.other = e.src),
+members as (select node, min(other) as component from reach group by 1),
+places as (select page_id, host, path, key from b union all select null, regexp_extract(node, '(?s)^([^/?#]*)', 1), regexp_extract(node, '(?s)^[^/?#]*([^?#]*)', 1), node from members),
+hits as (select distinct pl.host, pl.path, r.name || r.prefix as rule, r.verdict, row_number() over (partition by pl.host, pl.path order by length(r.name || r.prefix) desc) as rn
+    from (select distinct host, path from places) pl join rules r on (pl.host = r.name or ends_with(pl.host, '.' || r.name)) and starts_with(pl.path, r.prefix)),
+judged as (select pl.page_id, pl.host, pl.path, pl.key, h.rule, h.verdict as own, coalesce(m.component, pl.key) as alias_of from places pl left join hits h on pl.host = h.host and pl.path = h.path and h.rn = 1 left join members m on pl.key = m.node),
+blocked as (select distinct alias_of from judged where own = 'block' and alias_of is not null)
+select page_id, host, path, rule, coalesce(own, case when alias_of in (select alias_of from blocked) then 'block' else 'allow' end) as verdict, alias_of from judged where page_id is not null
+"""
