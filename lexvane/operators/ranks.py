@@ -28,14 +28,20 @@ def hash_rank(df: DataFrame, seed, keys: list[str], name: str = "rank") -> DataF
     return bucket_rank(marked, F.substring("_h", 1, 4), ["_h", *keys], name).drop("_h")
 
 
-def ordinal_rank(df: DataFrame, ordinal: str, name: str = "rank", width: int = 10_000) -> DataFrame:
-    """df with its rank by a whole-number column."""
-    return bucket_rank(df, F.floor(F.col(ordinal) / width), [ordinal], name)
+def _width(df: DataFrame, ordinal: str) -> int:
+    """Width of a bucket, so that a table has 65,536 buckets at most, however large it is."""
+    low, high = df.agg(F.min(ordinal), F.max(ordinal)).first()
+    return 1 if low is None else max(1, -(-(high - low + 1) // 65_536))
 
 
-def running_total(df: DataFrame, ordinal: str, value: str, name: str, width: int = 10_000) -> DataFrame:
+def ordinal_rank(df: DataFrame, ordinal: str, name: str = "rank", width: int | None = None) -> DataFrame:
+    """df with its rank by a whole-number column; width: of a bucket (default: from the column's range)."""
+    return bucket_rank(df, F.floor(F.col(ordinal) / (width or _width(df, ordinal))), [ordinal], name)
+
+
+def running_total(df: DataFrame, ordinal: str, value: str, name: str, width: int | None = None) -> DataFrame:
     """df with the sum of value over all rows up to this one, by a whole-number column."""
-    marked = df.withColumn("_bucket", F.floor(F.col(ordinal) / width))
+    marked = df.withColumn("_bucket", F.floor(F.col(ordinal) / (width or _width(df, ordinal))))
     sums = marked.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
