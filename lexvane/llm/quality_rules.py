@@ -15,6 +15,9 @@ SCALE = 1 << 16
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated 3-word windows
+#: Counts that are added to a bucket's target count and to what its raw count lets expect: a bucket with little evidence weighs
+#: next to nothing, so that rare words and languages that few trusted documents use don't tell against a document.
+PRIOR = 30.0
 #: The least mean log-likelihood ratio (nats an n-gram) of a kept document.
 THRESHOLD = -0.05
 
@@ -40,7 +43,7 @@ def _with_hashes(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
 
 
 def fit_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, max_broadcast: int = 1_000_000) -> list[int]:
-    """Weight of each bucket (their number is a power of 2): SCALE times the log ratio of its smoothed shares among the trusted documents and among all.
+    """Weight of each bucket (their number is a power of 2): SCALE times the log ratio of its shares among the trusted documents and among all, smoothed by PRIOR.
 
     trusted has the keys of the trusted documents (repeated keys count once, unknown and null keys not at all); both
     multinomials take every n-gram of every such document. The result has `buckets` whole numbers, whatever the corpus.
@@ -60,8 +63,8 @@ def _weights(counts: dict[int, tuple[int, int]], buckets: int) -> list[int]:
     all_raw, all_target = (sum(c[k] for c in counts.values()) for k in (0, 1))
     if not all_target:
         return [0] * buckets
-    shift = log((all_raw + buckets) / (all_target + buckets))
-    return [round(SCALE * (log((t + 1) / (r + 1)) + shift)) for r, t in (counts.get(b, (0, 0)) for b in range(buckets))]
+    share = all_target / all_raw
+    return [round(SCALE * log((t + PRIOR) / (r * share + PRIOR))) for r, t in (counts.get(b, (0, 0)) for b in range(buckets))]
 
 
 def _repeated_places(order: Column) -> Column:

@@ -84,8 +84,8 @@ def test_quality_llr(spark, small):
         np.add.at(raw, g, 1)
         if d in trusted:
             np.add.at(target, g, 1)
-    shift = log((raw.sum() + mask + 1) / (target.sum() + mask + 1))
-    assert weights == [round(quality_rules.SCALE * (log((t + 1) / (r + 1)) + shift)) for r, t in zip(raw, target)]
+    share, c = target.sum() / raw.sum(), quality_rules.PRIOR
+    assert weights == [round(quality_rules.SCALE * log((t + c) / (r * share + c))) for r, t in zip(raw, target)]
     for r in quality_rules.judge(docs, weights).collect():
         g = grams[r["doc_id"]]
         assert abs(r["llr"] - (sum(weights[x] for x in g) / len(g) / quality_rules.SCALE if g else 0)) < 1e-12
