@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import table
+from lexvane.llm.common import claim, table
 
 #: Chunks of text that a Python worker remembers, and as many that it used before.
 MEMORY = 300_000
@@ -226,6 +226,7 @@ def groups(texts: list[bytes | None], most: int = 4_000_000) -> Iterator[tuple[i
 def encoded(batches: Iterable[pa.RecordBatch], path: str, column: int = 1) -> Iterator[tuple[pa.RecordBatch, int, list[tuple[bytes, bytes]]]]:
     """For each group of rows: its batch, its first row there, and (ids, decoding) of each row."""
     bpe = TrieBpe.load(path)
+    claim("bpe", TrieBpe._loaded.clear)
     for batch in batches:
         texts = batch.column(column).to_pylist()
         for start, stop in groups(texts):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexvane.llm.bpe import groups
-from lexvane.llm.common import table
+from lexvane.llm.common import claim, table
 
 #: Labelled rows that a model is fitted on, at most: those of least hash.
 SAMPLE = 20_000
@@ -150,6 +150,7 @@ def score(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text"
     schema = T.StructType([*docs.select(*names).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("classifier", lambda: None)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for start, stop in groups(texts):

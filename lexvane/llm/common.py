@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, empty: Callable[[], None]) -> None:
+    """Called by an operator's task in a Python worker that remembers things in `owner`: empties what other operators remember.
+
+    Workers serve one stage after another, so without this the memories of all stages of a pipeline would add up.
+    """
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+    _held[owner] = empty
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexvane.llm.bpe import groups
-from lexvane.llm.common import broadcast_if_small, materialise, table
+from lexvane.llm.common import broadcast_if_small, claim, materialise, table
 from lexvane.llm.components import connected_components
 
 BANDS, ROWS = 60, 7
@@ -80,6 +80,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dup", _words.clear)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for start, stop in groups(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexvane.llm.bpe import groups
-from lexvane.llm.common import materialise, table
+from lexvane.llm.common import claim, materialise, table
 
 SEQUENCE = 2048
 #: Chunks of text that a Python worker remembers, and as many that it used before.
@@ -101,6 +101,7 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches):
         coder = ChunkIds.load(path)
+        claim("packing", ChunkIds._loaded.clear)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for first, stop in groups(texts):
