@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lexvane.llm.common import SPACES, broadcast_if_small, table
 
 RATIO = 0.1
+#: A line has to repeat: a page alone on its host keeps all of its lines.
+REPEATS = 2
+#: Of the SQL alone, which leaves out hosts with fewer pages.
 MIN_PAGES = 100
 
 
@@ -24,25 +27,26 @@ def _key(bare: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines): hashes of the lines on more than ratio of a host's pages, for hosts with min_pages pages or more.
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1) -> DataFrame:
+    """(host, lines): hashes of the lines on more than ratio of a host's pages, and on REPEATS pages or more.
 
     A page counts once for a line. A host has at most (mean lines of a page) / ratio such lines, however many pages. Counts
-    are combined before the shuffle, so a line or host that most pages share is no large group.
+    are combined before the shuffle, so a line or host that most pages share is no large group. min_pages: hosts with fewer
+    pages are left out (by default none).
     """
     host_name = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
     pages = docs.groupBy(host_name).agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     keys = F.transform(F.array_distinct(F.filter(F.transform(_lines(F.col(text)), _bare), lambda x: x != "")), _key)
-    counted = docs.select(host_name, F.explode_outer(keys).alias("line")).filter("line is not null").groupBy("host", "line.a", "line.b").agg(F.count("*").alias("n")).filter(F.col("n") > ratio * min_pages)
+    counted = docs.select(host_name, F.explode_outer(keys).alias("line")).filter("line is not null").groupBy("host", "line.a", "line.b").agg(F.count("*").alias("n")).filter((F.col("n") >= REPEATS) & (F.col("n") > ratio * min_pages))
     often = counted.join(broadcast_if_small(pages, 100_000), "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
-def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = 20_000) -> DataFrame:
+def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1, max_broadcast: int = 20_000) -> DataFrame:
     """docs with boilerplate lines cut out of text, and n_lines and n_dropped (long; columns of these names are replaced).
 
     Lines are \\n-split and compared without white space at their ends; blank lines stay and count for nothing. Null texts
-    stay null; a null host is a host of that kind. Hosts under min_pages pages keep all lines. A text may become empty.
+    stay null; a null host is a host of that kind. Lines on one page alone stay. A text may become empty.
     """
     found = boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
     rows = docs.join(broadcast_if_small(found, max_broadcast), F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 from math import log
 
 import numpy as np
@@ -315,6 +316,17 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.drop_lines(odd).count() == odd.count() and line_dedup.drop_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("pages", [1, 2, 5, 50, 99, 100, 101])
+def test_line_dedup_on_hosts_of_any_size(spark, pages):
+    """A host of few pages too: each page has line k if k divides its number, so that lines stand on many shares of pages."""
+    texts = {i: "\n".join([f"own {i}", *[f"each {k}" for k in range(1, 40) if i % k == 0]]) for i in range(pages)}
+    on = Counter(line for t in texts.values() for line in t.split("\n"))
+    want = {i: "\n".join(x for x in t.split("\n") if not (on[x] > 0.1 * pages and on[x] > 1)) for i, t in texts.items()}
+    got = line_dedup.drop_lines(spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert (pages == 1) == (want == texts)
+
+
 # 8
 
 
