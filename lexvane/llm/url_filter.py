@@ -53,13 +53,35 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
     return fits
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with /, with its . and .. parts carried out; .. never leaves the host."""
+    parts = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(walked) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(walked, "/"), folder)
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """target as a URL with a host: as it is, or taken on the host, folder or path of the page at url (RFC 3986, 5.2).
+
+    . and .. go from the paths of relative targets. Null for other schemes (mailto:), and for a fragment alone, the page itself.
+    """
+    path, rest = F.regexp_extract(target, "(?s)^([^?#]*)", 1), F.regexp_extract(target, "(?s)^[^?#]*(.*)", 1)
+    on_host = lambda p: F.concat(F.lit("http://"), url_host(url), p)
+    folder = F.concat(F.regexp_extract(url_path(url), "(?s)^(.*)/", 1), F.lit("/"))
+    out = F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+    out = out.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#") | (target == ""), None)
+    out = out.when(target.startswith("?"), on_host(F.concat(url_path(url), target)))
+    return out.otherwise(on_host(F.concat(_without_dots(F.when(target.startswith("/"), path).otherwise(F.concat(folder, path))), rest)))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) URL keys of canonical links and refresh redirects; relative targets are taken on the page's host."""
-    page = pages.filter(F.col(html).rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("u"), F.col(html).alias("h"))
-    tag = lambda pattern, target: F.regexp_extract(F.regexp_extract("h", pattern, 0), target, 1)
-    found = page.select("u", F.explode(F.array(tag(LINK_TAG, HREF), tag(REFRESH_TAG, REFRESH_URL))).alias("t")).filter("t != ''")
-    absolute = F.when(F.instr("t", "://") > 0, F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), url_host(F.col("u")), F.col("t")))
-    return found.select(url_key(F.col("u")).alias("src"), url_key(absolute).alias("dst")).filter("src is not null and dst is not null")
+    """(src, dst) URL keys of all canonical links and refresh redirects; relative targets are taken on the page's host and folder."""
+    page = pages.filter(F.col(html).rlike("(?i)canonical|http-equiv")).select(F.col(url).cast("string").alias("u"), F.col(html).alias("h"))
+    targets = lambda pattern, target: F.transform(F.regexp_extract_all("h", F.lit(pattern), F.lit(0)), lambda t: F.regexp_extract(t, target, 1))
+    found = page.select("u", F.explode(F.concat(targets(LINK_TAG, HREF), targets(REFRESH_TAG, REFRESH_URL))).alias("t")).filter("t != ''")
+    return found.select(url_key(F.col("u")).alias("src"), url_key(resolve(F.col("u"), F.col("t"))).alias("dst")).filter("src is not null and dst is not null")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str | None = "html", max_broadcast: int = 200_000) -> DataFrame:
