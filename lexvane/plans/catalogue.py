@@ -163,9 +163,15 @@ j as (select a.t as ta, b.t as tb, a.doc_id as ia, b.doc_id as ib from a full jo
 select count(*) filter (ia is not null and ib is not null) as shared, count(*) filter (ib is null) as only_a, count(*) filter (ia is null) as only_b, count(*) filter (ia is not null and ib is not null and ta is distinct from tb) as text_mismatches,
 round(100.0 * count(*) filter (ia is not null and ib is not null) / count(ia), 4) as overlap_pct from j""")
 def q_audit_runs(spark, sf_dir):
-    rows = r.base(spark, sf_dir).select("doc_id", "n_raw_tokens", F.substring(TEXT, 1, 40).alias("t"))
-    b = rows.filter("doc_id % 10 <> 1").withColumn("t", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("t")))
-    return joins.audit(rows.filter("doc_id % 10 <> 0"), b, ["doc_id", "n_raw_tokens"], "t").withColumn("overlap_pct", F.col("overlap_pct").cast("double"))
+    rows = r.base(spark, sf_dir).select("doc_id", "n_raw_tokens", TEXT)
+    b = rows.filter("doc_id % 10 <> 1").withColumn(TEXT, F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col(TEXT)))
+    return audit_runs(rows.filter("doc_id % 10 <> 0"), b)
+
+
+def audit_runs(a, b):
+    """Two runs compared by document and position; whole texts count, by their digests."""
+    keyed = lambda run: run.select("doc_id", "n_raw_tokens", tx.text_key(F.col(TEXT)).alias("t"))
+    return joins.audit(keyed(a), keyed(b), ["doc_id", "n_raw_tokens"], "t").withColumn("overlap_pct", F.col("overlap_pct").cast("double"))
 
 
 SITES = """tk as (select doc_id, string_split(text, ' ') as ids from documents),
