@@ -35,10 +35,10 @@ def fanout_roundtrip(spark, sf_dir):
     return split.select(F.lit("bucket").alias("kind"), "name", "rows").unionByName(some.select(F.lit("step").alias("kind"), "name", "rows"))
 
 
-def _events_in_order(spark: SparkSession, sf_dir: str, at: str, columns: list) -> DataFrame:
+def _events_in_order(spark: SparkSession, sf_dir: str, at: str, columns: list, files: int = 4) -> DataFrame:
     """A stream over files of events that are sorted by time."""
     rows = r.rollouts(spark, sf_dir).select(*columns)
-    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
+    rows.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{at}/in")
 
 
@@ -67,22 +67,43 @@ def stream_report(spark, sf_dir):
     return out.join(F.broadcast(last)).filter("day < last").drop("last")
 
 
-def micro_batches(spark, sf_dir, wait_s: int = 60):
-    """(samples, largest, repeated, unfinished): each event is in one batch, of 16 at most; rests leave by their timer."""
+#: Events of a shard and of an input file of micro_batches(), about; and its reports without news that mean that it hangs.
+SHARD_EVENTS, QUIET_REPORTS = 10_000, 100
+
+
+def _shards(events: int) -> int:
+    """Shards and files grow with the input, so that none does."""
+    return max(4, -(-events // SHARD_EVENTS))
+
+
+def micro_batches(spark, sf_dir):
+    """(samples, largest, repeated, unfinished): each event is in one batch, of 16 at most; rests leave by their timer.
+
+    The stream runs until all events have left, however long that takes. A failed stream is an error, and so is one that goes on
+    to report but gives nothing out.
+    """
     at = scratch(spark, "batches")
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     total = r.table(spark, sf_dir, "events").agg(F.count("*").alias("n"))
     out = lambda: spark.read.schema("shard long, batch long, sample long").parquet(f"{at}/out")
     try:
-        stream = scoring.micro_batch(_events_in_order(spark, sf_dir, at, ["event_id", "ts"]), "event_id", timeout_ms=2_000)
+        n = total.first()[0]
+        shards = _shards(n)
+        stream = scoring.micro_batch(_events_in_order(spark, sf_dir, at, ["event_id", "ts"], shards), "event_id", shards, timeout_ms=2_000)
         running = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(processingTime="1 second").start()
         try:
-            n, until = total.first()[0], time.monotonic() + wait_s
-            while running.isActive and time.monotonic() < until:
+            seen, gone, quiet = None, 0, 0
+            while running.isActive and gone < n:
                 time.sleep(1)
-                if (p := running.lastProgress) and p.batchId > 0 and out().count() >= n:
-                    break
+                if not (p := running.lastProgress) or p.timestamp == seen:
+                    continue
+                seen, before = p.timestamp, gone
+                if p.batchId > 0:
+                    gone = out().count()
+                quiet = 0 if gone > before or p.numInputRows else quiet + 1
+                if quiet >= QUIET_REPORTS:
+                    raise RuntimeError(f"{n - gone} of {n} events stay in the stream")
         finally:
             running.stop()
         if running.exception():
