@@ -184,11 +184,11 @@ def q_zip_join(spark, sf_dir):
     docs = r.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("ids"))
     sites = docs.select("doc_id", F.explode(tl.marker_sites(ids, F.lit("the"), F.lit("of"), F.lit("that"))).alias("s")).select("doc_id", F.col("s").cast("long").alias("site"))
     sites = sites.withColumn("at", F.col("doc_id") * 1_000_000 + F.col("site"))
-    n = sites.count()
     vectors = r.table(spark, sf_dir, "embeddings").select("vec_id")
-    some = ranks.ordinal_rank(vectors, "vec_id").filter(F.col("rank") <= n).drop("rank")  # the first vectors, one a site
-    few = ranks.ordinal_rank(sites, "at").filter(F.col("rank") <= some.count()).drop("rank")
-    return joins.zip_join(few, some, "at", "vec_id").select("doc_id", "site", "vec_id")
+    n, m = sites.count(), vectors.count()
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // max(m, 1))))  # the vectors in their order, again and again, one a site
+    dealt = ranks.ordinal_rank(vectors, "vec_id").select("vec_id", "rank", rounds.alias("round")).select("vec_id", (F.col("round").cast("long") * m + F.col("rank")).alias("turn"))
+    return joins.zip_join(sites, dealt.filter(F.col("turn") <= n), "at", "turn").select("doc_id", "site", "vec_id")
 
 
 @query(f"with {r.ROLLOUTS}, a as (select step, avg(reward) as m from rollouts where event_id % 2 = 0 group by 1), b as (select step, avg(reward) as m from rollouts where event_id % 2 = 1 group by 1) select a.step, round(a.m, 6) as real, round(b.m, 6) as shuffled, round(round(b.m, 6) - round(a.m, 6), 6) as gap from a join b on a.step = b.step")
