@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -134,32 +136,52 @@ class LicenceScanner:
                 at = body.find(phrase, at + 1)
         return out
 
+    def _chains(self, s: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
+        """(first word, word after the last, covered share) of chains of the sorted anchors, best first, each clear of better ones.
+
+        Ties go to the earlier one. After each, only the anchors are chained anew whose chain began before its end.
+        """
+        size = len(self.sequences[s])
+        reach = size * (MAX_GAP + 1)  # places rise in a chain, so it has size anchors at most
+        best: list[tuple[int, int]] = []  # covered words and first word of the chain that ends with each anchor
+
+        def chain(k: int, low: int) -> tuple[int, int]:
+            at, place, length = found[k]
+            covered, first = length, at
+            for j in range(bisect_left(found, (max(low, at - size - MAX_GAP),)), k):
+                a, p, n = found[j]
+                over = max(0, a + n - at, p + n - place)  # words that both would cover
+                if at > a and place > p and at - a - n <= MAX_GAP and place - p - n <= MAX_GAP and over < length and best[j][0] + length - over > covered:
+                    covered, first = best[j][0] + length - over, best[j][1]
+            return covered, first
+
+        for k in range(len(found)):
+            best.append(chain(k, 0))
+        heap = [(-c, k) for k, (c, _) in enumerate(best) if c / size >= MIN_COVER]
+        heapify(heap)
+        gone, out = set(), []
+        while heap:
+            covered, k = heappop(heap)
+            if k in gone or best[k][0] != -covered:
+                continue
+            first, stop = best[k][1], found[k][0] + found[k][2]
+            out.append((first, stop, -covered / size))
+            after = bisect_left(found, (stop,))
+            gone.update(j for j in range(bisect_left(found, (first - size,)), after) if found[j][0] + found[j][2] > first)
+            for j in range(after, bisect_left(found, (stop + reach,))):
+                if best[j][1] < stop:
+                    best[j] = chain(j, stop)
+                    if best[j][0] / size >= MIN_COVER:
+                        heappush(heap, (-best[j][0], j))
+        return out
+
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, word after the last, covered share of the template) of the best chain of each template."""
+        """(label, first word, word after the last, covered share of the template) of all copies of each template, by template and place."""
         anchors: dict[int, list[tuple[int, int, int]]] = {}
         for end, length, node in self.automaton.matches(words, MIN_MATCH):
             for s, stop in self.automaton.places[node]:
                 anchors.setdefault(s, []).append((end - length, stop - length, length))
-        out = []
-        for s, found in sorted(anchors.items()):
-            found.sort()
-            best: list[tuple[int, int]] = []  # covered words and first word of the chain that ends with each anchor
-            back = 0
-            for k, (at, place, length) in enumerate(found):
-                covered, first = length, at
-                while found[back][0] + len(self.sequences[s]) + MAX_GAP < at:
-                    back += 1
-                for j in range(back, k):
-                    a, p, n = found[j]
-                    over = max(0, a + n - at, p + n - place)  # words that both would cover
-                    if at > a and place > p and at - a - n <= MAX_GAP and place - p - n <= MAX_GAP and over < length and best[j][0] + length - over > covered:
-                        covered, first = best[j][0] + length - over, best[j][1]
-                best.append((covered, first))
-            covered, k = max((c, -i) for i, (c, _) in enumerate(best))
-            share = covered / len(self.sequences[s])
-            if share >= MIN_COVER:
-                out.append((self.labels[s], best[-k][1], found[-k][0] + found[-k][2], share))
-        return out
+        return [(self.labels[s], *c) for s, found in sorted(anchors.items()) for c in sorted(self._chains(s, sorted(found)))]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
