@@ -7,6 +7,7 @@ encodings in general: a row of tokens is an encoding if all its neighbours are).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -22,9 +23,14 @@ from lexvane.llm.common import claim, table
 
 #: Chunks of text that a Python worker remembers, and as many that it used before.
 MEMORY = 300_000
-#: Distinct words in one trie.
-TRIE_WORDS = 20_000
+#: Words that it remembers likewise.
+WORDS = 300_000
+#: Prefixes in the trie, which starts anew beyond.
+NODES = 400_000
 PAIRS = 1_000_000
+#: Tokens of so many symbols or more are looked up by their last ones.
+TAIL = 5
+SHORT = tuple(range(TAIL - 1, 0, -1))
 
 
 def byte_letters() -> list[str]:
@@ -60,15 +66,19 @@ class TrieBpe:
             if row == [token]:
                 self.size[token] = len(symbols)
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
-        # lengths of the tokens with these last symbols (three, two or one), the longest first
+        # lengths of the tokens of more than TAIL symbols that end with these TAIL ones, the longest first, and TAIL itself
         ends: dict[str, set[int]] = {}
         for token, n in self.size.items():
-            ends.setdefault("".join(self._symbols(token)[-3:]) if n > 2 else token, set()).add(n)
+            if n >= TAIL:
+                ends.setdefault("".join(self._symbols(token)[-TAIL:]), set()).add(n)
         self.ends = {tail: tuple(sorted(ns, reverse=True)) for tail, ns in ends.items()}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.ids: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-        self.old: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}  # (ids as little-endian 32-bit integers, decoding) of chunks
+        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.trie: list = ["", {}]  # a node: last token of its prefix's encoding, nodes below by letter
+        self.nodes = 0
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.old_words: dict[str, tuple[bytes, bytes]] = {}
 
     @classmethod
     def load(cls, path: str) -> TrieBpe:
@@ -119,10 +129,9 @@ class TrieBpe:
     def _last(self, prefix: str, depth: int, tokens: list[str], suffix: str) -> str:
         """Last token of prefix, whose last symbol also has the suffix; tokens: last tokens of the shorter prefixes, tokens[0] = ''."""
         size, known = self.size, self.apart
-        for tail in (3, 2, 1):
-            for n in self.ends.get(prefix[depth - tail :] + suffix, ()) if tail <= depth else ():
-                if n > depth or n > 2 and tail < 3 or n == 2 and tail == 1:
-                    continue
+        long = self.ends.get(prefix[depth - TAIL :] + suffix, ()) if depth >= TAIL else ()
+        for n in (*long, *SHORT):
+            if n <= depth:
                 token = prefix[depth - n :] + suffix
                 if size.get(token) == n:
                     if n == depth:
@@ -133,79 +142,129 @@ class TrieBpe:
         raise ValueError(f"the vocabulary has no token for {prefix!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """ids of distinct words, written in byte letters."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault("", set()).add(word[-1])
+        """ids of distinct words, written in byte letters.
+
+        Sorted words go down the trie depth first: what a word shares with the one before is on the stack, what it shares with
+        any earlier one is in the trie, and each prefix beyond gets its state once.
+        """
         found: dict[str, list[int]] = {}
-        tokens = [""]
-        stack: list[tuple[dict, str]] = [(root, "")]
-        while stack:  # depth first: tokens[: depth + 1] are the states on the way to this node
-            node, prefix = stack.pop()
-            depth = len(prefix)
-            if depth:
-                del tokens[depth:]
-                tokens.append(self._last(prefix, depth, tokens, ""))
-            for c, below in node.items():
-                if c:
-                    stack.append((below, prefix + c))
-            for c in node.get("", ()):
-                word = prefix + c
-                token = self._last(word, depth + 1, tokens, self.end)
-                row, at = [self.vocab[token]], depth + 1 - self.size[token]
-                while at:
-                    row.append(self.vocab[tokens[at]])
-                    at -= self.size[tokens[at]]
-                found[word] = row[::-1]
+        vocab, size, end, last = self.vocab, self.size, self.end, self._last
+        before, tokens, path = "", [""], [self.trie]
+        for word in sorted(words):
+            if self.nodes > NODES:
+                self.trie, self.nodes = ["", {}], 0
+                before, tokens, path = "", [""], [self.trie]
+            body, depth = len(word) - 1, 0
+            top = min(len(tokens) - 1, body)
+            while depth < top and word[depth] == before[depth]:
+                depth += 1
+            del tokens[depth + 1 :], path[depth + 1 :]
+            node = path[depth]
+            while depth < body:
+                c = word[depth]
+                depth += 1
+                below = node[1].get(c)
+                if below is None:
+                    below = node[1][c] = [last(word[:depth], depth, tokens, ""), {}]
+                    self.nodes += 1
+                node = below
+                path.append(node)
+                tokens.append(node[0])
+            token = last(word, depth + 1, tokens, end)
+            row, at = [vocab[token]], depth + 1 - size[token]
+            while at:
+                row.append(vocab[tokens[at]])
+                at -= size[tokens[at]]
+            found[word] = row[::-1]
+            before = word
         return found
 
-    def _split(self, chunk: str) -> list[str | int]:
-        """Words in byte letters, and ids of special tokens, of a chunk without ASCII white space."""
-        if chunk.isalpha() and chunk.isascii():
-            return [chunk.lower()]
+    def _normal(self, part: str) -> str:
+        """NFC, then each character in lower case. str.lower() does the same but for a capital sigma, which has a final form."""
+        if part.isascii():
+            return part.lower()
+        part = unicodedata.normalize("NFC", part)
+        return part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part)
+
+    def _chunks(self, text: bytes) -> list[bytes]:
+        """Runs without ASCII white space, in normal form unless they hold a <, as special tokens do.
+
+        Normal form is not always a fixed point, so it is taken once: here, or in _split for the others.
+        """
+        if b"<" not in text:
+            return (text.lower() if text.isascii() else self._normal(text.decode()).encode()).split()
+        return [c if b"<" in c else c.lower() if c.isascii() else self._normal(c.decode()).encode() for c in text.split()]
+
+    def _letters(self, words: list[str]) -> list[str]:
+        return [w if w.isascii() and w.isprintable() else "".join([self.letters[b] for b in w.encode()]) for w in words]
+
+    def _split(self, chunk: bytes) -> list[str | int]:
+        """Words in byte letters, and ids of special tokens, of a chunk from _chunks."""
+        if chunk.isalpha():
+            return [chunk.decode()]
+        text = chunk.decode()
+        if b"<" not in chunk:
+            return self._letters(self.pattern.findall(text))
         out: list[str | int] = []
         at = 0
-        stops = list(self.stops.finditer(chunk)) if self.stops and "<" in chunk else []
-        for start, stop, special in [*((m.start(), m.end(), m.group()) for m in stops), (len(chunk), len(chunk), None)]:
-            part = chunk[at:start]
-            part = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            for word in self.pattern.findall(part):
-                out.append(word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode()))
+        stops = list(self.stops.finditer(text)) if self.stops else []
+        for start, stop, special in [*((m.start(), m.end(), m.group()) for m in stops), (len(text), len(text), None)]:
+            out += self._letters(self.pattern.findall(self._normal(text[at:start])))
             if special is not None:
                 out.append(self.special[special])
             at = stop
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Make self.ids and self.decoded know these chunks (UTF-8, no ASCII white space)."""
-        if len(self.ids) > MEMORY:  # what the texts use again comes back from the older half
-            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
-        ids, decoded = self.ids, self.decoded
+    def _learn_words(self, words: Iterable[str]) -> None:
+        """Make self.words know these words: (ids as little-endian 32-bit integers, decoding)."""
+        known, old = self.words, self.old_words
+        if len(known) > WORDS:
+            self.old_words = old = known
+            self.words = known = {}
         new = []
-        for c in chunks:
-            if c not in ids:
-                if (before := self.old[0].get(c)) is None:
-                    new.append(c)
+        for w in words:
+            if w not in known:
+                if (before := old.get(w)) is None:
+                    new.append(w)
                 else:
-                    ids[c], decoded[c] = before, self.old[1][c]
-        for k in range(0, len(new), TRIE_WORDS):
-            rows = [(c, self._split(c.decode())) for c in new[k : k + TRIE_WORDS]]
-            words = self.encode_words({w for _, row in rows for w in row if type(w) is str})
-            for chunk, row in rows:
-                found = words[row[0]] if len(row) == 1 and type(row[0]) is str else [i for w in row for i in (words[w] if type(w) is str else (w,))]
-                ids[chunk] = array("I", found).tobytes()
-                decoded[chunk] = self.decode(found).encode()
+                    known[w] = before
+        text_of = self.text_of
+        for w, row in self.encode_words(new).items():
+            known[w] = (array("I", row).tobytes(), (" ".join([text_of[i] for i in row])).encode())
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Make self.known know these chunks (from _chunks)."""
+        if len(self.known) > MEMORY:  # what the texts use again comes back from the older half
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = []
+        for c in chunks.difference(known):
+            if (before := old.get(c)) is None:
+                new.append((c, self._split(c)))
+            else:
+                known[c] = before
+        self._learn_words({w for _, row in new for w in row if type(w) is str})
+        words = self.words
+        for chunk, row in new:
+            if len(row) == 1 and type(row[0]) is str:
+                known[chunk] = words[row[0]]
+            else:
+                parts = [words[w] if type(w) is str else (array("I", [w]).tobytes(), self.text_of[w].encode()) for w in row]
+                known[chunk] = b"".join([i for i, _ in parts]), b" ".join([d for _, d in parts])
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text (UTF-8; null: empty): its ids as little-endian 32-bit integers, and their decoding."""
-        rows = [(t or b"").split() for t in texts]
-        self.learn(set().union(*rows))
-        ids, decoded = self.ids, self.decoded
+        gc.disable()  # many small objects come, none in cycles
+        try:
+            rows = [self._chunks(t or b"") for t in texts]
+            self.learn(set().union(*rows))
+        finally:
+            gc.freeze()
+            gc.enable()
+        known = self.known
         for row in rows:
-            yield b"".join(map(ids.__getitem__, row)), b" ".join(filter(None, map(decoded.__getitem__, row)))
+            ids, decoded = zip(*[known[c] for c in row], strict=True) if row else ((), ())
+            yield b"".join(ids), b" ".join(filter(None, decoded))
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.text_of[i] for i in ids)
