@@ -2,8 +2,11 @@
 
 No link between different texts is lost for want of pairs: texts with equal shingle sets are one node. In a bucket of a
 band, every member is first checked against two hubs (one row a member). Where a bucket then still holds members of more
-than one component, all pairs across components are checked there, in blocks of bounded size. Pairs inside a component are
-never needed. What can be missed is a pair that shares no bucket: at a similarity of 0.8 its chance is (1 - 0.8**7)**60 = 7e-7.
+than one component, all signatures across components are compared there, and a spanning forest of the likely links is
+kept: it tells which components may belong together. Within such a cluster the full sets of all members meet, in blocks
+of bounded bytes, and again only a spanning forest of the confirmed links leaves a task. So rows grow with members, never
+with pairs. What can be missed is a pair that shares no bucket, at a similarity of 0.8 with a chance of
+(1 - 0.8**7)**60 = 7e-7, or whose signatures agree in less than SIGNATURE_FLOOR, with one of about 4e-7 (5 standard errors).
 """
 
 from __future__ import annotations
@@ -24,7 +27,12 @@ from lexvane.llm.components import connected_components
 BANDS, ROWS = 60, 7
 #: A pair whose signatures agree in a smaller share of places goes on to no exact check; 0.8 is 5 standard errors higher.
 SIGNATURE_FLOOR = 0.70
-BLOCK = 1000
+#: Members of a bucket outside its largest component, and members of all, that meet in one task.
+BLOCK, WIDE = 1000, 20_000
+#: Bytes of shingle sets outside the largest component that meet twice as many bytes of all in one task.
+SET_BYTES = 16_000_000
+#: Copies of one shingle set from which on it is joined by a broadcast.
+COPIES = 1000
 MEMORY = 300_000
 
 
@@ -145,11 +153,10 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, max_broadcast: int) -> DataFrame:
-    """Pairs (src, dst) whose full shingle sets have the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    few = docs.join(broadcast_if_small(ids, max_broadcast), F.col(key) == F.col("_id"), "left_semi")
-    sets = materialise(_shingle_sets(few, key, text, size), "sets")
+def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, max_broadcast: int) -> DataFrame:
+    """Pairs (src, dst) whose full shingle sets have the similarity; docs: (id, text)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialise(_shingle_sets(docs.join(broadcast_if_small(ids, max_broadcast), "id", "left_semi"), "id", "text", size), "sets")
     left, right = (sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s_{n}")) for n in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
@@ -168,31 +175,118 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return rows.select(*_ordered(F.col("id"), F.col("hub"))).distinct()
 
 
-def _cross_pairs(members: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree enough, from blocks of about BLOCK by BLOCK members."""
-    kind = members.schema["id"].dataType.simpleString()
-    placed = members.filter("n > 2").join(components, members.id == components.node, "left").select("id", "band", F.coalesce("component", "id").alias("c"))
-    sizes = placed.groupBy("band", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("most"), F.sum("k").alias("all"), F.max("k").alias("largest")).filter("all > largest")
-    mixed = mixed.select("band", "most", F.ceil(F.col("all") / BLOCK).alias("j_n"), F.ceil((F.col("all") - F.col("largest")) / BLOCK).alias("i_n"))
-    rows = placed.join(mixed, "band")
+class _Groups:
+    """Components of a cell's members, merged as links are found."""
+
+    def __init__(self, components: np.ndarray):
+        self.of = np.unique(components, return_inverse=True)[1]
+        self.label = np.arange(self.of.max() + 1)
+
+    def merge(self, own: int, roots: np.ndarray) -> None:
+        self.label[np.isin(self.label, roots)] = own
+
+    def one(self) -> bool:
+        return bool((self.label == self.label[0]).all())
+
+
+def _cells(placed: DataFrame, group: str, weight: str, narrow: int, wide: int) -> DataFrame:
+    """(group, i, j, id, c, other) of groups that hold several components: blocks of members outside the largest against blocks of all.
+
+    placed: (group, id, c, weight); a block has about `narrow` or `wide` of the weight.
+    """
+    sizes = placed.groupBy(group, "c").agg(F.sum(weight).alias("k"))
+    mixed = sizes.groupBy(group).agg(F.max(F.struct("k", "c"))["c"].alias("most"), F.sum("k").alias("all"), F.max("k").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = mixed.select(group, "most", F.ceil(F.col("all") / wide).alias("j_n"), F.ceil((F.col("all") - F.col("largest")) / narrow).alias("i_n"))
+    rows = placed.join(mixed, group)
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    others = rows.filter("c != most").select("id", "c", "band", block("i_n").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), F.lit(True).alias("other"))
-    everyone = rows.select("id", "c", "band", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), block("j_n").alias("j"), F.lit(False).alias("other"))
-    signed = others.unionByName(everyone).join(nodes.select("id", "sig"), "id")
+    others = rows.filter("c != most").select(group, "id", "c", block("i_n").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), F.lit(True).alias("other"))
+    everyone = rows.select(group, "id", "c", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), block("j_n").alias("j"), F.lit(False).alias("other"))
+    return others.unionByName(everyone)
+
+
+def _linked(pdf: pd.DataFrame, percent: int, confirm) -> pd.DataFrame:
+    """A spanning forest (a, b) of a cell's links between components: of those whose signatures agree enough and that confirm lets through.
+
+    confirm(x, hits) takes the place of a member and the places of likely partners in one component, the likeliest first,
+    and returns one of them or None.
+    """
+    found_a, found_b = [], []
+    first = np.flatnonzero(pdf.other.to_numpy())
+    second = np.flatnonzero(~pdf.other.to_numpy())
+    if len(first) and len(second):
+        groups_, sigs, sizes, ids = _Groups(pdf.c.to_numpy()), _matrix(pdf.sig), pdf.n_shingles.to_numpy(), pdf.id.to_numpy()
+        there, place = sigs[second], groups_.of[second]
+        for x in first:
+            if groups_.one():
+                break
+            own = groups_.label[groups_.of[x]]
+            labels = groups_.label[place]
+            near = np.flatnonzero((labels != own) & (100 * np.minimum(sizes[second], sizes[x]) >= percent * np.maximum(sizes[second], sizes[x])))
+            agree = _agreement(there[near], sigs[x][None, :])
+            near, agree = near[agree >= SIGNATURE_FLOOR], agree[agree >= SIGNATURE_FLOOR]
+            near = near[np.argsort(-agree, kind="stable")]
+            joined = []
+            for root in np.unique(labels[near]):
+                y = confirm(x, second[near[labels[near] == root]])
+                if y is not None:
+                    joined.append(root)
+                    found_a.append(min(ids[x], ids[y]))
+                    found_b.append(max(ids[x], ids[y]))
+            groups_.merge(own, np.array(joined, dtype=groups_.label.dtype))
+    return pd.DataFrame({"a": pd.Series(found_a, dtype=pdf.id.dtype), "b": pd.Series(found_b, dtype=pdf.id.dtype)})
+
+
+def _likely_links(members: DataFrame, components: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) that join, through signatures alone, all components of a bucket whose members may be linked."""
+    kind = members.schema["id"].dataType.simpleString()
+    placed = members.filter("n > 2").join(components, members.id == components.node, "left").select("id", "band", F.coalesce("component", "id").alias("c"), F.lit(1).alias("one"))
+    signed = _cells(placed, "band", "one", BLOCK, WIDE).join(nodes.select("id", "sig", "n_shingles"), "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _linked(pdf, percent, lambda x, hits: hits[0])
+
+    return signed.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _sure_links(clusters: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, max_broadcast: int) -> DataFrame:
+    """Links (src, dst), confirmed on full sets, that join all components of a cluster (node, component) which links join."""
+    kind = nodes.schema["id"].dataType.simpleString()
+    now = components.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    placed = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(now, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    several = placed.groupBy("cluster").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("cluster")
+    sized = nodes.groupBy("id").agg(F.max("n_shingles").alias("n_max"))
+    placed = materialise(placed.join(several, "cluster", "left_semi").join(sized, "id").select("cluster", "id", "c", (8 * F.col("n_max") + 500).alias("bytes")), "clusters")
+    ids = placed.select("id").distinct()
+    sets = materialise(_shingle_sets(docs.join(broadcast_if_small(ids, max_broadcast), "id", "left_semi"), "id", "text", size), "sets")
+    cells = _cells(placed, "cluster", "bytes", SET_BYTES, 2 * SET_BYTES).join(nodes.select("id", "sig", "n_shingles"), "id").join(sets, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.other], pdf[~pdf.other]
-        found_a, found_b = [], []
-        if len(left) and len(right):
-            sigs, ids, comps = _matrix(right.sig), right.id.to_numpy(), right.c.to_numpy()
-            for x, c, s in zip(left.id, left.c, left.sig, strict=True):
-                hit = (_agreement(sigs, np.frombuffer(s, np.uint8)[None, :]) >= SIGNATURE_FLOOR) & (comps != c)
-                found_a += [min(x, y) for y in ids[hit]]
-                found_b += [max(x, y) for y in ids[hit]]
-        return pd.DataFrame({"a": pd.Series(found_a, dtype=pdf.id.dtype), "b": pd.Series(found_b, dtype=pdf.id.dtype)})
+        sets_ = [s.view(np.uint64) for s in pdf.shingles]  # sorted as such
 
-    return signed.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+        def confirm(x: int, hits: np.ndarray):
+            for k in range(0, len(hits), 64):  # the likeliest first
+                some = hits[k : k + 64]
+                lengths = np.array([len(sets_[y]) for y in some])
+                flat = np.concatenate([sets_[y] for y in some])
+                mine = sets_[x]
+                inside = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(inside.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+                good = np.flatnonzero(100 * both >= percent * (lengths + len(sets_[x]) - both))
+                if len(good):
+                    return some[good[0]]
+            return None
+
+        return _linked(pdf, percent, confirm)
+
+    return cells.groupBy("cluster", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _names(known: DataFrame, max_broadcast: int) -> DataFrame:
+    """(id, set_key, rep), distinct: rep is the least id with that set. Sets of many copies meet their rows by a broadcast, if that is small."""
+    sets = materialise(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "sets")
+    rows, many = known.select("id", "set_key"), broadcast_if_small(sets.filter(F.col("n") > COPIES).select("set_key", "rep"), max_broadcast)
+    rest = rows.join(many, "set_key", "left_anti").join(sets.filter(F.col("n") <= COPIES).select("set_key", "rep"), "set_key", "left")
+    return rows.join(many, "set_key").unionByName(rest).select("id", "set_key", F.coalesce("rep", "id").alias("rep")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, max_broadcast: int = 500_000) -> DataFrame:
@@ -202,28 +296,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     the least key that links reach, itself included, and kept marks it. A text with fewer words is one shingle; a null text or
     one without words has none and is linked with nothing. Rows that repeat a key are one node with the links of all its
     texts, and each comes back. A row with a null key comes back with a null component and kept, and links nothing. Shingles
-    are compared by 64-bit hashes. Other columns are not read.
+    are compared by 64-bit hashes. A text of any length is shingled as a whole; an empty table gives an empty one. Other
+    columns are not read.
     """
-    found = materialise(signatures(docs, key, text, size), "signatures")
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    found = materialise(signatures(docs, "id", "text", size), "signatures")
     known = found.filter("set_key is not null and id is not null")
-    sets = known.groupBy("set_key").agg(F.min("id").alias("rep"))
-    named = materialise(known.select("id", "set_key").join(sets, "set_key").select("id", "set_key", "rep").distinct(), "names")
-    nodes = known.join(named.filter("id = rep").select("id", "set_key"), ["id", "set_key"], "left_semi")
+    named = materialise(_names(known, max_broadcast), "names")
+    copies = named.filter("id <> rep").select("id", "set_key")
+    nodes = known.join(broadcast_if_small(copies, max_broadcast), ["id", "set_key"], "left_anti")
     bands = nodes.select("id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(bands.join(shared, "band").select("id", "band", "n"), "members")
     near = materialise(nodes.select("id", "sig", "n_shingles").join(members.select("id").distinct(), "id", "left_semi"), "nodes")
-    first = _confirm(materialise(_alike(_hub_pairs(members), near, percent), "pairs"), docs, key, text, size, percent, max_broadcast)
+    first = _confirm(materialise(_alike(_hub_pairs(members), near, percent), "pairs"), docs, size, percent, max_broadcast)
     twice = named.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     again = named.join(twice, "id").select(F.col("rep").alias("src"), F.col("low").alias("dst"))
     components = materialise(connected_components(first.unionByName(again)), "components")
-    across = materialise(_cross_pairs(members, components, near), "pairs")
-    if not across.isEmpty():
-        second = _confirm(across, docs, key, text, size, percent, max_broadcast)
+    likely = materialise(_likely_links(members, components, near, percent), "likely")
+    if not likely.isEmpty():
         stars = components.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-        components = connected_components(stars.unionByName(second))
+        clusters = connected_components(stars.unionByName(likely))
+        sure = materialise(_sure_links(clusters, components, near, docs, size, percent, max_broadcast), "sure")
+        if not sure.isEmpty():
+            components = connected_components(stars.unionByName(sure))
     groups_ = named.select("id", "set_key", "rep").join(components, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    rows = found.select("id", "n_shingles").join(groups_.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    rows = found.select("id", "n_shingles").join(groups_, "id", "left")
     component = F.coalesce("component", "id")
     return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
@@ -233,10 +331,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, max_broadcast: int = 500_000) -> DataFrame:
-    """documents without those whose near duplicate (five words, 0.8) of smaller doc_id stays; of rows with equal doc_id one stays."""
-    dropped = near_duplicates(docs, size=5).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(broadcast_if_small(dropped, max_broadcast), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """documents without those whose near duplicate (five words, 0.8) of smaller doc_id stays; of rows with equal doc_id one stays.
+
+    Rows with a null doc_id stay, as do null and empty texts of different doc_id. The columns are those of docs, whatever their names.
+    """
+    dropped = near_duplicates(docs, size=5).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    repeated = docs.groupBy("doc_id").count().filter(F.col("count") > 1).filter("doc_id is not null").select("doc_id")
+    small = broadcast_if_small(dropped, max_broadcast)
+    kept = docs.join(small, docs["doc_id"] == small["gone"], "left_anti")
     if repeated.isEmpty():
         return kept
     return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
