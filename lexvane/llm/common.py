@@ -42,6 +42,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, spread: Column, max_rows: int, salts: int = 32) -> DataFrame:
+    """rows left join side, which has one row a key, where one key may hold a large share of rows.
+
+    A side of at most max_rows rows is broadcast. Beyond that, each row of side is there once for each salt, and the rows of a
+    key are dealt by a hash of spread, so that no task gets them all; rows without a key take no part in the shuffle.
+    """
+    if side.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(side), key, "left")
+    wide = side.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("join_salt"))
+    dealt = rows.filter(F.col(key).isNotNull()).withColumn("join_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(wide, [key, "join_salt"], "left").drop("join_salt").unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -59,9 +72,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary folder where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary folder where that is unset (local mode alone)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexvane-")
         spark.sparkContext.setCheckpointDir(base)
     return base

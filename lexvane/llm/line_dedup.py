@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import SPACES, broadcast_if_small, table
+from lexvane.llm.common import SPACES, broadcast_if_small, join_hot, materialise, table
 
 RATIO = 0.1
 #: A line has to repeat: a page alone on its host keeps all of its lines.
 REPEATS = 2
-#: Of the SQL alone, which leaves out hosts with fewer pages.
-MIN_PAGES = 100
 
 
 def _lines(text: Column) -> Column:
@@ -27,35 +25,41 @@ def _key(bare: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO) -> DataFrame:
     """(host, lines): hashes of the lines on more than ratio of a host's pages, and on REPEATS pages or more.
 
     A page counts once for a line. A host has at most (mean lines of a page) / ratio such lines, however many pages. Counts
-    are combined before the shuffle, so a line or host that most pages share is no large group. min_pages: hosts with fewer
-    pages are left out (by default none).
+    are combined before the shuffle, so a line or host that most pages share is no large group.
     """
     host_name = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
-    pages = docs.groupBy(host_name).agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    pages = docs.groupBy(host_name).agg(F.count("*").alias("pages"))
     keys = F.transform(F.array_distinct(F.filter(F.transform(_lines(F.col(text)), _bare), lambda x: x != "")), _key)
-    counted = docs.select(host_name, F.explode_outer(keys).alias("line")).filter("line is not null").groupBy("host", "line.a", "line.b").agg(F.count("*").alias("n")).filter((F.col("n") >= REPEATS) & (F.col("n") > ratio * min_pages))
+    counted = docs.select(host_name, F.explode_outer(keys).alias("line")).filter("line is not null").groupBy("host", "line.a", "line.b").agg(F.count("*").alias("n")).filter(F.col("n") >= REPEATS)
     often = counted.join(broadcast_if_small(pages, 100_000), "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
-def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1, max_broadcast: int = 20_000) -> DataFrame:
+def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, max_broadcast: int = 500_000) -> DataFrame:
     """docs with boilerplate lines cut out of text, and n_lines and n_dropped (long; columns of these names are replaced).
 
     Lines are \\n-split and compared without white space at their ends; blank lines stay and count for nothing. Null texts
-    stay null; a null host is a host of that kind. Lines on one page alone stay. A text may become empty.
+    stay null; a null host is a host of that kind. Lines on one page alone stay. A text may become empty. Rows that repeat are
+    pages of their own; an empty table gives an empty one; a text of any length counts whole, and other columns may have any names.
+    max_broadcast: the most lines of all hosts that are broadcast.
     """
-    found = boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
-    rows = docs.join(broadcast_if_small(found, max_broadcast), F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")
-    parts = F.split(F.col(text), "\n")
-    stay = F.filter(parts, lambda x: (_bare(x) == "") | ~F.array_contains(F.col("_bad"), _key(_bare(x))))
-    rest = F.when(F.col(text).isNull() | F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
+    found = materialise(boilerplate(docs, host, text, ratio), "boilerplate")
+    lines = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    inner = {c: f"column_{i}" for i, c in enumerate(docs.columns)}  # so that no column name can clash
+    body, bad = F.col(inner[text]), F.col("lines")
+    rows = docs.toDF(*inner.values()).withColumn("host", F.coalesce(F.col(inner[host]).cast("string"), F.lit("")))
+    rows = join_hot(rows, found, "host", body, max_broadcast if lines <= max_broadcast else -1)
+    parts = F.split(body, "\n")
+    stay = F.filter(parts, lambda x: (_bare(x) == "") | ~F.array_contains(bad, _key(_bare(x))))
+    rest = F.when(body.isNull() | bad.isNull(), body).otherwise(F.array_join(stay, "\n"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = rows.select(*[docs[c] for c in columns if c != text], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_bad").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay)).cast("long").alias("n_dropped"), rest.alias(text))
-    return out.select(*columns, "n_lines", "n_dropped")
+    dropped = F.when(bad.isNull() | body.isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay)).cast("long").alias("n_dropped")
+    out = rows.select(*[rest.alias("rest") if c == text else F.col(inner[c]) for c in columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n"), dropped)
+    return out.toDF(*columns, "n_lines", "n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +79,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 with lines as (select rowid as r, doc_id, coalesce(source, '') as host, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at from documents_rows),
 bare as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as b from lines),
-pages as (select coalesce(source, '') as host, count(*) as pages from documents_rows group by 1 having count(*) >= {MIN_PAGES}),
-bad as (select b.host, b.b from bare b join pages p on b.host = p.host where b.b <> '' group by b.host, b.b, p.pages having count(distinct b.r) > {RATIO} * p.pages),
+pages as (select coalesce(source, '') as host, count(*) as pages from documents_rows group by 1),
+bad as (select b.host, b.b from bare b join pages p on b.host = p.host where b.b <> '' group by b.host, b.b, p.pages having count(distinct b.r) >= {REPEATS} and count(distinct b.r) > cast({RATIO} as double) * p.pages),
 cut as (select l.r, count(*) as n_lines, count(x.b) as n_dropped, coalesce(string_agg(l.line, chr(10) order by l.at) filter (where x.b is null), '') as text from bare l left join bad x on l.host = x.host and l.b = x.b group by l.r)
 select d.doc_id, d.source, case when d.text is null then null else c.text end as text, cast(coalesce(c.n_lines, 0) as bigint) as n_lines, cast(coalesce(c.n_dropped, 0) as bigint) as n_dropped
 from documents_rows d left join cut c on d.rowid = c.r
