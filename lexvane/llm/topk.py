@@ -19,76 +19,109 @@ from lexvane.llm.common import materialise, table
 TOP = 10
 #: Dimensions that are added between two looks at the bounds.
 STEP = 8
-#: Most queries and candidates of one task's cell.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1_000, 20_000
+#: Most queries and candidates of one task's cell. A candidate is read once for each QUERY_BLOCK queries.
+QUERY_BLOCK, CANDIDATE_BLOCK = 10_000, 20_000
 EXACT = float(1 << 53)
+#: Scores outside these come back as the nearer of them.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component x, as array<bigint>; null if the vector is null or has a null or non-finite component."""
-    fit = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
-    return F.when(vector.isNotNull() & fit, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """floor(scale * x) of each component x, as whole numbers in array<double>; null if the vector is null or has a null component or one that is not finite (or whose product is not)."""
+    product = lambda x: x.cast("double") * scale
+    fit = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(product(x)) != float("inf")))
+    whole = lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  # larger doubles are whole numbers
+    return F.when(vector.isNotNull() & fit, F.transform(vector, lambda x: whole(product(x))))
 
 
 class Cell:
     """Candidates in vertical layout: a row for each dimension, a column for each candidate."""
 
-    def __init__(self, ids: np.ndarray, vectors: list):
-        self.ids = ids
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: list):
+        self.rows, self.ids = rows, ids
         self.columns = np.array(vectors, dtype=np.float64).T.copy() if len(ids) else np.empty((0, 0))
-        mass = np.cumsum((self.columns**2)[::-1], axis=0)[::-1]
+        with np.errstate(over="ignore"):
+            mass = np.cumsum((self.columns**2)[::-1], axis=0)[::-1]
         self.mass = np.sqrt(np.vstack([mass[::STEP], np.zeros((1, len(ids)))])) if len(ids) else mass
 
-    def search(self, query_id, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best candidates but the query's own: a block of dimensions at a time, without those whose bound is too low.
+    def _exact(self, query: np.ndarray, live: np.ndarray) -> np.ndarray:
+        whole = [int(x) for x in query]
+        return np.array([sum(a * int(b) for a, b in zip(whole, self.columns[:, c], strict=True)) for c in live], dtype=object)
 
-        The rest of a score is at most the product of the norms of what remains of both vectors (Cauchy-Schwarz). The least
-        score to beat is exact: it comes from the k candidates that lead after each block. Whole numbers under 2**53 are exact.
+    def search(self, row: int, query: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best candidates but the query's own row: a block of dimensions at a time, without those whose bound is too low.
+
+        The rest of a score is at most the product of the norms of what remains of both vectors (Cauchy-Schwarz). floor is a
+        score that k other candidates reach; it rises with the k candidates that lead after each block. Whole numbers under
+        2**53 are exact in floating point; for larger ones, survivors are scored anew in whole numbers of any size.
         """
-        live = np.flatnonzero(self.ids != query_id)
+        live = np.flatnonzero(self.rows != row)
         part = np.zeros(len(live))
-        mass = np.sqrt(np.append(np.cumsum((query**2)[::-1])[::-1][::STEP], 0.0))
-        floor = -np.inf
-        for b in range(ceil(len(query) / STEP)):
-            dims = slice(b * STEP, (b + 1) * STEP)
-            part = part + query[dims] @ self.columns[dims][:, live]
-            if len(live) > k:
-                lead = live[np.argpartition(-part, k - 1)[:k]]
-                floor = max(floor, (query @ self.columns[:, lead]).min())
+        with np.errstate(over="ignore", invalid="ignore"):
+            mass = np.sqrt(np.append(np.cumsum((query**2)[::-1])[::-1][::STEP], 0.0))
+            largest = mass[0] * self.mass[0][live].max() if len(live) else 0.0
+        small = largest < EXACT / 4  # no sum of products can leave what is exact
+        slack = 1.0 if small else 1e-9 * largest + 1.0  # far more than what rounding can take from a bound
+        if largest < 1e300:
+            for b in range(ceil(len(query) / STEP)):
+                dims = slice(b * STEP, (b + 1) * STEP)
+                part = part + query[dims] @ self.columns[dims][:, live]
+                if len(live) > k:
+                    lead = live[np.argpartition(-part, k - 1)[:k]]
+                    floor = max(floor, (query @ self.columns[:, lead]).min())
                 rest = mass[b + 1] * self.mass[b + 1][live]
-                keep = part + rest * (1 + 1e-9) + 1 >= floor  # 1: far more than what rounding can take from the bound
+                keep = part + rest * (1 + 1e-9) + slack >= floor
                 if not keep.all():
                     live, part = live[keep], part[keep]
-        order = np.lexsort((self.ids[live], -part))[:k]
+        if not small:
+            part = self._exact(query, live)
+        order = sorted(range(len(live)), key=lambda i: (-part[i], self.ids[live[i]]))[:k] if len(live) <= 4 * k or not small else np.lexsort((self.ids[live], -part))[:k]
         return self.ids[live][order], part[order]
 
 
+def _best(cells: DataFrame, k: int) -> DataFrame:
+    """(row, query_id, id, score as decimal(38,0) text) of the k best of each cell."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, rest = pdf[pdf.asks], pdf[~pdf.asks]
+        out = {"row": [], "query_id": [], "id": [], "score": [], "place": []}
+        if len(rest) and pdf.d.iloc[0]:
+            cell = Cell(rest.row.to_numpy(), rest.id.to_numpy(), list(rest.v))
+            for row, i, v, floor in zip(asks.row, asks.id, asks.v, asks.floor, strict=True):
+                ids, scores = cell.search(row, np.asarray(v, np.float64), k, floor)
+                out["row"] += [row] * len(ids)
+                out["query_id"] += [i] * len(ids)
+                out["id"] += ids.tolist()
+                out["score"] += [min(max(int(s), LEAST), MOST) for s in scores]
+                out["place"] += [float(s) for s in scores]
+        return pd.DataFrame(out).astype({"row": np.int64, "query_id": np.int64, "id": np.int64, "score": np.int64, "place": np.float64})
+
+    return cells.groupBy("d", "qb", "cb").applyInPandas(search, "row long, query_id long, id long, score long, place double")
+
+
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = TOP, scale: int = 1024) -> DataFrame:
     """(query_id, rank, key, score): each query's k best other rows by inner product of quantised vectors; ties go to the smaller key.
 
-    All queries meet all rows, in a grid of query blocks and candidate blocks of bounded size, one group of rows each. Rows
-    with a null key, a null vector or a null or non-finite component take no part; of rows that repeat a key, the greatest
-    vector counts. Vectors of another length than a query's are no candidates for it. Queries without candidates give no rows.
+    All queries meet all rows, in a grid of query blocks and candidate blocks of bounded size, one group of rows each. The
+    first candidate block gives each query a score to beat in all others. Rows with a null key, a null vector or a null or
+    non-finite component take no part. Rows that repeat a key are queries and candidates of their own. Vectors of another
+    length than a query's are no candidates for it. Queries without candidates give no rows. Scores are exact; those that a
+    long can't hold come back as the least or greatest long, and rank by their double. Other columns are not read.
     """
-    whole = vectors.select(F.col(key).cast("long").alias("id"), is_query.alias("is_query"), quantised(F.col(vector), scale).alias("v"))
-    rows = materialise(whole.filter("id is not null and v is not null").groupBy("id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query")).withColumn("d", F.size("v")), "vectors")
-    n, q, peak = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
-    if peak and float(peak) ** 2 * rows.agg(F.max("d")).first()[0] >= EXACT:
-        raise ValueError("scores would not be exact: components are too large")
+    whole = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), quantised(F.col(vector), scale).alias("v"))
+    rows = materialise(whole.filter("id is not null and v is not null").withColumn("d", F.size("v")), "vectors")
+    n, q = rows.agg(F.count("*"), F.count_if("is_query")).first()
     q_blocks, c_blocks = max(1, ceil(q / QUERY_BLOCK)), max(1, ceil(n / CANDIDATE_BLOCK), min(24, ceil(n / 500)))
-    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
-    queries = rows.filter("is_query").select("id", "v", "d", F.lit(True).alias("asks"), block(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-    candidates = rows.select("id", "v", "d", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block(c_blocks).alias("cb"))
-    cells = queries.unionByName(candidates.withColumn("qb", F.col("qb").cast("long"))).groupBy("d", "qb", "cb")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, rest = pdf[pdf.asks], pdf[~pdf.asks]
-        cell = Cell(rest.id.to_numpy(), list(rest.v))
-        found = [(i, *cell.search(i, np.asarray(v, np.float64), k)) for i, v in zip(asks.id, asks.v, strict=True)] if len(rest) and pdf.d.iloc[0] else []
-        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), "id": np.concatenate([f[1] for f in found] or [[]]).astype(np.int64), "score": np.concatenate([f[2] for f in found] or [[]]).astype(np.int64)})
-
-    best = cells.applyInPandas(search, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    block = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
+    asked = rows.filter("is_query").select("row", "id", "v", "d", F.lit(True).alias("asks"), block(q_blocks).alias("qb"))
+    candidates = rows.select("row", "id", "v", "d", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block(c_blocks).alias("cb"), F.lit(None).cast("double").alias("floor"))
+    first = asked.withColumn("cb", F.lit(0)).withColumn("floor", F.lit(float("-inf")))
+    best = materialise(_best(first.unionByName(candidates.filter("cb = 0")), k), "best")
+    if c_blocks > 1:
+        floors = best.groupBy("row").agg(F.when(F.count("*") == k, F.min("place")).alias("floor"))
+        rest = asked.withColumn("cb", F.explode(F.sequence(F.lit(1), F.lit(c_blocks - 1)))).join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        best = best.unionByName(_best(rest.unionByName(candidates.filter("cb > 0")), k))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.desc("place"), "id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
@@ -97,10 +130,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with v as (select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as q from embeddings
+with v as (select row_number() over () as r, vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as q from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-scored as (select a.vec_id as query_id, b.vec_id, cast(list_sum([a.q[i] * b.q[i] for i in range(1, len(a.q) + 1)]) as bigint) as score
-           from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+scored as (select a.r, a.vec_id as query_id, b.vec_id, cast(list_sum([a.q[i] * b.q[i] for i in range(1, len(a.q) + 1)]) as bigint) as score
+           from v a join v b on a.vec_id % 100 = 0 and a.r <> b.r),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored)
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
 """
