@@ -135,17 +135,21 @@ def fold(key: str):
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Trees:
     """Trees from the texts of at most `sample` labelled documents outside fold 1: those of least key hash.
 
-    Null keys and labels count for nothing; of several labels of a document the least counts, of several texts one.
+    Null keys and labels count for nothing; of several labels of a document the least counts, of several texts one. Without
+    labelled rows, the score is 0.5 for all. Columns but key, text and label are not read.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key) != 1)).groupBy(key).agg(F.min(label).alias("y"))
-    chosen = marked.orderBy(F.xxhash64(key), key).limit(sample)
-    known = docs.join(F.broadcast(chosen.select(F.col(key).alias("_id"), "y")), F.col(key) == F.col("_id"))
-    rows = text_statistics(known, key, text).groupBy(key).agg(F.max("x").alias("x")).join(F.broadcast(chosen), key).orderBy(key).select("x", "y").collect()  # at most `sample` rows
+    chosen = F.broadcast(marked.orderBy(F.xxhash64(key), key).limit(sample).select(F.col(key).alias("id"), "y"))
+    known = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(chosen, "id")
+    rows = text_statistics(known, "id", "text").groupBy("id").agg(F.max("x").alias("x")).join(chosen, "id").orderBy("id").select("x", "y").collect()  # at most `sample` rows
     return boost(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r["y"]) for r in rows]))
 
 
 def score(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in keep (default: the key), score double from 0 to 1, predicted int; a row for each row, no shuffle."""
+    """docs' columns in keep (default: the key), score double from 0 to 1, predicted int; a row for each row, no shuffle.
+
+    A null text counts as empty; repeated rows each come back with the same score, and a text of any length counts whole.
+    """
     names = [key] if keep is None else keep
     schema = T.StructType([*docs.select(*names).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -167,7 +171,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents that a model from the labelled part of the whole corpus takes for good."""
+    """documents that a model from the labelled part of the whole corpus takes for good; repeated rows all stay or all go."""
     trees = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     rows = docs.select("text", F.struct("*").alias("_row"))  # whole rows, so that no column name can clash
     return score(rows, trees, keep=["_row"]).filter("predicted = 1").select("_row.*")
