@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexvane.llm.common import broadcast_if_small, table
+from lexvane.llm.common import join_hot, materialise, table
 from lexvane.llm.components import connected_components
 
 #: (verdict, rule): host, then path prefix.
@@ -77,10 +77,11 @@ def resolve(url: Column, target: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) URL keys of all canonical links and refresh redirects; relative targets are taken on the page's host and folder."""
+    """(src, dst) URL keys of all canonical links and refresh redirects; relative targets are taken on the page's host and folder, &amp; is &."""
     page = pages.filter(F.col(html).rlike("(?i)canonical|http-equiv")).select(F.col(url).cast("string").alias("u"), F.col(html).alias("h"))
     targets = lambda pattern, target: F.transform(F.regexp_extract_all("h", F.lit(pattern), F.lit(0)), lambda t: F.regexp_extract(t, target, 1))
     found = page.select("u", F.explode(F.concat(targets(LINK_TAG, HREF), targets(REFRESH_TAG, REFRESH_URL))).alias("t")).filter("t != ''")
+    found = found.withColumn("t", F.regexp_replace("t", "&(amp|#38|#[xX]26);", "&"))
     return found.select(url_key(F.col("u")).alias("src"), url_key(resolve(F.col("u"), F.col("t"))).alias("dst")).filter("src is not null and dst is not null")
 
 
@@ -91,7 +92,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataF
     without a rule is blocked if an alias is blocked by a rule, else allowed. Aliases: pages whose URLs are equal but for scheme
     and fragment, and all that redirects (src, dst URLs, from crawl logs) and the pages' own canonical links and refresh
     redirects connect; URLs in edges need not be pages. alias_of: the least key of the class of a page that has edges, else its
-    own key; null for a null or scheme-less URL, which has no aliases and no host: it is allowed if no rule fits.
+    own key; null for a null or scheme-less URL, which has no aliases and no host: it is allowed if no rule fits. Repeated rows
+    and keys each come back; an empty table gives an empty one. Other columns are not read.
     """
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("u"))
     base = base.select("page_id", url_host(F.col("u")).alias("host"), url_path(F.col("u")).alias("path"), url_key(F.col("u")).alias("key"), F.col("u").alias("own_url"))
@@ -104,15 +106,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataF
     members = None
     if edges is not None:
         members = connected_components(edges)
-        named = broadcast_if_small(members, max_broadcast)
-        classes = ruled.join(named, ruled.key == named.node, "left").select("page_id", "host", "path", "rule", "own", "key", F.coalesce("component", "key").alias("alias_of"))
+        classes = join_hot(ruled, members.withColumnRenamed("node", "key"), "key", F.col("page_id"), max_broadcast).select("page_id", "host", "path", "rule", "own", "key", F.coalesce("component", "key").alias("alias_of"))
     blocked = classes.filter(F.col("own") == "block").select("alias_of")
     if members is not None:  # a rule also holds for a URL that only edges name
         node_host, node_path = F.regexp_extract("node", "(?s)^([^/?#]*)", 1), F.regexp_extract("node", "(?s)^[^/?#]*([^?#]*)", 1)
         blocked = blocked.unionByName(members.filter(match_rule(node_host, node_path, rules)["verdict"] == "block").select(F.col("component").alias("alias_of")))
-    blocked = blocked.filter("alias_of is not null").distinct().withColumn("hit", F.lit(True))
+    blocked = materialise(blocked.filter("alias_of is not null").distinct().withColumn("hit", F.lit(True)), "blocked")
     open_pages, fixed = classes.filter("own is null"), classes.filter("own is not null")
-    decided = open_pages.join(blocked, "alias_of", "left").withColumn("verdict", F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")))
+    decided = join_hot(open_pages, blocked, "alias_of", F.col("page_id"), max_broadcast).withColumn("verdict", F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")))
     columns = ["page_id", "host", "path", "rule", "verdict", "alias_of"]
     return fixed.withColumn("verdict", F.col("own")).select(*columns).unionByName(decided.select(*columns))
 
