@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexvane.llm.bpe import groups
-from lexvane.llm.common import claim, materialise, table
+from lexvane.llm.common import broadcast_if_small, claim, materialise, table
 
 SEQUENCE = 2048
 #: Chunks of text that a Python worker remembers, and as many that it used before.
 MEMORY = 700_000
-#: Pieces of one length are ranked in so many parts.
-PARTS = 64
+#: Pieces of one length are ranked in parts of about so many.
+PART = 50_000
 
 
 class ChunkIds:
@@ -78,8 +79,16 @@ class ChunkIds:
                 start = at + 1
 
     def _plain(self, text: bytes) -> bytes:
-        """Lower case at once, where the normaliser does nothing else and no special token can be meant: fewer distinct chunks."""
-        return text.lower() if self.lowers and text.isascii() and b"<" not in text else text
+        """Lower case at once, where the normaliser does nothing else then and no special token can be meant: fewer distinct chunks."""
+        if not self.lowers or b"<" in text:
+            return text
+        if text.isascii():
+            return text.lower()
+        low = text.decode()
+        if "\u03a3" in low or not unicodedata.is_normalized("NFC", low):  # str.lower() gives a sigma its final form
+            return text
+        low = low.lower()
+        return low.encode() if unicodedata.is_normalized("NFC", low) else text
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
         rows = [self._plain(t or b"").split() for t in texts]
@@ -180,14 +189,17 @@ def pack(pieces: DataFrame, length: int = SEQUENCE) -> DataFrame:
     """pieces (with a column length of 1 to `length`) with sequence_id and offset; columns of these names are replaced.
 
     Each sequence is filled from 0 without gaps. Equal lengths are ranked by all other columns that can be ordered, so the
-    result does not depend on partitions, but for rows that are equal in all of them. pieces is read twice: write it first.
+    result does not depend on partitions, but for rows that are equal in all of them. Pieces that fill a sequence alone need no
+    rank: theirs have negative ids, by their place in the files. pieces is read several times: write it first.
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    narrow = pieces.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int").alias("_part"))
-    sizes = materialise(narrow.groupBy("length", "_part").agg(F.count("*").alias("n")), "lengths")  # length x PARTS rows at most
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    if counts and not 1 <= min(counts) <= max(counts) <= length:
-        raise ValueError(f"lengths have to be from 1 to {length}: {min(counts)} to {max(counts)}")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `length` rows at most
+    if counts and not (None not in counts and 1 <= min(counts) <= max(counts) <= length):
+        raise ValueError(f"lengths have to be from 1 to {length}")
+    alone = pieces.filter(F.col("length") == length).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    counts.pop(length, None)
+    if not counts:
+        return alone
     places, sequence, given = [], 0, {}
     for row, times in fill(counts, length):
         at = 0
@@ -201,16 +213,25 @@ def pack(pieces: DataFrame, length: int = SEQUENCE) -> DataFrame:
     spark = pieces.sparkSession
     # a run ends a length or takes it below its share, so there are a few thousand runs at most
     layout = spark.createDataFrame(places, "length long, from_rank long, to_rank long, share long, first_sequence long, base long")
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("length", "_part").orderBy(*[c for c in columns if c != "length" and pieces.schema[c].dataType.typeName() != "map"])
-    ranked = narrow.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), ["length", "_part"]).withColumn("_rank", F.col("_start") + F.col("_row") - 1)
-    inside = (ranked["length"] == layout["length"]) & (F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank"))
-    step = F.col("_rank") - F.col("from_rank")
+    parts = spark.createDataFrame([(n, -(-c // PART)) for n, c in counts.items()], "length long, n_parts long")
+    short = pieces.filter(F.col("length") < length).select(*columns, F.xxhash64(*columns).alias("pack_hash"))
+    dealt = short.join(F.broadcast(parts), "length").withColumn("pack_part", F.pmod("pack_hash", "n_parts"))
+    if max(counts.values()) > PART:
+        before = Window.partitionBy("length").orderBy("pack_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = dealt.groupBy("length", "pack_part").agg(F.count("*").alias("n"))
+        starts = materialise(sizes.select("length", "pack_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pack_start")), "starts")
+        dealt = dealt.join(broadcast_if_small(starts, 1_000_000), ["length", "pack_part"])  # a row for each length and each PART pieces
+    else:
+        dealt = dealt.withColumn("pack_start", F.lit(0))
+    within = Window.partitionBy("length", "pack_part").orderBy(*[c for c in columns if c != "length" and pieces.schema[c].dataType.typeName() != "map"])
+    ranked = dealt.withColumn("pack_rank", F.col("pack_start") + F.row_number().over(within) - 1)
+    inside = (ranked["length"] == layout["length"]) & (F.col("pack_rank") >= F.col("from_rank")) & (F.col("pack_rank") < F.col("to_rank"))
+    step = F.col("pack_rank") - F.col("from_rank")
     share = F.col("share")
     sequence_id = (F.col("first_sequence") + F.floor(step / share)).cast("long").alias("sequence_id")
     offset = (F.col("base") + (step % share) * ranked["length"]).cast("long").alias("offset")
-    return ranked.join(F.broadcast(layout), inside).select(*[ranked[c] for c in columns], sequence_id, offset)
+    packed = ranked.join(F.broadcast(layout), inside).select(*[ranked[c] for c in columns], sequence_id, offset)
+    return packed.unionByName(alone)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -230,7 +251,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and offset."""
+    """Pieces of the documents with their sequence and offset; repeated rows are packed each, and an empty table gives an empty one."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
