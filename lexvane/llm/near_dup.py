@@ -28,9 +28,9 @@ BANDS, ROWS = 60, 7
 #: A pair whose signatures agree in a smaller share of places goes on to no exact check; 0.8 is 5 standard errors higher.
 SIGNATURE_FLOOR = 0.70
 #: Members of a bucket outside its largest component, and members of all, that meet in one task.
-BLOCK, WIDE = 1000, 20_000
+BLOCK, WIDE = 1000, 8_000
 #: Bytes of shingle sets outside the largest component that meet twice as many bytes of all in one task.
-SET_BYTES = 16_000_000
+SET_BYTES = 4_000_000
 #: Copies of one shingle set from which on it is joined by a broadcast.
 COPIES = 1000
 MEMORY = 300_000
