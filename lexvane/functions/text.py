@@ -21,6 +21,16 @@ def prefix_text(tok: Column, pos: Column) -> Column:
     return F.array_join(F.slice(tok, 1, pos + 1), " ")
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens(text), without making them."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
+def leading_text(text: Column, pos: Column) -> Column:
+    """prefix_text(tokens(text), pos), without making the tokens."""
+    return F.call_function("substring_index", text, F.lit(" "), (pos + 1).cast("int"))
+
+
 def split_template(template: str, name: str) -> tuple[str, str]:
     """What stands before and after the placeholder {name}; without it, an error."""
     before, mark, after = template.partition("{" + name + "}")

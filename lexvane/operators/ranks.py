@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +25,30 @@ def bucket_rank(df: DataFrame, bucket: Column, order: list, name: str = "rank")
     return marked.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), "_bucket").withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_bucket", "_row", "_start")
 
 
+def group_rank(df: DataFrame, by: list[str], value: str, order: list, falling: bool = False, name: str = "rank", ranges: int = 1024) -> DataFrame:
+    """df with the rank (from 1) by order within each group of by, and _n, the group's rows.
+
+    order starts with the numeric column value (falling or not). Each group is cut into equal ranges of value between its least and
+    greatest; counts by group and range are summed up, and rows are numbered within a range, so no task holds a whole group.
+    """
+    number = F.col(value).cast("double")
+    bounds = df.groupBy(*by).agg(F.min(number).alias("_low"), F.max(number).alias("_high"), F.count("*").alias("_n"))
+    place = F.floor((number - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges)
+    place = F.when(F.col("_high") > F.col("_low"), F.coalesce(place, F.lit(-1 if falling else ranges + 1))).otherwise(F.lit(0))
+    if by:
+        same = [df[c].eqNullSafe(bounds[c]) for c in by]
+        marked = df.join(bounds, reduce(and_, same)).drop(*[bounds[c] for c in by])
+    else:
+        marked = df.join(F.broadcast(bounds))
+    marked = marked.withColumn("_range", (-place if falling else place).cast("long")).drop("_low", "_high")
+    counts = marked.groupBy(*by, "_range").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))
+    rows = marked.withColumn("_row", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    same = [rows[c].eqNullSafe(starts[c]) for c in [*by, "_range"]]
+    return rows.join(starts, reduce(and_, same)).drop(*[starts[c] for c in [*by, "_range"]]).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_range", "_row", "_start")
+
+
 def hash_rank(df: DataFrame, seed, keys: list[str], name: str = "rank") -> DataFrame:
     """df with its rank in the seeded order of keys, which have to be unique for a stable result. At most 65,536 buckets."""
     marked = df.withColumn("_h", hash_key(seed, *[F.col(k) for k in keys]))
@@ -98,9 +125,9 @@ def merge_parts(df: DataFrame, m: int) -> DataFrame:
 
 
 def truncate_balanced(df: DataFrame, part: str, micro: int, order: str) -> DataFrame:
-    """As many rows of each part: the least part's count, cut to a multiple of micro; none left is an error."""
+    """As many rows of each part: the least part's count, cut to a multiple of micro; none left is an error. order is a number."""
     least = df.groupBy(part).count().agg(F.min("count")).first()[0] or 0
     keep = least // micro * micro
     if not keep:
         raise ValueError(f"the least part has {least} rows, fewer than {micro}")
-    return df.withColumn("_row", F.row_number().over(Window.partitionBy(part).orderBy(order))).filter(F.col("_row") <= keep).drop("_row")
+    return group_rank(df, [part], order, [order], name="_rank").filter(F.col("_rank") <= keep).drop("_rank", "_n")

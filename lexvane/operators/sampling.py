@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexvane.functions.keys import hash_key
-from lexvane.functions.text import prefix_text
-from lexvane.operators.ranks import running_total
+from lexvane.functions.text import leading_text, token_count
+from lexvane.operators.ranks import group_rank, running_total
 
 MIN_POSITION = 50
 
@@ -20,18 +20,52 @@ def eligible(tok: Column, min_pos: int = MIN_POSITION, special: list[str] | None
     return F.filter(places, lambda p: ~F.get(tok, p).isin(special)) if special else places
 
 
+def draw(n: Column, k: int, seed: int, doc: Column) -> Column:
+    """k distinct whole numbers under n (all, if n is fewer), each set with the same chance: Floyd's sampling, with one hash a draw.
+
+    The i-th draw goes up to j = n - k + i; a number that is there already gives way to j itself (Bentley and Floyd, CACM 1987).
+    """
+    size = F.least(n, F.lit(k)).cast("long")
+    turns = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def turn(i: Column) -> Column:
+        top = n - size + i
+        return F.struct(top.alias("top"), (F.conv(F.substring(hash_key(seed, doc, i), 1, 12), 16, 10).cast("long") % (top + 1)).alias("at"))
+
+    take = lambda found, t: F.concat(found, F.array(F.when(F.array_contains(found, t["at"]), t["top"]).otherwise(t["at"])))
+    return F.aggregate(F.transform(turns, turn), F.array().cast("array<bigint>"), take)
+
+
 def sample_positions(df: DataFrame, tok: Column, k: int = 10, min_pos: int = MIN_POSITION, special: list[str] | None = None, seed: int = 42, doc: str = "doc_id") -> DataFrame:
     """df with position: k eligible positions of each document (all, if fewer), by the seed and the document alone. No shuffle."""
-    order = lambda p: F.struct(hash_key(seed, F.col(doc), p).alias("h"), p.alias("p"))
-    chosen = F.slice(F.array_sort(F.transform(eligible(tok, min_pos, special), order)), 1, k)
-    return df.select("*", F.explode(F.transform(chosen, lambda x: x["p"])).alias("position"))
+    n = F.col("_eligible")
+    if special:
+        rows = df.withColumn("_places", eligible(tok, min_pos, special)).withColumn("_eligible", F.size("_places").cast("long"))
+        chosen = F.transform(draw(n, k, seed, F.col(doc)), lambda i: F.get("_places", i.cast("int")))
+    else:
+        rows = df.withColumn("_eligible", (F.size(tok) - min_pos).cast("long"))  # a column of its own: what lambdas name is computed in each round
+        chosen = F.transform(draw(n, k, seed, F.col(doc)), lambda i: (i + min_pos).cast("int"))
+    return rows.select(*[rows[c] for c in df.columns], F.explode(chosen).alias("position"))
+
+
+def _sized(docs: DataFrame, k: int, min_pos: int, seed: int) -> tuple[DataFrame, Column]:
+    """docs with the number of eligible positions, and the drawn ones as whole numbers from 0."""
+    rows = docs.select("doc_id", "text", (token_count(F.col("text")) - min_pos).cast("long").alias("_eligible"))
+    return rows, draw(F.col("_eligible"), k, seed, F.col("doc_id"))
 
 
 def base_rows(docs: DataFrame, k: int = 10, min_pos: int = MIN_POSITION, seed: int = 42, layer: int = 20) -> DataFrame:
-    """(doc_id, n_raw_tokens, detokenized_text_truncated, activation_layer) of sampled positions."""
-    tok = F.split("text", " ")
-    rows = sample_positions(docs.select("doc_id", "text"), tok, k, min_pos, None, seed)
-    return rows.select("doc_id", (F.col("position") + 1).cast("long").alias("n_raw_tokens"), prefix_text(tok, F.col("position")).alias("detokenized_text_truncated"), F.lit(layer).cast("long").alias("activation_layer"))
+    """(doc_id, n_raw_tokens, detokenized_text_truncated, activation_layer) of sampled positions; a text is never split into its tokens."""
+    rows, places = _sized(docs, k, min_pos, seed)
+    pair = lambda i: F.struct((i + min_pos + 1).alias("n"), leading_text(F.col("text"), i + min_pos).alias("t"))
+    out = rows.select("doc_id", F.explode(F.transform(places, pair)).alias("p"))
+    return out.select("doc_id", F.col("p.n").alias("n_raw_tokens"), F.col("p.t").alias("detokenized_text_truncated"), F.lit(layer).cast("long").alias("activation_layer"))
+
+
+def base_keys(docs: DataFrame, k: int = 10, min_pos: int = MIN_POSITION, seed: int = 42) -> DataFrame:
+    """(doc_id, n_raw_tokens) of base_rows(), without their texts."""
+    rows, places = _sized(docs, k, min_pos, seed)
+    return rows.select("doc_id", F.explode(F.transform(places, lambda i: i + min_pos + 1)).alias("n_raw_tokens"))
 
 
 def short_documents(docs: DataFrame, tok: Column, k: int = 10, min_pos: int = MIN_POSITION) -> DataFrame:
@@ -44,10 +78,10 @@ def pick_top_mid_bottom(df: DataFrame, score: str, key: str, top: int, mid: int,
     """The first `top`, `mid` around the middle and the last `bottom` rows by falling score, each once, with rank (from 0) and pick.
 
     Ties go by key; a row that two picks share counts for the first of top, mid, bottom. by: groups that are picked apart.
+    Ranks within a group come from ranges of the score, so that a large group is spread over tasks; null scores are last.
     """
     by = by or []
-    order = Window.partitionBy(*by).orderBy(F.desc(score), key)
-    rows = df.withColumn("rank", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    rows = group_rank(df, by, score, [F.desc_nulls_last(score), F.col(key)], falling=True, name="rank").withColumn("rank", F.col("rank") - 1)
     start = F.greatest(F.lit(0), F.floor(F.col("_n") / 2) - mid // 2)
     pick = F.when(F.col("rank") < top, "top").when((F.col("rank") >= start) & (F.col("rank") < start + mid), "mid").when(F.col("rank") >= F.col("_n") - bottom, "bottom")
     return rows.withColumn("pick", pick).filter("pick is not null").drop("_n")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexvane.functions.text import render, user_prompt, wrap_tag
-from lexvane.operators.joins import EXPLANATION, TEXT, route
+from lexvane.operators.joins import EXPLANATION, TEXT
 from lexvane.operators.ranks import hash_rank
 
 VECTOR = "activation_vector"
@@ -17,19 +19,35 @@ def distinct_docs(df: DataFrame, doc: str = "doc_id") -> DataFrame:
     return df.select(doc).distinct()
 
 
-def document_buckets(df: DataFrame, fractions: tuple[float, float, float], seed: int, doc: str = "doc_id") -> DataFrame:
-    """(doc, bucket): of the distinct documents in seeded order, int(n * f1) are av, the next int(n * f2) ar, the rest rl."""
+def _buckets(docs: DataFrame, n: int, fractions: tuple[float, float, float], seed: int, doc: str) -> DataFrame:
+    first, second = (floor(n * float(f)) for f in fractions[:2])
+    rank = F.col("rank")
+    return hash_rank(docs, seed, [doc]).select(doc, F.when(rank <= first, "av").when(rank <= first + second, "ar").otherwise("rl").alias("bucket"))
+
+
+def _check_fractions(fractions: tuple[float, float, float]) -> None:
     if min(fractions) < 0 or abs(sum(fractions) - 1) > 1e-6:
         raise ValueError(f"fractions have to be 0 or more and sum up to 1: {fractions}")
-    ranked = hash_rank(distinct_docs(df, doc), seed, [doc])
-    n = df.agg(F.count_distinct(doc).alias("_n"))
-    first, second = (F.floor(F.col("_n") * F.lit(float(f))) for f in fractions[:2])
-    return ranked.join(F.broadcast(n)).select(doc, F.when(F.col("rank") <= first, "av").when(F.col("rank") <= first + second, "ar").otherwise("rl").alias("bucket"))
 
 
-def split_docs(df: DataFrame, fractions: tuple[float, float, float], seed: int, doc: str = "doc_id") -> DataFrame:
-    """df with its document's bucket: no document is in two."""
-    return route(df, document_buckets(df, fractions, seed, doc), doc)
+def document_buckets(df: DataFrame, fractions: tuple[float, float, float], seed: int, doc: str = "doc_id") -> DataFrame:
+    """(doc, bucket): of the distinct documents in seeded order, int(n * f1) are av, the next int(n * f2) ar, the rest rl."""
+    _check_fractions(fractions)
+    docs = distinct_docs(df, doc)
+    return _buckets(docs, docs.count(), fractions, seed, doc)
+
+
+def split_docs(df: DataFrame, fractions: tuple[float, float, float], seed: int, doc: str = "doc_id", documents: DataFrame | None = None, max_broadcast: int = 1_000_000) -> DataFrame:
+    """df with its document's bucket: no document is in two.
+
+    documents: a table of the same documents that costs less to read than df, if there is one. The number of documents, taken once,
+    also tells whether their buckets are broadcast.
+    """
+    _check_fractions(fractions)
+    docs = distinct_docs(df if documents is None else documents, doc)
+    n = docs.count()
+    buckets = _buckets(docs, n, fractions, seed, doc)
+    return df.join(F.broadcast(buckets) if n <= max_broadcast else buckets, doc)
 
 
 def check_split(df: DataFrame, documents: DataFrame, doc: str = "doc_id", bucket: str = "bucket") -> DataFrame:

@@ -62,14 +62,14 @@ buckets as (select doc_id, case when rank <= cast(floor(n * 0.25) as bigint) the
 
 @query(f"with {BUCKETS} select bucket, count(distinct b.doc_id) as docs, count(*) as rows from base b join buckets k on b.doc_id = k.doc_id group by bucket")
 def q_split_docs(spark, sf_dir):
-    rows = r.base(spark, sf_dir).select("doc_id", "n_raw_tokens")
-    return metrics.stage_counters(splits.split_docs(rows, (0.25, 0.25, 0.5), 42), "bucket")
+    split = splits.split_docs(r.keys(spark, sf_dir), (0.25, 0.25, 0.5), 42, documents=r.long_documents(spark, sf_dir))
+    return metrics.stage_counters(split, "bucket")
 
 
 @query(f"with {BUCKETS} select count(*) filter (k > 1) as docs_in_two, count(*) filter (k is null) as docs_missing from docs d left join (select doc_id, count(distinct bucket) as k from buckets group by 1) x on d.doc_id = x.doc_id")
 def q_split_leak(spark, sf_dir):
-    rows = r.base(spark, sf_dir).select("doc_id", "n_raw_tokens")
-    return splits.check_split(splits.split_docs(rows, (0.25, 0.25, 0.5), 42), rows)
+    docs = r.long_documents(spark, sf_dir)
+    return splits.check_split(splits.split_docs(r.keys(spark, sf_dir), (0.25, 0.25, 0.5), 42, documents=docs), docs)
 
 
 # text
@@ -146,7 +146,7 @@ def q_cache_stats(spark, sf_dir):
 
 @query(f"with {r.PRIOR} select doc_id, n_raw_tokens, api_explanation from prior where (doc_id * 7 + n_raw_tokens) % 200 <> 0")
 def q_reuse_join(spark, sf_dir):
-    rows = r.base(spark, sf_dir)
+    rows = r.keys(spark, sf_dir)  # the join needs no texts
     known = r.prior_ar(rows).filter((F.col("doc_id") * 7 + F.col("n_raw_tokens")) % 200 != 0)
     return joins.reuse_join(rows, known, template=r.CRITIC).select("doc_id", "n_raw_tokens", EXPLANATION)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexvane.operators.joins import EXPLANATION, cache_join
 from lexvane.operators.ranks import shuffle_rows
 from lexvane.operators.sampling import base_rows
-from lexvane.operators.splits import build_stage, document_buckets, route
+from lexvane.operators.splits import build_stage, split_docs
 from lexvane.sources.tables import write_split, write_table
 
 #: Settings that a model brings along; a config's own keys win.
@@ -49,7 +49,7 @@ def run_pipeline(spark: SparkSession, cfg: dict, documents: DataFrame, vectors,
             write_table(base_rows(documents, cfg["positions_per_doc"], cfg["min_position"], cfg["seed"], cfg["layer"]), at["base"])
         elif stage == "split":
             rows = spark.read.parquet(at["base"])
-            write_split(route(rows, document_buckets(rows.select("doc_id"), cfg["fractions"], cfg["seed"])), at["split"])
+            write_split(split_docs(rows, cfg["fractions"], cfg["seed"]), at["split"])
         elif stage == "explain":
             rows = spark.read.parquet(at["split"])
             joined = cache_join(rows, caches(rows)) if caches else rows.withColumn(EXPLANATION, F.lit(None).cast("string"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexvane import share_code
 from lexvane.functions.keys import hash_key
-from lexvane.functions.text import render, wrap_tag
+from lexvane.functions.text import render, token_count, wrap_tag
 from lexvane.operators.joins import EXPLANATION, TEXT
-from lexvane.operators.sampling import base_rows
+from lexvane.operators.sampling import MIN_POSITION, base_keys, base_rows
 from lexvane.operators.splits import VECTOR
 
 ACTOR = "Describe the vector <v>."
@@ -26,11 +26,22 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_rows(table(spark, sf_dir, "documents"))
 
 
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_raw_tokens) of base()."""
+    return base_keys(table(spark, sf_dir, "documents"))
+
+
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which base() has rows."""
+    return table(spark, sf_dir, "documents").filter(token_count(F.col("text")) > MIN_POSITION).select("doc_id")
+
+
+#: Ten draws a document: the i-th is a hash modulo n - k + i + 1, or n - k + i where that is drawn already.
 BASE = """tok as (select doc_id, string_split(text, ' ') as tok from documents),
-cand as (select doc_id, unnest(range(50, len(tok))) as p from tok),
-ranked as (select doc_id, p, row_number() over (partition by doc_id order by sha256('42|' || doc_id || '|' || p), p) as rn from cand),
-base as (select r.doc_id, cast(r.p + 1 as bigint) as n_raw_tokens, array_to_string(t.tok[1:r.p + 1], ' ') as prefix, cast(20 as bigint) as activation_layer
-         from ranked r join tok t on r.doc_id = t.doc_id where rn <= 10)"""
+sized as (select doc_id, tok, cast(len(tok) - 50 as bigint) as n, cast(least(len(tok) - 50, 10) as bigint) as k from tok where len(tok) > 50),
+drawn as (select doc_id, tok, list_reduce(list_prepend(cast([] as bigint[]), list_transform(range(0, k), lambda i: [n - k + i, cast('0x' || substr(sha256('42|' || doc_id || '|' || i), 1, 12) as bigint) % (n - k + i + 1)])),
+    lambda found, x: list_append(found, case when list_contains(found, x[2]) then x[1] else x[2] end)) as places from sized),
+base as (select doc_id, cast(p + 51 as bigint) as n_raw_tokens, array_to_string(tok[1:p + 51], ' ') as prefix, cast(20 as bigint) as activation_layer from drawn, unnest(places) as u(p))"""
 
 
 def with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def fanout_roundtrip(spark, sf_dir):
     at = scratch(spark, "fanout")
-    rows = splits.split_docs(r.base(spark, sf_dir).select("doc_id", "n_raw_tokens"), (0.25, 0.25, 0.5), 42)
+    rows = splits.split_docs(r.keys(spark, sf_dir), (0.25, 0.25, 0.5), 42, documents=r.long_documents(spark, sf_dir))
     tables.write_split(rows, f"{at}/split")
     tables.write_table(r.rollouts(spark, sf_dir).drop("ts"), f"{at}/rollouts", partition_by=["step"])
     split = tables.scan(spark, f"{at}/split", ["bucket", "doc_id"]).groupBy(F.col("bucket").alias("name")).agg(F.count("*").alias("rows"))

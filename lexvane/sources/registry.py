@@ -92,12 +92,10 @@ def child_id(parent: Column, op: str, value: str | int | None = None) -> Column:
 
 def lineage(metas: DataFrame, of: str | None = None) -> DataFrame:
     """(dataset_id, ancestor, depth): all ancestors, at their least depth. A registry is small and has no cycles."""
-    name = f"registry_{id(metas)}"
-    metas.select("dataset_id", F.explode("parent_datasets").alias("parent")).createOrReplaceTempView(name)
-    start = f"where dataset_id = '{of}'" if of else ""
-    return metas.sparkSession.sql(f"""
+    edges = metas.select("dataset_id", F.explode("parent_datasets").alias("parent"))
+    return metas.sparkSession.sql("""
         with recursive up as (
-            select dataset_id, parent as ancestor, 1 as depth from {name} {start}
+            select dataset_id, parent as ancestor, 1 as depth from {first}
             union all
-            select up.dataset_id, e.parent, up.depth + 1 from up join {name} e on up.ancestor = e.dataset_id)
-        select dataset_id, ancestor, min(depth) as depth from up group by dataset_id, ancestor""")
+            select up.dataset_id, e.parent, up.depth + 1 from up join {edges} e on up.ancestor = e.dataset_id)
+        select dataset_id, ancestor, min(depth) as depth from up group by dataset_id, ancestor""", edges=edges, first=edges.filter(F.col("dataset_id") == of) if of else edges)

@@ -47,14 +47,15 @@ def rollout_scan(spark: SparkSession, path: str, steps: list | None = None, colu
 
 
 def resume_append(df: DataFrame, path: str, ordinal: str, chunk_rows: int) -> int:
-    """Append the chunks (of chunk_rows rows in the order of ordinal) that path doesn't hold yet; the number of rows written.
+    """Append the rows, in chunks of chunk_rows in the order of ordinal, that path doesn't hold yet; the number of rows written.
 
+    Rows are told apart by ordinal, so that a last chunk that was not full gets its rest when the table has grown at its end.
     A run writes to a folder of its own, whose rows count once its _SUCCESS is there, so a partial chunk is never taken for done.
     """
     spark = df.sparkSession
     chunks = ordinal_rank(df, ordinal, "_rank").withColumn("chunk_id", F.expr(f"(_rank - 1) div {chunk_rows}")).drop("_rank")
     done = finished(spark, path)
-    todo = chunks if done is None else chunks.join(F.broadcast(done.select("chunk_id").distinct()), "chunk_id", "left_anti")
+    todo = chunks if done is None else chunks.join(done.select(ordinal), ordinal, "left_anti").select(*chunks.columns)
     target = f"{path}/run={uuid.uuid4().hex}"
     todo.write.parquet(target)
     return spark.read.schema(todo.schema).parquet(target).count()
