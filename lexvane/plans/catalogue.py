@@ -37,9 +37,10 @@ def query(sql: str | None = None):
 # scans and samples
 
 
-@query("select 'docs:train:' || doc_id as doc_id, doc_id as ordinal, length(text) as n from documents where doc_id >= 20 and doc_id < 20 + 100")
+@query("with m as (select max(doc_id) + 1 as n from documents) select 'docs:train:' || doc_id as doc_id, doc_id as ordinal, length(text) as n from documents, m where doc_id >= n // 10 and doc_id < n // 10 + n // 2")
 def q_corpus_slice(spark, sf_dir):
-    rows = tables.corpus_scan(spark, f"{sf_dir}/documents.parquet", "docs", "train", 20, 100, "text", "doc_id")
+    n = r.table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).first()[0]
+    rows = tables.corpus_scan(spark, f"{sf_dir}/documents.parquet", "docs", "train", n // 10, n // 2, "text", "doc_id")
     return rows.select("doc_id", "ordinal", F.length("text").cast("long").alias("n"))
 
 
@@ -158,7 +159,7 @@ def q_recover_cache(spark, sf_dir):
     return found.select(tx.text_key(F.col(TEXT)).alias("k"), EXPLANATION)
 
 
-@query(f"""with {r.PRIOR}, a as (select doc_id, n_raw_tokens, substr(prefix, 1, 40) as t from base where doc_id % 10 <> 0), b as (select doc_id, n_raw_tokens, case when doc_id % 7 = 0 then 'x' else substr(prefix, 1, 40) end as t from base where doc_id % 10 <> 1),
+@query(f"""with {r.PRIOR}, a as (select doc_id, n_raw_tokens, sha256(prefix) as t from base where doc_id % 10 <> 0), b as (select doc_id, n_raw_tokens, case when doc_id % 7 = 0 then 'x' else sha256(prefix) end as t from base where doc_id % 10 <> 1),
 j as (select a.t as ta, b.t as tb, a.doc_id as ia, b.doc_id as ib from a full join b on a.doc_id = b.doc_id and a.n_raw_tokens = b.n_raw_tokens)
 select count(*) filter (ia is not null and ib is not null) as shared, count(*) filter (ib is null) as only_a, count(*) filter (ia is null) as only_b, count(*) filter (ia is not null and ib is not null and ta is distinct from tb) as text_mismatches,
 round(100.0 * count(*) filter (ia is not null and ib is not null) / count(ia), 4) as overlap_pct from j""")
@@ -428,9 +429,9 @@ def q_append_turn(spark, sf_dir):
     return rows.select("conv_id", "turn", both.alias("p")).select("conv_id", "turn", F.size("p").alias("n_turns"), F.get("p", F.lit(1))["role"].alias("last_role"), F.get("p", F.lit(1))["content"].alias("last_content"))
 
 
-@query("select doc_id, case when text like '%the%' then replace(text, 'the', '<v>') end as content from documents where lang = 'en'")
+@query("select doc_id, case when text like '%the%' then replace(text, 'the', '<v>') end as content from documents")
 def q_substitute_marker(spark, sf_dir):
-    rows = r.table(spark, sf_dir, "documents").filter("lang = 'en'")
+    rows = r.table(spark, sf_dir, "documents")
     prompt = tx.substitute_marker(tx.user_prompt(F.col("text")), "the", "<v>")
     return rows.select("doc_id", F.get(prompt, F.lit(0))["content"].alias("content"))
 
@@ -473,10 +474,10 @@ EPOCHS = """n as (select count(*) as n from documents), e as (select unnest([0,
 ordered as (select doc_id, epoch, epoch * n + row_number() over (partition by epoch order by sha256((42 + epoch) || '|' || doc_id), doc_id) - 1 as pos from documents, e, n)"""
 
 
-@query(f"with {EPOCHS} select doc_id, epoch, pos, pos // 96 as batch_id from ordered where pos < 96 * 12")
+@query(f"with {EPOCHS} select doc_id, epoch, pos, pos // 96 as batch_id from ordered, n where pos < 96 * (3 * n // 96)")
 def q_epoch_batches(spark, sf_dir):
     docs = r.table(spark, sf_dir, "documents").select("doc_id")
-    return ranks.draw_batches(ranks.epoch_order(docs, 42, 3, ["doc_id"]), 96, 12).select("doc_id", F.col("epoch").cast("int").alias("epoch"), "pos", "batch_id")
+    return ranks.draw_batches(ranks.epoch_order(docs, 42, 3, ["doc_id"]), 96, 3 * docs.count() // 96).select("doc_id", F.col("epoch").cast("int").alias("epoch"), "pos", "batch_id")
 
 
 @query(f"with {EPOCHS} select doc_id, pos as group_index, pos * 4 + i as sample_index from ordered, unnest(range(0, 4)) as u(i) where epoch = 0")
@@ -589,7 +590,7 @@ def q_resume_stream(spark, sf_dir):
     return stateful.resume_two_runs(spark, sf_dir)
 
 
-@query("select doc_id, i - 1 as position, cast(length(string_split(text, ' ')[i]) as double) as first from documents, unnest(range(1, least(len(string_split(text, ' ')), 5) + 1)) as u(i)")
+@query("with t as (select doc_id, string_split(text, ' ') as tok from documents) select doc_id, i - 1 as position, cast(length(tok[i]) as double) as first from t, unnest(range(1, len(tok) + 1)) as u(i)")
 def q_extractor(spark, sf_dir):
     return stateful.extractor(spark, sf_dir)
 

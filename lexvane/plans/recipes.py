@@ -53,22 +53,27 @@ def with_vectors(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, raw): raw completions of the English documents: none, unclosed, of one feature, or of three."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("a"))
-    part = lambda start, n: F.substring("a", start, n)
-    three = F.concat(F.lit("Sure.\n<analysis>\n1. "), part(1, 30), F.lit("\n- **"), part(31, 15), F.lit(":** "), part(46, 20), F.lit("\n(c) "), part(66, 20), F.lit("**\n</analysis> Done."))
+    """(doc_id, raw): raw completions from whole texts: none, unclosed, or of a feature for each 40 words, with list marks and bold runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    part = lambda i, start, n: F.array_join(F.slice("w", 40 * i + start, n), " ")
+
+    def feature(i):
+        body = F.concat(F.lit("**"), part(i, 1, 4), F.lit(":** "), part(i, 5, 36))
+        return F.when(i % 3 == 0, F.concat(F.lit("1. "), part(i, 1, 40))).when(i % 3 == 1, F.concat(F.lit("- "), body)).otherwise(F.concat(F.lit("(c) "), part(i, 1, 40), F.lit("**")))
+
+    count = F.ceil(F.size("w") / 40).cast("int")
+    lines = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), feature), "\n")
     kind = F.col("doc_id") % 10
-    raw = F.when(kind == 0, None).when(kind == 1, F.concat(F.lit("<analysis>\n1. "), part(1, 30))).when(kind == 2, F.concat(F.lit("<analysis>\n1. "), part(1, 30), F.lit("\n</analysis>"))).otherwise(three)
+    raw = F.when(kind == 0, None).when(kind == 1, F.concat(F.lit("<analysis>\n"), lines)).otherwise(F.concat(F.lit("Sure.\n<analysis>\n"), lines, F.lit("\n</analysis> Done.")))
     return docs.select("doc_id", raw.alias("raw"))
 
 
-COMPLETIONS = """ascii as (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as a from documents where lang = 'en'),
-completions as (select doc_id, case doc_id % 10 when 0 then null when 1 then '<analysis>' || chr(10) || '1. ' || substr(a, 1, 30)
-    when 2 then '<analysis>' || chr(10) || '1. ' || substr(a, 1, 30) || chr(10) || '</analysis>'
-    else 'Sure.' || chr(10) || '<analysis>' || chr(10) || '1. ' || substr(a, 1, 30) || chr(10) || '- **' || substr(a, 31, 15) || ':** ' || substr(a, 46, 20)
-         || chr(10) || '(c) ' || substr(a, 66, 20) || '**' || chr(10) || '</analysis> Done.' end as raw from ascii)"""
+COMPLETIONS = """cut as (select doc_id, string_split(text, ' ') as w from documents),
+listed as (select doc_id, array_to_string(list_transform(range(0, (len(w) + 39) // 40), lambda i: case i % 3 when 0 then '1. ' || array_to_string(w[40 * i + 1:40 * i + 40], ' ')
+    when 1 then '- **' || array_to_string(w[40 * i + 1:40 * i + 4], ' ') || ':** ' || array_to_string(w[40 * i + 5:40 * i + 40], ' ') else '(c) ' || array_to_string(w[40 * i + 1:40 * i + 40], ' ') || '**' end), chr(10)) as lines from cut),
+completions as (select doc_id, case doc_id % 10 when 0 then null when 1 then '<analysis>' || chr(10) || lines else 'Sure.' || chr(10) || '<analysis>' || chr(10) || lines || chr(10) || '</analysis> Done.' end as raw from listed)"""
 
-#: The clean-up of explanations, for ASCII input.
+#: The clean-up of explanations, for input whose white space is ASCII.
 CLEAN = r"""cleaned as (select doc_id, raw, case when regexp_matches(raw, '(?s)<analysis>.*?</analysis>') then array_to_string(list_filter(list_transform(
     string_split(regexp_replace(regexp_extract(raw, '(?s)<analysis>(.*?)</analysis>', 1), '^\s+|\s+$', '', 'g'), chr(10)),
     lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\s*(?:[-*+]|\d+[.)]|\(\d+\)|[a-zA-Z][.)]|\([a-zA-Z]\)|[ivxIVX]+[.)])\s+', ''),

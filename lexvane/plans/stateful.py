@@ -21,7 +21,11 @@ from lexvane.streaming import scoring
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the session's shared checkpoint folder; where that is unset (local runs), in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexvane-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lexvane-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -139,7 +143,7 @@ def resume_two_runs(spark, sf_dir):
 def _lengths(texts: list[str]) -> list:
     out = []
     for t in texts:
-        words = t.split(" ")[:5]
+        words = t.split(" ")
         out.append((list(range(len(words))), np.array([[len(w), 1.0] for w in words])))
     return out
 
@@ -154,7 +158,7 @@ def _complete(prompts: list[str]) -> list[str | None]:
 
 
 def provider(spark, sf_dir):
-    """Completions of the rows that the cache misses."""
+    """Completions of the rows that the cache misses: the even documents are cached."""
     docs = r.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("text")).alias("detokenized_text_truncated"), "text")
     cache = docs.filter("doc_id % 2 = 0").select("detokenized_text_truncated", F.lit("known").alias("api_explanation"))
     misses = cache_misses(docs, [cache]).select("doc_id", F.col("text").alias("prompt"))
