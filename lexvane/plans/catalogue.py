@@ -179,7 +179,7 @@ SITES = """tk as (select doc_id, string_split(text, ' ') as ids from documents),
 sites as (select doc_id, i - 1 as site, ids[i - 1] as l, ids[i + 1] as r from tk, unnest(range(2, len(ids))) as u(i) where ids[i] in ('the', 'la'))"""
 
 
-@query(f"with {SITES}, s as (select doc_id, site from sites where l = 'of' and r = 'that'), z as (select doc_id, site, row_number() over (order by doc_id, site) - 1 as rank from s) select z.doc_id, z.site, e.vec_id from z join (select vec_id, row_number() over (order by vec_id) - 1 as rank from embeddings) e on z.rank = e.rank")
+@query(f"with {SITES}, s as (select doc_id, site from sites where l = 'of' and r = 'that'), z as (select doc_id, site, row_number() over (order by doc_id, site) - 1 as rank from s) select z.doc_id, z.site, e.vec_id from z join (select vec_id, row_number() over (order by vec_id) - 1 as rank, count(*) over () as m from embeddings) e on z.rank % e.m = e.rank")
 def q_zip_join(spark, sf_dir):
     ids = F.col("ids")
     docs = r.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("ids"))
@@ -284,6 +284,31 @@ def q_lineage(spark, sf_dir):
     return registry.lineage(edges)
 
 
+@query(f"with {IDS} select 'base_base-1_L20_' || substr(sha256('lab/base-1|20|documents|' || min(m.start) || '|' || cast(sum(m.length) as bigint)), 1, 8) as dataset_id, min(m.start) as start, cast(sum(m.length) as bigint) as length, cast(sum(m.length) as bigint) as row_count, string_agg(ids.id, ' ' order by m.start) as parents from metas m join ids on m.start = ids.start")
+def q_merged_record(spark, sf_dir):
+    return splits.merged_record(r.shard_metas(spark, sf_dir)).withColumn("parents", F.array_join("parent_datasets", " ")).drop("parent_datasets")
+
+
+@query(f"with {IDS} select id as dataset_id, m.length as row_count, m.start from metas m join ids on m.start = ids.start")
+def q_registry(spark, sf_dir):
+    """A record for each shard is written, and read again by its id."""
+    return stateful.registry_roundtrip(spark, sf_dir)
+
+
+@query("select label, count(*) as rows from embeddings group by 1")
+def q_table_gate(spark, sf_dir):
+    rows = r.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", VECTOR)
+    meta = {"stage": "rl", "norm": "none", "d_model": 64, "row_count": rows.count()}
+    return gates.gate_table(rows, meta, "rl", ["label", VECTOR]).groupBy("label").agg(F.count("*").alias("rows"))
+
+
+@query(f"with {r.ROLLOUTS} select event_id, case when status = 'COMPLETED' and response_length % 3 <> 0 then reward else -2.0 end as reward from rollouts")
+def q_scatter_back(spark, sf_dir):
+    rows = r.rollouts(spark, sf_dir)
+    scored = rows.filter((F.col("status") == "COMPLETED") & (F.col("response_length") % 3 != 0)).select("event_id", "reward")
+    return joins.scatter_back(rows.select("event_id"), scored, "event_id", "reward", -2.0)
+
+
 # vectors and scores
 
 
@@ -575,7 +600,7 @@ def q_stream_report(spark, sf_dir):
     return stateful.stream_report(spark, sf_dir)
 
 
-@query()
+@query("select count(*) as samples, cast(16 as bigint) as largest, cast(0 as bigint) as repeated, cast(0 as bigint) as unfinished from events")
 def q_micro_batch(spark, sf_dir):
     return stateful.micro_batches(spark, sf_dir)
 
@@ -595,7 +620,7 @@ def q_extractor(spark, sf_dir):
     return stateful.extractor(spark, sf_dir)
 
 
-@query("select doc_id, case when length(text) % 5 <> 0 then 'about ' || left(text, 12) end as completion from documents where doc_id % 2 = 1")
+@query("select doc_id, case when length(text) % 5 <> 0 then 'about ' || text end as completion from documents where doc_id % 2 = 1")
 def q_provider(spark, sf_dir):
     return stateful.provider(spark, sf_dir)
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexvane.functions.text import clean_explanation, min_features
+from lexvane.operators.gates import gate_rows, gate_table
 from lexvane.operators.joins import EXPLANATION, cache_join
 from lexvane.operators.ranks import shuffle_rows
 from lexvane.operators.sampling import base_rows
-from lexvane.operators.splits import build_stage, split_docs
-from lexvane.sources.tables import write_split, write_table
+from lexvane.operators.splits import VECTOR, build_stage, split_docs
+from lexvane.sources import registry
+from lexvane.sources.tables import is_complete, write_split, write_table
 
 #: Settings that a model brings along; a config's own keys win.
 PRESETS = {"small": {"layer": 20, "positions_per_doc": 10, "min_position": 50}, "probe": {"layer": 4, "positions_per_doc": 3, "min_position": 50}}
-DEFAULTS = {"seed": 42, "fractions": (0.25, 0.25, 0.5), "positions_per_doc": 10, "min_position": 50, "layer": 20, "actor_prompt": "Describe the vector <v>.", "critic_template": "Read: {explanation}\nGuess:"}
+#: tokens: marker, its id, its neighbours' ids and the suffix's ids for the records; -1 where no tokenizer has told them.
+DEFAULTS = {"tokens": ("<v>", -1, -1, -1, [-1]), "dataset_id": "base_run", "raw_completions": False, "min_features": 2, "resume": False, "seed": 42, "fractions": (0.25, 0.25, 0.5), "positions_per_doc": 10, "min_position": 50, "layer": 20, "actor_prompt": "Describe the vector <v>.", "critic_template": "Read: {explanation}\nGuess:"}
 STAGES = ["base", "split", "explain", "build", "shuffle"]
 
 
@@ -31,20 +35,45 @@ def resolve_config(cfg: dict, overrides: dict | None = None) -> dict:
 
 
 def paths(cfg: dict) -> dict[str, str]:
-    return {s: f"{cfg['output']}/{s}" for s in STAGES}
+    return {s: f"{cfg['output']}/{s}" for s in [*STAGES, "registry"]}
+
+
+def _explained(joined: DataFrame, cfg: dict, provider) -> DataFrame:
+    """joined with the provider's text where the caches have none; cleaned texts with too few features are null."""
+    if provider:
+        missing = provider(joined.filter(F.col(EXPLANATION).isNull()).drop(EXPLANATION))
+        if cfg["raw_completions"]:
+            missing = missing.withColumn(EXPLANATION, clean_explanation(F.col(EXPLANATION)))
+        joined = joined.filter(F.col(EXPLANATION).isNotNull()).unionByName(missing.select(*joined.columns))
+    return joined.withColumn(EXPLANATION, F.when(min_features(F.col(EXPLANATION), cfg["min_features"]), F.col(EXPLANATION)))
+
+
+def _record(spark: SparkSession, cfg: dict, at: dict[str, str], name: str, path: str, parents: list[str]) -> None:
+    """Check a written training table against its record, and put that into the job's registry."""
+    rows = spark.read.parquet(path)
+    n, width = rows.agg(F.count("*"), F.max(F.size(VECTOR))).first()
+    record = {"dataset_id": parents.pop(0), "stage": name, "row_count": n, "parent_datasets": parents, "tokens": cfg["tokens"], "prompt_templates": {"actor": cfg["actor_prompt"], "critic": cfg["critic_template"]}}
+    gate_table(rows, {"stage": name, "norm": "none", "d_model": width, "row_count": n}, name, ["prompt", VECTOR])
+    registry.register(registry.metadata(spark, [record]), at["registry"])
 
 
 def run_pipeline(spark: SparkSession, cfg: dict, documents: DataFrame, vectors, caches=None, provider=None, stages: list[str] | None = None) -> dict[str, str]:
     """Run the stages (all, or some in the given order of STAGES); the paths of all tables.
 
     vectors: base rows to rows with activation_vector. caches: base rows to a list of explanation caches. provider: rows
-    without a cached explanation to rows with api_explanation (null ones are dropped). Each stage reads what the one before wrote.
+    without a cached explanation to rows with api_explanation (null ones are dropped; raw_completions: they are cleaned first).
+    Explanations of fewer than min_features features are dropped too. Each stage reads what the one before wrote. Rows are checked
+    before the build; each table of build and shuffle gets a record. resume: tables that are complete are not written again.
     """
     at = paths(cfg)
     wanted = stages or STAGES
     if unknown := set(wanted) - set(STAGES):
         raise ValueError(f"unknown stages: {', '.join(sorted(unknown))}")
+    base = cfg["dataset_id"]
+    todo = lambda path: not (cfg["resume"] and is_complete(spark, path))
     for stage in (s for s in STAGES if s in wanted):
+        if stage in ("base", "split", "explain") and not todo(at[stage]):
+            continue
         if stage == "base":
             write_table(base_rows(documents, cfg["positions_per_doc"], cfg["min_position"], cfg["seed"], cfg["layer"]), at["base"])
         elif stage == "split":
@@ -53,16 +82,21 @@ def run_pipeline(spark: SparkSession, cfg: dict, documents: DataFrame, vectors,
         elif stage == "explain":
             rows = spark.read.parquet(at["split"])
             joined = cache_join(rows, caches(rows)) if caches else rows.withColumn(EXPLANATION, F.lit(None).cast("string"))
-            if provider:
-                missing = provider(joined.filter(F.col(EXPLANATION).isNull()).drop(EXPLANATION))
-                joined = joined.filter(F.col(EXPLANATION).isNotNull()).unionByName(missing.select(*joined.columns))
+            joined = _explained(joined, cfg, provider)
             write_table(joined.filter(F.col(EXPLANATION).isNotNull() | (F.col("bucket") == "rl")), at["explain"], partition_by=["bucket"])
         elif stage == "build":
-            rows = vectors(spark.read.parquet(at["explain"]))
+            rows = spark.read.parquet(at["explain"])
+            gate_rows(rows, {"explained": F.col(EXPLANATION).isNotNull() | (F.col("bucket") == "rl"), "keyed": F.col("doc_id").isNotNull() & F.col("n_raw_tokens").isNotNull()}, "doc_id")
+            rows = vectors(rows)
             for bucket, name in (("av", "av_sft"), ("ar", "ar_sft"), ("rl", "rl")):
-                write_table(build_stage(rows.filter(F.col("bucket") == bucket), name, cfg["actor_prompt"], cfg["critic_template"]), f"{at['build']}/{name}")
+                if todo(f"{at['build']}/{name}"):
+                    write_table(build_stage(rows.filter(F.col("bucket") == bucket), name, cfg["actor_prompt"], cfg["critic_template"]), f"{at['build']}/{name}")
+                    _record(spark, cfg, at, name, f"{at['build']}/{name}", [f"{name}_{base}", f"{base}__{bucket}_raw"])
         else:
             for name in ("av_sft", "ar_sft", "rl"):
+                if not todo(f"{at['shuffle']}/{name}"):
+                    continue
                 rows = shuffle_rows(spark.read.parquet(f"{at['build']}/{name}"), cfg["seed"], name, ["doc_id", "n_raw_tokens"])
                 write_table(rows.repartitionByRange("shuffle_rank").sortWithinPartitions("shuffle_rank"), f"{at['shuffle']}/{name}")
+                _record(spark, cfg, at, name, f"{at['shuffle']}/{name}", [f"{name}_{base}__shuf{cfg['seed']}", f"{name}_{base}"])
     return at

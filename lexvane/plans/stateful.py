@@ -15,7 +15,7 @@ from lexvane.operators import plugins, splits
 from lexvane.operators.joins import cache_misses
 from lexvane.plans import pipeline as job
 from lexvane.plans import recipes as r
-from lexvane.sources import tables
+from lexvane.sources import registry, tables
 from lexvane.streaming import scoring
 
 
@@ -39,6 +39,17 @@ def fanout_roundtrip(spark, sf_dir):
     return split.select(F.lit("bucket").alias("kind"), "name", "rows").unionByName(some.select(F.lit("step").alias("kind"), "name", "rows"))
 
 
+def registry_roundtrip(spark, sf_dir):
+    """(dataset_id, row_count, start) of the shards' records, as the registry gives them back."""
+    at = scratch(spark, "registry")
+    i = registry.dataset_id(F.col("base_model"), F.col("layer_index"), F.col("corpus"), F.col("start"), F.col("length"))
+    shards = r.shard_metas(spark, sf_dir).withColumn("id", i).collect()  # four records
+    records = [{"dataset_id": s["id"], "stage": "base", "row_count": s["row_count"], "extraction": (s["base_model"], s["d_model"], s["layer_index"], s["norm"], s["corpus"], (s["start"], s["length"]), s["positions_per_doc"]), "parent_datasets": []} for s in shards]
+    registry.register(registry.metadata(spark, records), at)
+    found = [registry.load_meta(spark, at, s["id"]) for s in shards]
+    return spark.createDataFrame([(m["dataset_id"], m["row_count"], m["extraction"]["corpus_slice"]["start"]) for m in found], "dataset_id string, row_count long, start long")
+
+
 def _events_in_order(spark: SparkSession, sf_dir: str, at: str, columns: list, files: int = 4) -> DataFrame:
     """A stream over files of events that are sorted by time."""
     rows = r.rollouts(spark, sf_dir).select(*columns)
@@ -154,7 +165,7 @@ def extractor(spark, sf_dir):
 
 
 def _complete(prompts: list[str]) -> list[str | None]:
-    return [f"about {p[:12]}" if len(p) % 5 else None for p in prompts]
+    return [f"about {p}" if len(p) % 5 else None for p in prompts]
 
 
 def provider(spark, sf_dir):

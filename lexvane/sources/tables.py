@@ -61,6 +61,12 @@ def resume_append(df: DataFrame, path: str, ordinal: str, chunk_rows: int) -> in
     return spark.read.schema(todo.schema).parquet(target).count()
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path has ended."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def finished(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of all finished runs; None without any."""
     jvm = spark.sparkContext._jvm
