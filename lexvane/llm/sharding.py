@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexvane.llm.common import table
+from lexvane.llm.common import broadcast_if_small, table
 
 SHARDS = 40
 
@@ -53,17 +53,26 @@ def shard_manifest(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     order = ["k", "size", "text_crc32"]
     counted = narrow.groupBy(*order).agg(F.count("*").alias("n"))
     placed = counted.withColumn("shard", rendezvous_shard(F.col("k"), weights)).withColumn("grown_shard", F.when(_beats(F.col("k"), shards), F.lit(shards)).otherwise(F.col("shard")))
-    # a shard's rows are numbered in 256 parts, by two digits of a digest, so that no task holds a whole shard
-    placed = placed.withColumn("part", F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]).cast("binary")), 1, 2))
-    sizes = placed.groupBy("shard", "part").agg(F.sum("n").alias("in_part"))  # at most shards x 256 rows
+    # a shard's rows are numbered in the order of a digest, in parts by its first digits, so that no task holds a whole shard; how
+    # many digits these are changes no slot
+    placed = placed.withColumn("digest", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]).cast("binary"))).withColumn("part", F.substring("digest", 1, _digits(docs.count(), shards)))
+    sizes = placed.groupBy("shard", "part").agg(F.sum("n").alias("in_part"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "part").orderBy("digest", *order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    numbered = placed.join(F.broadcast(starts), ["shard", "part"]).withColumn("first", first)
+    numbered = placed.join(broadcast_if_small(starts, 1_000_000), ["shard", "part"]).withColumn("first", first)
     return numbered.select(F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
 
 
+def _digits(rows: int, shards: int, in_part: int = 50_000) -> int:
+    """Hex digits that part a shard into parts of about in_part rows; two at least."""
+    digits = 2
+    while shards * 16**digits * in_part < rows:
+        digits += 1
+    return digits
+
+
 def _beats(key: Column, shard: int) -> Column:
     """Whether a further shard of weight 1 wins the key against all shards before it."""
     return rendezvous_shard(key, {s: 1.0 for s in range(shard + 1)}) == shard
@@ -80,6 +89,6 @@ rows as (select doc_id, len(h) // 2 + 16 as size,
     xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) as text_crc32 from bytes, crc_table),
 draws as (select *, s, -1 / ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || s), 1, 12) as bigint) + 0.5) / 281474976710656) as score from rows, (select unnest(range(0, {SHARDS} + 1)) as s)),
 placed as (select doc_id, size, text_crc32, cast(arg_max(s, score) filter (s < {SHARDS}) as integer) as shard, cast(arg_max(s, score) as integer) as grown, count(*) // ({SHARDS} + 1) as n from draws group by 1, 2, 3)
-select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by substr(md5(concat_ws('|', doc_id, size, text_crc32)), 1, 2), doc_id, size, text_crc32) - 1 as slot,
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by md5(concat_ws('|', doc_id, size, text_crc32)), doc_id, size, text_crc32) - 1 as slot,
     case when grown = {SHARDS} then grown else shard end as grown_shard from placed, unnest(range(0, n)) as u(k)
 """

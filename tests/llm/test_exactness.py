@@ -287,3 +287,14 @@ def test_pack_fills_as_told(spark, monkeypatch, part):
         row.sort()
         assert [o for o, _ in row] == [sum(n for _, n in row[:k]) for k in range(len(row))]
     assert sorted(tuple(sorted(n for _, n in row)) for row in rows.values()) == one_by_one(Counter(lengths), 20)
+
+
+# 3
+
+
+def test_digits_change_no_slot(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert [sharding._digits(n, 40) for n in (0, 5 * 10**8, 6 * 10**8, 10**11)] == [2, 2, 3, 4]
+    want = sorted(sharding.shard_manifest(docs, shards=3).collect())
+    monkeypatch.setattr(sharding, "_digits", lambda rows, shards: 4)
+    assert sorted(sharding.shard_manifest(docs, shards=3).collect()) == want
