@@ -83,7 +83,8 @@ def q_render_prompts(spark, sf_dir):
 
 
 def _cleaned(spark, sf_dir):
-    return r.completions(spark, sf_dir).withColumn("explanation", tx.clean_explanation(F.col("raw")))
+    # one row in, one row out: else filters on the explanation would move below and clean each text again
+    return r.completions(spark, sf_dir).select("doc_id", "raw", F.explode(F.array(tx.clean_explanation(F.col("raw")))).alias("explanation"))
 
 
 @query(f"with {r.COMPLETIONS}, {r.CLEAN} select doc_id, explanation from cleaned where explanation is not null and len(string_split(explanation, {NL} || {NL})) >= 2")

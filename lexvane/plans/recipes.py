@@ -65,7 +65,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), feature), "\n")
     kind = F.col("doc_id") % 10
     raw = F.when(kind == 0, None).when(kind == 1, F.concat(F.lit("<analysis>\n"), lines)).otherwise(F.concat(F.lit("Sure.\n<analysis>\n"), lines, F.lit("\n</analysis> Done.")))
-    return docs.select("doc_id", raw.alias("raw"))
+    return docs.select("doc_id", F.explode(F.array(raw)).alias("raw"))  # built once, however often it is read
 
 
 COMPLETIONS = """cut as (select doc_id, string_split(text, ' ') as w from documents),
