@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexvane.operators.ranks import with_percentiles
+
 CJK = "[぀-ヿ㐀-鿿]"
 
 
@@ -75,8 +77,8 @@ def check_contiguous(metas: DataFrame) -> DataFrame:
 
 def flag_noisy(df: DataFrame, position: str, norm: str, layer: str, min_pos: int = 10, factor: float = 3.0) -> DataFrame:
     """df with noisy: an early position, or a norm over factor times its layer's median."""
-    median = df.groupBy(layer).agg(F.percentile(norm, F.lit(0.5)).alias("_median"))
-    return df.join(median, layer).withColumn("noisy", (F.col(position) < min_pos) | (F.col(norm) > factor * F.col("_median"))).drop("_median")
+    rows = with_percentiles(df, df, [layer], norm, [0.5], "_median")
+    return rows.withColumn("noisy", (F.col(position) < min_pos) | (F.col(norm) > factor * F.get("_median", F.lit(0)))).drop("_median")
 
 
 def cjk_rate(df: DataFrame, text: str, step: str) -> DataFrame:

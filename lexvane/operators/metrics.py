@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import sqrt
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lexvane.functions.text import display_text, extract_tag, source_label
 from lexvane.functions.vectors import l2, normalize, pair_mse
-from lexvane.operators.ranks import running_total
+from lexvane.operators.ranks import running_total, with_percentiles
 
 
 def mean_baselines(df: DataFrame, vector: str, scale: float) -> DataFrame:
@@ -44,7 +42,9 @@ def batch_metrics(df: DataFrame, batch: str, pred: str, gold: str, scale: float)
 
 def norm_profile(df: DataFrame, vector: str, layer: str) -> DataFrame:
     """(layer, n, mean_norm, p50, p99, scale): the scale is the next multiple of ten (of one, below ten) over the mean norm."""
-    rows = df.select(layer, l2(F.col(vector)).alias("norm")).groupBy(layer).agg(F.count("*").alias("n"), F.avg("norm").alias("mean_norm"), F.percentile("norm", F.lit(0.5)).alias("p50"), F.percentile("norm", F.lit(0.99)).alias("p99"))
+    norms = df.select(layer, l2(F.col(vector)).alias("norm"))
+    rows = with_percentiles(norms.groupBy(layer).agg(F.count("*").alias("n"), F.avg("norm").alias("mean_norm")), norms, [layer], "norm", [0.5, 0.99], "_p")
+    rows = rows.select(layer, "n", "mean_norm", F.get("_p", F.lit(0)).alias("p50"), F.get("_p", F.lit(1)).alias("p99"))
     step = F.when(F.col("mean_norm") < 10, 1.0).otherwise(10.0)
     return rows.withColumn("scale", F.ceil(F.col("mean_norm") / step) * step)
 
@@ -52,8 +52,8 @@ def norm_profile(df: DataFrame, vector: str, layer: str) -> DataFrame:
 def reward_report(df: DataFrame, step: str, reward: str, group: str) -> DataFrame:
     """(step, n, n_groups, group_size, mean, std, min, max, p10, p25, p50, p75, p90): population std, linear percentiles."""
     shares = [0.1, 0.25, 0.5, 0.75, 0.9]
-    out = df.groupBy(step).agg(F.count("*").alias("n"), F.count_distinct(group).alias("n_groups"), F.avg(reward).alias("mean"), F.stddev_pop(reward).alias("std"), F.min(reward).alias("min"), F.max(reward).alias("max"), F.percentile(reward, F.array(*[F.lit(s) for s in shares])).alias("_p"))
-    out = out.withColumn("group_size", F.col("n") / F.col("n_groups"))
+    out = df.groupBy(step).agg(F.count("*").alias("n"), F.count_distinct(group).alias("n_groups"), F.avg(reward).alias("mean"), F.stddev_pop(reward).alias("std"), F.min(reward).alias("min"), F.max(reward).alias("max"))
+    out = with_percentiles(out, df, [step], reward, shares, "_p").withColumn("group_size", F.col("n") / F.col("n_groups"))
     return out.select(step, "n", "n_groups", *[F.round(c, 6).alias(c) for c in ("group_size", "mean", "std", "min", "max")], *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])
 
 
@@ -101,9 +101,3 @@ def parity(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float, l
     both = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key)
     out = both.agg(F.count("*").alias("n"), F.max(F.abs(F.try_divide(F.col("_a"), F.col("_b")) - 1)).alias("max_gap"))
     return out.withColumn("ok", F.coalesce((F.col("n") >= least) & (F.col("max_gap") <= tolerance), F.lit(False)))
-
-
-def default_scale(d: int) -> float:
-    return sqrt(d)
-
-

@@ -49,6 +49,45 @@ def group_rank(df: DataFrame, by: list[str], value: str, order: list, falling: b
     return rows.join(starts, reduce(and_, same)).drop(*[starts[c] for c in [*by, "_range"]]).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_range", "_row", "_start")
 
 
+def group_percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], name: str = "percentiles", accuracy: int = 10_000) -> DataFrame:
+    """(by, name): exact percentiles of value, interpolated linearly, in the order of shares; nulls are left out, NaN is the greatest.
+
+    A sketch of each group brackets each percentile. Then all rows below and above a bracket are two counts, rows within it are
+    counted by value, so a task sorts the values of a bracket (4 of 10,000 rows), never those of a group.
+    """
+    v, k = F.col("_v"), len(shares)
+    sketched = F.nanvl(v, F.lit(float("inf")))  # the sketch leaves out NaN
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    margin = 2 / accuracy
+    ends = [max(0.0, s - margin) for s in shares] + [min(1.0, s + margin) for s in shares]
+    bounds = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count("*").alias("_n"), F.percentile_approx(sketched, ends, accuracy).alias("_ends"))
+    marked = rows.join(bounds, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]))
+    side = lambda i: F.when(sketched < F.get("_ends", F.lit(i)), -1).when(sketched > F.get("_ends", F.lit(k + i)), 1).otherwise(0)
+    marked = marked.select(*by, "_n", "_v", F.posexplode(F.array(*[side(i) for i in range(k)])).alias("_i", "_side"))
+    counts = marked.groupBy(*by, "_n", "_i", "_side", F.when(F.col("_side") == 0, v).alias("_at")).agg(F.count("*").alias("_k"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "_i").orderBy("_side", "_at").rowsBetween(Window.unboundedPreceding, 0))
+    place = (F.col("_n") - 1) * F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("_i"))
+    counts = counts.withColumn("_to", upto).withColumn("_place", place)
+
+    def at(rank: Column) -> Column:
+        """The value of a rank, if it is told here: within the bracket, or next to it."""
+        known = F.when(F.col("_side") == 0, F.col("_at")).when((F.col("_side") < 0) & (rank == F.col("_to")), F.col("_most")).when((F.col("_side") > 0) & (rank == F.col("_to") - F.col("_k") + 1), F.col("_least"))
+        return F.max(F.when((rank > F.col("_to") - F.col("_k")) & (rank <= F.col("_to")), known))
+
+    low, high = F.floor("_place"), F.ceil("_place")
+    found = counts.groupBy(*by, "_i", "_place").agg(at(low + 1).alias("_low"), at(high + 1).alias("_high"))
+    between = (high - F.col("_place")) * F.col("_low") + (F.col("_place") - low) * F.col("_high")
+    lost = F.col("_low").isNull() | F.col("_high").isNull()
+    exact = F.when(lost, F.raise_error(F.lit("a percentile is outside of its bracket")).cast("double")).when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between)
+    return found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", exact.alias("p")))).alias(name)).withColumn(name, F.transform(name, lambda x: x["p"]))
+
+
+def with_percentiles(groups: DataFrame, df: DataFrame, by: list[str], value: str, shares: list[float], name: str = "percentiles") -> DataFrame:
+    """groups (a row for each group of df) with its percentiles; null for a group without values."""
+    p = group_percentiles(df, by, value, shares, name).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    return groups.join(p, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]), "left").drop(*[f"_by_{c}" for c in by])
+
+
 def hash_rank(df: DataFrame, seed, keys: list[str], name: str = "rank") -> DataFrame:
     """df with its rank in the seeded order of keys, which have to be unique for a stable result. At most 65,536 buckets."""
     marked = df.withColumn("_h", hash_key(seed, *[F.col(k) for k in keys]))

@@ -6,6 +6,7 @@ from math import floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexvane.functions.text import render, user_prompt, wrap_tag
 from lexvane.operators.joins import EXPLANATION, TEXT
@@ -57,6 +58,11 @@ def check_split(df: DataFrame, documents: DataFrame, doc: str = "doc_id", bucket
     return whole.agg(F.count_if(F.col("k") > 1).alias("docs_in_two"), F.count_if(F.col("k").isNull()).alias("docs_missing"))
 
 
+def order_shards(metas: DataFrame) -> DataFrame:
+    """Records of shards by the start of their slices, with shard, the place from 0; equal starts by length. A registry is small: one task sorts it."""
+    return metas.withColumn("shard", F.row_number().over(Window.orderBy("start", "length")).cast("long") - 1).orderBy("shard")
+
+
 def merge_shards(shards: list[DataFrame], metas: DataFrame) -> DataFrame:
     """Union of shards whose records agree, follow each other and count right; anything else is an error."""
     from lexvane.operators.gates import check_contiguous

@@ -252,7 +252,7 @@ def q_shuffle_vectors(spark, sf_dir):
 @query(f"with {r.METAS} select min(start) as start, cast(sum(length) as bigint) as length, (select count(*) from documents) as rows from metas")
 def q_merge_shards(spark, sf_dir):
     metas, docs = r.shard_metas(spark, sf_dir), r.table(spark, sf_dir, "documents").select("doc_id")
-    cuts = [(m["start"], m["length"]) for m in metas.orderBy("start").collect()]  # four records
+    cuts = [(m["start"], m["length"]) for m in splits.order_shards(metas).collect()]  # four records
     merged = splits.merge_shards([docs.filter((F.col("doc_id") >= s) & (F.col("doc_id") < s + k)) for s, k in cuts], metas)
     return merged.agg(F.count("*").alias("rows")).join(metas.agg(F.min("start").alias("start"), F.sum("length").alias("length")))
 

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lexvane.operators import ranks, sampling
+from lexvane.operators import ranks, sampling, splits
 from lexvane.plans import pipeline
 from lexvane.plans import recipes as r
 from lexvane.sources import registry, tables
@@ -70,3 +70,25 @@ def test_group_ranks(spark, falling):
         mine = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is None, (-1 if falling else 1) * (x[1] or 0.0), x[2]))
         assert [got[x[2]] for x in mine] == [(i, len(mine)) for i in range(1, len(mine) + 1)]
     assert ranks.group_rank(df.limit(0), ["g"], "v", order, falling).count() == 0
+
+
+def test_group_percentiles(spark):
+    """Equal to Spark's own exact percentiles: groups beyond a sketch's size, ties, an outlier, nulls, NaN, few rows."""
+    shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    big = spark.range(60_000).select(F.lit("big").alias("g"), F.when(F.col("id") == 5, 1e300).otherwise(F.pmod(F.hash("id"), F.lit(1_000_003)) / 7).alias("v"))
+    ties = spark.range(30_000).select(F.lit("ties").alias("g"), F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 7 == 0, 2.5).otherwise(-1.0).alias("v"))
+    small = [("one", 3.0), ("two", 1.0), ("two", 2.0), ("nan", 1.0), ("nan", float("nan")), ("nan", 2.0), ("nan", float("nan")), ("nan", float("inf")), (None, 4.0), (None, None), (None, 8.0), ("none", None)]
+    small += [("ten", float(i * i)) for i in range(10)]
+    df = big.unionByName(ties).unionByName(spark.createDataFrame(small, "g string, v double"))
+    want = {x["g"]: x["p"] for x in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect() if x["p"]}
+    got = {x["g"]: x["p"] for x in ranks.group_percentiles(df, ["g"], "v", shares, "p").collect()}
+    assert got.keys() == want.keys() == {"big", "ties", "one", "two", "nan", None, "ten"}
+    assert {g: repr(p) for g, p in got.items()} == {g: repr(p) for g, p in want.items()}
+    assert ranks.group_percentiles(df.limit(0), ["g"], "v", shares).count() == 0
+    whole = ranks.with_percentiles(df.groupBy("g").count(), df, ["g"], "v", [0.5], "p").collect()
+    assert {x["g"]: x["p"] for x in whole}["none"] is None and len(whole) == 8
+
+
+def test_shards_in_order(spark):
+    metas = spark.createDataFrame([(20, 10, "c"), (0, 5, "a"), (5, 15, "b")], "start long, length long, id string")
+    assert [(m["shard"], m["id"]) for m in splits.order_shards(metas).collect()] == [(0, "a"), (1, "b"), (2, "c")]
