@@ -127,9 +127,15 @@ with recursive p as (select page_id, url, html, case when contains(url, '://') t
 b as (select page_id, html, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') as path, case when rest is not null then translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) end as key from p),
 rules as (select * from (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(verdict, name, prefix)),
-targets as (select key as src, host, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) as t from b where key is not null),
-absolute as (select src, case when contains(t, '://') then substr(t, strpos(t, '://') + 3) when starts_with(t, '//') then substr(t, 3) when starts_with(t, '/') then host || t end as rest from targets where t <> ''),
+raw as (select key as src, host, path, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) as t from b where key is not null),
+targets as (select src, host, path, regexp_replace(t, '&(amp|#38|#[xX]26);', '&', 'g') as t from raw where t <> ''),
+kinds as (select *, regexp_extract(t, '(?s)^[^?#]*(.*)', 1) as tail, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then substr(t, strpos(t, '://') + 3) when starts_with(t, '//') then substr(t, 3) end as absolute,
+    regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or starts_with(t, '#') as other, case when starts_with(t, '/') then '' else regexp_extract(path, '(?s)^(.*)/', 1) || '/' end || regexp_extract(t, '(?s)^([^?#]*)', 1) as whole from targets),
+walked as (select *, list_reduce(list_transform(split(whole, '/')[2:], lambda x: [x]), lambda done, x: case when x[1] = '..' then done[1:len(done) - 1] when x[1] = '.' then done else done || x end, []::varchar[]) as parts from kinds),
+absolute as (select src, case when absolute is not null then absolute when other then null when starts_with(t, '?') then host || path || t
+    else host || '/' || array_to_string(parts, '/') || case when regexp_matches(whole, '/\.\.?$') and len(parts) > 0 then '/' else '' end || tail end as rest from walked),
 edges as (select src, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) as dst from absolute where rest is not null),
 both_ways as (select src, dst from edges union select dst, src from edges),
 reach as (select src as node, src as other from both_ways union select r.node, e.dst from reach r join both_ways e on r.other = e.src),

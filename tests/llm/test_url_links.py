@@ -1,7 +1,9 @@
 """Targets of canonical links and refreshes, relative ones and later tags too."""
 
+import random
 from urllib.parse import urljoin, urlsplit
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +40,27 @@ def test_relative_and_later_targets_block(spark, html):
     pages = spark.createDataFrame([(1, "http://example.org/fr/a", html), (2, "http://example.org/es/x", "")], "page_id long, url string, html string")
     rules = [("block", "example.org/es/")]
     assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, rules).collect()} == {1: "block", 2: "block"}
+
+
+def test_query_and_sql_on_linked_pages(spark, tmp_path):
+    """Chains, relative targets, several tags, entities, cycles, hot targets and allow precedence, in Spark and in SQL."""
+    rng = random.Random(3)
+    hosts, folders = ["example.org", "a.Example.org", "shop.com", "b.shop.com", "x.net", "y.net"], ["/es/", "/en/1", "/en/2/", "/fr/", "/de/", "/", "/q/r/"]
+    urls = [f"http{'s' * (i % 2)}://{rng.choice(hosts)}{rng.choice(folders)}{rng.choice(['', 'p', 'q?i=1&j=2', 's#t'])}{i % 40}" for i in range(300)] + [None, "no scheme", "http://x.net", "http://x.net"]
+
+    def target():
+        return rng.choice([rng.choice(urls[:300]).replace("&", "&amp;"), *TARGETS, "mailto:a@b", "#f", f"../{rng.choice(['es', 'de', 'fr'])}/p{rng.randrange(40)}", "//Shop.com/de/hot", "/a//b", "./..", "../../x/./?k=/../"])
+
+    def tag():
+        return rng.choice([f'<link rel="canonical" href="{target()}">', f"<LINK href='{target()}' REL=canonical>", f'<meta http-equiv="refresh" content="0; url={target()}">', "<link rel=icon href=/i>", "<p>"])
+
+    rows = [(i, u, None if i % 29 == 0 else " ".join(tag() for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = url_filter.query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.sql(url_filter.ORACLE)
+    assert found.columns == got.columns
+    rows_got, rows_sql = (sorted(map(repr, x)) for x in (map(tuple, got.collect()), found.fetchall()))
+    assert rows_got == rows_sql
+    assert {r["verdict"] for r in got.filter("rule is null").collect()} == {"allow", "block"} and got.filter("alias_of is not null").select("alias_of").distinct().count() < 280
