@@ -32,6 +32,22 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("all-rights-reserved", "All rights reserved."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd-2", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
 ]
 #: Shortest match in words, longest gap in words between chained matches, least covered share of a template.
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 12, 0.75
@@ -176,12 +192,24 @@ class LicenceScanner:
         return out
 
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, word after the last, covered share of the template) of all copies of each template, by template and place."""
+        """(label, first word, word after the last, covered share of the template) of all copies of templates, by place.
+
+        Where spans overlap, as those of versions of a licence do, the one that covers the most words of the text stays; of equal ones
+        that of the larger share, then the earlier one, then the earlier template.
+        """
         anchors: dict[int, list[tuple[int, int, int]]] = {}
         for end, length, node in self.automaton.matches(words, MIN_MATCH):
             for s, stop in self.automaton.places[node]:
                 anchors.setdefault(s, []).append((end - length, stop - length, length))
-        return [(self.labels[s], *c) for s, found in sorted(anchors.items()) for c in sorted(self._chains(s, sorted(found)))]
+        enough = lambda s, found: sum(a[2] for a in found) >= MIN_COVER * len(self.sequences[s])
+        chains = [(-c[2] * len(self.sequences[s]), -c[2], c[0], s, c[1]) for s, found in anchors.items() if enough(s, found) for c in self._chains(s, sorted(found))]
+        starts, out = [], []  # of the spans that stay, in order; they are disjoint
+        for _, share, first, s, stop in sorted((round(c[0]), *c[1:]) for c in chains):
+            k = bisect_left(starts, first)
+            if (k == 0 or out[k - 1][2] <= first) and (k == len(out) or out[k][1] >= stop):
+                starts.insert(k, first)
+                out.insert(k, (self.labels[s], first, stop, -share))
+        return out
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -189,8 +217,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: list
 
     n_base: places of the phrases; first_word and last_word: their least and greatest start, null without any. labels: of the
     phrases and of the spans, distinct, sorted, comma-joined ('' for none). score: the greatest covered share of a template among
-    the spans, 1 with a phrase, 0 with neither. spans: array of (label, start, stop, cover), counted in words. A null text
-    counts as empty. No shuffle; a text streams through the automaton once, and ties between chains go to the earlier one.
+    the spans, 1 with a phrase, 0 with neither. spans: array of (label, start, stop, cover), counted in words and disjoint. A null
+    or empty text has no words and labels. Each row is judged alone, repeated ones too; an empty table gives an empty one; other
+    columns are not read. No shuffle; a text of any length streams through the automaton once, and ties between chains go to the earlier one.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
