@@ -293,7 +293,10 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, column: int = 1) -> It
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) for each row; a null or blank text has no ids. No special tokens are added."""
+    """(key, ids array<int>) for each row; a null or blank text has no ids. No special tokens are added.
+
+    Repeated rows are encoded each, a text of any length whole; an empty table gives an empty one; other columns are not read.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -305,7 +308,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def decode(encodings: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, decoded): the tokens' strings with a space between two; null for null ids."""
+    """(key, decoded): the tokens' strings with a space between two; null for null ids, '' for none. Rows are decoded each on its own."""
     kind = encodings.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -318,7 +321,11 @@ def decode(encodings: DataFrame, path: str, key: str = "doc_id", ids: str = "ids
 
 
 def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row: key, n_tokens, ids_sha256, decoded_sha256 (lower-case hex); a null text counts as empty. No shuffle."""
+    """A row for each row: key, n_tokens, ids_sha256, decoded_sha256 (lower-case hex); a null text counts as empty. No shuffle.
+
+    Repeated rows and keys each come back; an empty table gives an empty one; a text of any length is encoded whole, so a very
+    long one takes the memory of its words once; other columns are not read.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):

@@ -26,7 +26,7 @@ for _k, _bytes in enumerate(_CLASSES.values()):
 
 
 def statistics(texts: list[bytes | None]) -> np.ndarray:
-    """A row of FEATURES for each text (UTF-8); a null text counts as empty, and an empty one gives zeros."""
+    """A row of FEATURES for each text (UTF-8); a null text counts as empty, an empty one gives zeros, a long one counts whole."""
     out = np.zeros((len(texts), len(FEATURES)))
     counts = np.zeros((len(texts), 256))
     for i, t in enumerate(texts):
@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns in keep (default: the key), score double from 0 to 1, predicted int; a row for each row, no shuffle.
 
-    A null text counts as empty; repeated rows each come back with the same score, and a text of any length counts whole.
+    A null text counts as empty; repeated rows each come back with the same score, and a text of any length counts whole. A score
+    of exactly 0.5 is predicted 1. An empty table gives an empty one; columns but keep and text are not read.
     """
     names = [key] if keep is None else keep
     schema = T.StructType([*docs.select(*names).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -67,7 +67,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without the boilerplate lines of their source; n_chars follows the text."""
+    """documents without the boilerplate lines of their source; n_chars follows the text. Every row stays, repeated ones and those left empty too."""
     out = drop_lines(docs.select("source", "text", F.struct("*").alias("_row")))  # whole rows, so that no column name can clash
     changed = F.col("n_dropped") > 0
     row = F.col("_row").withField("text", F.col("text"))

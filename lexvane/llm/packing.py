@@ -241,6 +241,11 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pieces of all rows' texts with their sequence and offset.
+
+    A null or empty text is the end token alone. Repeated rows are packed each; texts longer than a sequence are cut into pieces,
+    none is left out; an empty table gives an empty one; other columns are not read.
+    """
     return pack(materialise(token_pieces(docs, path, key, text), "pieces"))
 
 

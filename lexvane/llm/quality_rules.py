@@ -79,7 +79,8 @@ def judge(docs: DataFrame, weights: list[int], key: str = "doc_id", text: str =
 
     llr is the mean weight of the text's 1- and 2-word n-grams, in nats; 0 without words. kept: not base_failed and
     llr >= threshold. A null text is one without words. Windows are compared by 64-bit hashes of their words' 64-bit hashes.
-    keep: columns of docs to carry along before these. No shuffle.
+    Repeated rows and keys each come back, judged alone; an empty table gives an empty one; a text of any length counts whole.
+    keep: columns of docs to carry along before these; others are not read. No shuffle.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = [key] if keep is None else keep
@@ -119,7 +120,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents that the rules keep, with their own columns."""
+    """documents that the rules keep, with their own columns, whatever their names; repeated rows all stay or all go, and null and empty texts go."""
     weights = fit_weights(docs, trusted_ids(table(spark, sf_dir, "labels")))
     rows = docs.select("text", F.struct("*").alias("_row"))  # whole rows, so that no column name can clash
     return judge(rows, weights, keep=["_row"]).filter("kept").select("_row.*")
