@@ -25,28 +25,67 @@ def bucket_rank(df: DataFrame, bucket: Column, order: list, name: str = "rank")
     return marked.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), "_bucket").withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_bucket", "_row", "_start")
 
 
-def group_rank(df: DataFrame, by: list[str], value: str, order: list, falling: bool = False, name: str = "rank", ranges: int = 1024) -> DataFrame:
+#: Rows that a part of a group has, about; most parts of a table and of a group; sampled rows a part, from which its ends are taken.
+PART_ROWS, TABLE_PARTS, GROUP_PARTS, PART_SAMPLE = 50_000, 10_000, 1_024, 64
+
+
+def _lead(df: DataFrame, value: str, keys: list, falling: bool) -> Column:
+    """A struct that rises with the order of group_rank(): nulls last, NaN above all numbers."""
+    v, kind = F.col(value), df.schema[value].dataType.typeName()
+    if kind in ("float", "double"):
+        grade = F.when(v.isNull(), 2).when(F.isnan(v), 0 if falling else 1).otherwise(1 if falling else 0)
+        number = F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(-v if falling else v)
+    else:
+        grade, number = F.when(v.isNull(), 1).otherwise(0), v
+        if falling:
+            number = F.bitwise_not(v) if kind in ("byte", "short", "integer", "long") else -v
+    return F.struct(grade.alias("grade"), number.alias("number"), *[F.col(k) if isinstance(k, str) else k for k in keys])
+
+
+def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
+    return reduce(and_, [left[c].eqNullSafe(right[f"_by_{c}"]) for c in by], F.lit(True))
+
+
+def cut_groups(df: DataFrame, by: list[str], value: str, keys: list, falling: bool = False, part: int = PART_ROWS) -> DataFrame:
+    """df with _range: groups of over `part` rows are cut into parts of about that many, which follow the order of value, then keys.
+
+    The cuts come from a sample of each such group (sample sort), drawn by a hash of the row: 64 rows a part, so neither an outlier
+    nor many equal values make a part large. At most 10,000 groups can be that large (else part grows with the table), and they have
+    20,000 cuts at most, which are broadcast.
+    """
+    lead, named = _lead(df, value, keys, falling), {c: f"_by_{c}" for c in by}
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_size")).withColumnsRenamed(named)
+    most = F.greatest(F.lit(part), F.col("_total") / TABLE_PARTS)
+    large = sizes.join(F.broadcast(sizes.agg(F.sum("_size").alias("_total")))).filter(F.col("_size") > most)
+    large = large.select(*named.values(), "_size", F.least(F.lit(GROUP_PARTS), F.ceil(F.col("_size") / most)).cast("int").alias("_parts"))
+    taken = F.pmod(F.xxhash64(lead, *by), F.lit(1 << 40)) < F.col("_parts") * PART_SAMPLE / F.col("_size") * float(1 << 40)
+    sample = df.join(F.broadcast(large), _same(df, large, by)).filter(taken).groupBy(*named.values(), "_parts").agg(F.array_sort(F.collect_list(lead)).alias("_found"))
+    cut = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.get("_found", F.floor(i * F.size("_found") / F.col("_parts")).cast("int")))
+    step = F.ceil(F.sqrt("_parts")).cast("int")
+    cuts = sample.select(*named.values(), cut.alias("_cuts"), step.alias("_step"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda x, i: (i + 1) % F.col("_step") == 0))
+    marked = df.withColumn("_lead", lead)
+    marked = marked.join(F.broadcast(cuts), _same(marked, cuts, by), "left")
+    under = lambda some: F.size(F.filter(some, lambda x: x < F.col("_lead")))
+    marked = marked.withColumn("_at", under("_coarse") * F.col("_step"))
+    found = F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_at") + under(F.slice("_cuts", F.col("_at") + 1, F.col("_step"))))
+    return marked.withColumn("_range", found.cast("long")).drop(*named.values(), "_cuts", "_step", "_coarse", "_at", "_lead")
+
+
+def group_rank(df: DataFrame, by: list[str], value: str, order: list, falling: bool = False, name: str = "rank", part: int = PART_ROWS) -> DataFrame:
     """df with the rank (from 1) by order within each group of by, and _n, the group's rows.
 
-    order starts with the numeric column value (falling or not). Each group is cut into equal ranges of value between its least and
-    greatest; counts by group and range are summed up, and rows are numbered within a range, so no task holds a whole group.
+    order is the column value (falling or not, nulls last), then rising columns. Large groups are cut at sampled rows; counts by group and
+    part are summed up, and rows are numbered within a part, so no task holds a whole group.
     """
-    number = F.col(value).cast("double")
-    bounds = df.groupBy(*by).agg(F.min(number).alias("_low"), F.max(number).alias("_high"), F.count("*").alias("_n"))
-    place = F.floor((number - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges)
-    place = F.when(F.col("_high") > F.col("_low"), F.coalesce(place, F.lit(-1 if falling else ranges + 1))).otherwise(F.lit(0))
-    if by:
-        same = [df[c].eqNullSafe(bounds[c]) for c in by]
-        marked = df.join(bounds, reduce(and_, same)).drop(*[bounds[c] for c in by])
-    else:
-        marked = df.join(F.broadcast(bounds))
-    marked = marked.withColumn("_range", (-place if falling else place).cast("long")).drop("_low", "_high")
+    marked = cut_groups(df, by, value, order[1:], falling, part)
     counts = marked.groupBy(*by, "_range").agg(F.count("*").alias("_k"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_by__range"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"), F.sum("_k").over(group).alias("_n"))
     rows = marked.withColumn("_row", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
-    same = [rows[c].eqNullSafe(starts[c]) for c in [*by, "_range"]]
-    return rows.join(starts, reduce(and_, same)).drop(*[starts[c] for c in [*by, "_range"]]).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_range", "_row", "_start")
+    rows = rows.join(starts, _same(rows, starts, [*by, "_range"]))
+    return rows.withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop(*[f"_by_{c}" for c in by], "_by__range", "_range", "_row", "_start")
 
 
 def group_percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], name: str = "percentiles", accuracy: int = 10_000) -> DataFrame:

@@ -72,6 +72,20 @@ def test_group_ranks(spark, falling):
     assert ranks.group_rank(df.limit(0), ["g"], "v", order, falling).count() == 0
 
 
+@pytest.mark.parametrize("falling", [False, True])
+def test_parts_of_groups_are_even(spark, falling):
+    """An outlier, and a value that a third of the rows share: the largest part stays below twice the mean."""
+    v = F.when(F.col("id") == 5, -1e9).when(F.col("id") % 3 == 0, 0.5).otherwise(F.pmod(F.hash("id"), F.lit(1_000_003)) / 7.0)
+    df = spark.range(200_000).select(F.lit("a").alias("g"), v.alias("v"), "id")
+    sizes = [x["count"] for x in ranks.cut_groups(df, ["g"], "v", ["id"], falling, 2_000).groupBy("_range").count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = ranks.group_rank(df, ["g"], "v", [F.desc_nulls_last("v") if falling else F.asc_nulls_last("v"), "id"], falling, part=2_000)
+    key = F.struct(F.when(F.lit(falling), -F.col("v")).otherwise(F.col("v")), "id")
+    assert got.orderBy("rank").agg(F.max("rank"), F.count_distinct("rank"), F.max("_n")).first() == (200_000, 200_000, 200_000)
+    later = got.select(key.alias("k"), (F.col("rank") + 1).alias("rank")).join(got.select(key.alias("next"), "rank"), "rank")
+    assert later.filter("next < k").count() == 0
+
+
 def test_group_percentiles(spark):
     """Equal to Spark's own exact percentiles: groups beyond a sketch's size, ties, an outlier, nulls, NaN, few rows."""
     shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
