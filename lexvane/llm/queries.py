@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexvane.llm import bpe, classifier, licences, line_dedup, merkle, near_dup, packing, quality_rules, sharding, topk, url_filter
+from lexvane.llm import bpe, classifier, licences, line_dedup, merkle, mixing, near_dup, packing, quality_rules, sharding, topk, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": classifier.query,
     "op9_bpe_trie": bpe.query,
     "op10_best_two_fit": packing.query,
+    "op11_source_mix": mixing.query,
     "op13_merkle_manifest": merkle.query,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": near_dup.ORACLE,
     "op5_url_redirects": url_filter.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op11_source_mix": mixing.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
