@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexvane.llm import bpe, classifier, licences, line_dedup, merkle, mixing, near_dup, packing, quality_rules, sharding, topk, url_filter
+from lexvane.llm import bpe, classifier, hard_negatives, licences, line_dedup, merkle, mixing, near_dup, packing, quality_rules, sharding, topk, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe_trie": bpe.query,
     "op10_best_two_fit": packing.query,
     "op11_source_mix": mixing.query,
+    "op12_hard_negatives": hard_negatives.query,
     "op13_merkle_manifest": merkle.query,
 }
 
@@ -27,5 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_redirects": url_filter.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op11_source_mix": mixing.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }

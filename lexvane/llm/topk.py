@@ -6,24 +6,24 @@ Search on Vertically Decomposed Data (SIGMOD 2002); Kuffo, Krippner, Boncz: PDX
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexvane.llm import blocks
+from lexvane.llm.blocks import LEAST, MOST, against_all, as_float, clamped, in_blocks, place, spread  # noqa: F401
 from lexvane.llm.common import materialise, table
 
 TOP = 10
 #: Dimensions that are added between two looks at the bounds.
 STEP = 8
-#: Most queries and candidates of one task's cell. A candidate is read once for each QUERY_BLOCK queries.
-QUERY_BLOCK, CANDIDATE_BLOCK = 10_000, 20_000
+#: Most queries of a block, which is sent to all tasks, and most candidates of a cell, which a task holds at a time.
+QUERY_BLOCK, CANDIDATE_BLOCK = blocks.QUERY_BLOCK, blocks.CANDIDATE_BLOCK
 EXACT = float(1 << 53)
-#: Scores outside these come back as the nearer of them.
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
@@ -37,12 +37,11 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
 class Cell:
     """Candidates in vertical layout: a row for each dimension, a column for each candidate."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: list):
-        self.rows, self.ids = rows, ids
-        self.columns = np.array(vectors, dtype=np.float64).T.copy() if len(ids) else np.empty((0, 0))
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.columns = rows, ids, vectors.T.copy()
         with np.errstate(over="ignore"):
             mass = np.cumsum((self.columns**2)[::-1], axis=0)[::-1]
-        self.mass = np.sqrt(np.vstack([mass[::STEP], np.zeros((1, len(ids)))])) if len(ids) else mass
+        self.mass = np.sqrt(np.vstack([mass[::STEP], np.zeros((1, len(ids)))]))
 
     def _exact(self, query: np.ndarray, live: np.ndarray) -> np.ndarray:
         whole = [int(x) for x in query]
@@ -79,50 +78,46 @@ class Cell:
         return self.ids[live][order], part[order]
 
 
-def _best(cells: DataFrame, k: int) -> DataFrame:
-    """(row, query_id, id, score as decimal(38,0) text) of the k best of each cell."""
+def _search(k: int):
+    """A task's search: each query of a block goes through the cells of candidates one after the other; its k best so far are the score to beat in the next."""
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, rest = pdf[pdf.asks], pdf[~pdf.asks]
-        out = {"row": [], "query_id": [], "id": [], "score": [], "place": []}
-        if len(rest) and pdf.d.iloc[0]:
-            cell = Cell(rest.row.to_numpy(), rest.id.to_numpy(), list(rest.v))
-            for row, i, v, floor in zip(asks.row, asks.id, asks.v, asks.floor, strict=True):
-                ids, scores = cell.search(row, np.asarray(v, np.float64), k, floor)
-                out["row"] += [row] * len(ids)
-                out["query_id"] += [i] * len(ids)
-                out["id"] += ids.tolist()
-                out["score"] += [min(max(int(s), LEAST), MOST) for s in scores]
-                out["place"] += [float(s) for s in scores]
-        return pd.DataFrame(out).astype({"row": np.int64, "query_id": np.int64, "id": np.int64, "score": np.int64, "place": np.float64})
+    def run(asked: list, cells: Iterator) -> Iterator[tuple]:
+        queries = [(a["row"], np.asarray(a["v"], np.float64)) for a in asked]
+        found: dict[int, list] = {row: [] for row, _ in queries}
+        for columns, whole in cells:
+            cell = Cell(columns["row"], columns["id"], whole)
+            for row, query in (x for x in queries if len(x[1]) == whole.shape[1]):
+                kept = found[row]
+                ids, scores = cell.search(row, query, k, as_float(kept[-1][0]) if len(kept) == k else -np.inf)
+                found[row] = sorted(kept + [(int(s), int(i)) for s, i in zip(scores, ids, strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+        out = [(row, i, clamped(s), place(s)) for row, kept in found.items() for s, i in kept]
+        yield tuple(zip(*out, strict=True)) if out else ((), (), (), ())
 
-    return cells.groupBy("d", "qb", "cb").applyInPandas(search, "row long, query_id long, id long, score long, place double")
+    return run
+
+
+FOUND = "row long, id long, score long, place string"
 
 
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = TOP, scale: int = 1024) -> DataFrame:
     """(query_id, rank, key, score): each query's k best other rows by inner product of quantised vectors; ties go to the smaller key.
 
-    All queries meet all rows, in a grid of query blocks and candidate blocks of bounded size, one group of rows each. The
-    first candidate block gives each query a score to beat in all others. Rows with a null key, a null vector or a null or
+    All queries meet all rows: a block of queries of bounded size is sent to all tasks, which read the candidates' file as a stream and
+    keep the k best of each query, so no candidate is shuffled. Rows with a null key, a null vector or a null or
     non-finite component take no part. Rows that repeat a key are queries and candidates of their own. Vectors of another
-    length than a query's are no candidates for it. Queries without candidates give no rows. Scores are exact; those that a
-    long can't hold come back as the least or greatest long, and rank by their double. Other columns are not read.
+    length than a query's are no candidates for it. Queries without candidates give no rows. Scores rank exactly, whatever finite
+    doubles the vectors hold; those that a long can't hold come back as the least or greatest long. Other columns are not read.
     """
+    spark = vectors.sparkSession
     whole = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), quantised(F.col(vector), scale).alias("v"))
-    rows = materialise(whole.filter("id is not null and v is not null").withColumn("d", F.size("v")), "vectors")
-    n, q = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    q_blocks, c_blocks = max(1, ceil(q / QUERY_BLOCK)), max(1, ceil(n / CANDIDATE_BLOCK), min(24, ceil(n / 500)))
-    block = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
-    asked = rows.filter("is_query").select("row", "id", "v", "d", F.lit(True).alias("asks"), block(q_blocks).alias("qb"))
-    candidates = rows.select("row", "id", "v", "d", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block(c_blocks).alias("cb"), F.lit(None).cast("double").alias("floor"))
-    first = asked.withColumn("cb", F.lit(0)).withColumn("floor", F.lit(float("-inf")))
-    best = materialise(_best(first.unionByName(candidates.filter("cb = 0")), k), "best")
-    if c_blocks > 1:
-        floors = best.groupBy("row").agg(F.when(F.count("*") == k, F.min("place")).alias("floor"))
-        rest = asked.withColumn("cb", F.explode(F.sequence(F.lit(1), F.lit(c_blocks - 1)))).join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        best = best.unionByName(_best(rest.unionByName(candidates.filter("cb > 0")), k))
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.desc("place"), "id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    whole = whole.filter("id is not null and v is not null").withColumn("d", F.size("v")).filter("d > 0")
+    rows = materialise(spread(whole, vectors.count()), "vectors")
+    candidates, best = rows.select("row", "id", "v", "d"), spark.createDataFrame([], FOUND)
+    for block in in_blocks(rows.filter("is_query").select("row", "v", "d"), QUERY_BLOCK):
+        best = best.unionByName(materialise(against_all(candidates, block, _search(k), FOUND, CANDIDATE_BLOCK), "best"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("place"), "id"))
+    found = best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.join(rows.filter("is_query").select("row", F.col("id").alias("query_id")), "row").select("query_id", "rank", F.col("id").alias(key), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

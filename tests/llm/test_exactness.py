@@ -87,6 +87,41 @@ def test_top_k_of_large_vectors(spark, peak):
         assert rows == [(i, clip(score(i))) for i in best]
 
 
+@pytest.mark.parametrize("peak", [1e150, 1e200, 1e304])
+def test_top_k_of_large_doubles(spark, peak):
+    """Finite doubles whose products no double holds rank by their exact value; those that quantising makes infinite take no part."""
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(40, 6))]
+    for i in range(0, 40, 3):
+        vectors[i] = [x * peak for x in vectors[i]]
+    vectors.append([1.5e308] * 6)
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = topk.top_k(rows, F.col("vec_id") % 10 == 0).collect()
+    whole = [[int(np.floor(x * 1024)) for x in v] for v in vectors[:40]]
+    for q in range(0, 40, 10):
+        score = lambda i: sum(a * b for a, b in zip(whole[q], whole[i]))  # noqa: B023, E731
+        best = sorted((i for i in range(40) if i != q), key=lambda i: (-score(i), i))[:10]
+        clip = lambda x: min(max(x, topk.LEAST), topk.MOST)
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, clip(score(i))) for i in best]
+
+
+def test_top_k_shuffles_no_candidate(spark, small):
+    """The plan of a block's search: a scan and an Arrow map, no exchange."""
+    from lexvane.llm import blocks
+
+    rows = spark.createDataFrame([(i, i, [1.0, 2.0], 2) for i in range(9)], "row long, id long, v array<double>, d int")
+    plan = blocks.against_all(rows, rows.limit(2).collect(), topk._search(3), topk.FOUND)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_places_sort_like_numbers():
+    from lexvane.llm.blocks import number, place
+
+    rng = np.random.default_rng(5)
+    some = sorted({int(x) * 10 ** int(e) + int(d) for x, e, d in zip(rng.integers(-9, 10, 400), rng.integers(0, 320, 400), rng.integers(-5, 6, 400), strict=True)} | {0, 1, -1, 15, 16, -15, -16})
+    assert sorted(map(place, some)) == list(map(place, some)) and [number(place(n)) for n in some] == some
+
+
 def test_top_k_of_repeated_keys(spark):
     rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0)
