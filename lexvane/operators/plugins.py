@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexvane.sources import chunks
+
 
 def _same(n: int, results, what: str):
     if len(results) != n:
@@ -38,6 +42,50 @@ def hashed_vectors(df: DataFrame, tok, d: int, window: int = 8) -> DataFrame:
     return df.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float")))
 
 
+def side_by_side(one: Callable[[str], str | None], at_once: int = 32, transient: tuple[type[Exception], ...] = (), tries: int = 1, wait: float = 0.0) -> Callable[[list[str]], list[str | None]]:
+    """A provider from a function of one prompt: up to at_once calls run at a time within a chunk.
+
+    A call that raises one of `transient` is made again, after wait seconds (twice as long each time), up to tries times in all; then its
+    prompt is given up (null). Anything else that a call raises is raised when all calls of the chunk have ended.
+    """
+
+    def call(prompt: str) -> str | None | Exception:
+        for turn in range(tries):
+            try:
+                return one(prompt)
+            except transient:
+                if turn + 1 < tries:
+                    time.sleep(wait * 2**turn)
+            except Exception as error:
+                return error
+        return None
+
+    def run(prompts: list[str]) -> list[str | None]:
+        with ThreadPoolExecutor(max(1, min(at_once, len(prompts)))) as pool:
+            found = list(pool.map(call, prompts))
+        for x in found:
+            if isinstance(x, Exception):
+                raise x
+        return found
+
+    return run
+
+
+def complete_chunks(misses: DataFrame, fn: Callable[[list[str]], list[str | None]], path: str, keys: str | list[str], prompt: str = "prompt", chunk: int = 512, at_once: int | None = None) -> DataFrame:
+    """misses with completion and chunk_id, from the table at path, to which each chunk is added when its prompts have been answered.
+
+    fn is called once for each chunk that the table doesn't hold, over all runs: what stops a run costs no chunk that is done. A chunk
+    for which fn raises is told as chunks.ChunksFailed at the end; the next run asks for it again.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(completion=pd.Series(_same(len(rows), fn(list(rows[prompt])), "provider"), index=rows.index, dtype=object))
+
+    chunks.resume_append(misses, path, keys, chunk, work, "completion string", at_once)
+    done = chunks.finished(misses.sparkSession, path)
+    return done if done is not None else misses.withColumns({chunks.CHUNK: F.lit(None).cast("long"), "completion": F.lit(None).cast("string")})
+
+
 def apply_provider(misses: DataFrame, fn: Callable[[list[str]], list[str | None]], prompt: str = "prompt", chunk: int = 64, concurrency: int | None = None) -> DataFrame:
     """misses with completion: fn gets chunks of prompts; null is a prompt that was given up. What fn raises ends the job.
 

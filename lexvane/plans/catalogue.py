@@ -606,7 +606,7 @@ def q_micro_batch(spark, sf_dir):
     return stateful.micro_batches(spark, sf_dir)
 
 
-@query("select conv_id, turn, (row_number() over (order by conv_id * 1000 + turn) - 1) // 100 as chunk_id from conversations")
+@query("select conv_id, turn, (row_number() over (order by conv_id, turn) - 1) // 100 as chunk_id, case when length(text) % 3 <> 0 then 'Re: ' || text end as completion from conversations")
 def q_resume_append(spark, sf_dir):
     return stateful.resume(spark, sf_dir)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import time
 import uuid
@@ -15,7 +16,7 @@ from lexvane.operators import plugins, splits
 from lexvane.operators.joins import cache_misses
 from lexvane.plans import pipeline as job
 from lexvane.plans import recipes as r
-from lexvane.sources import registry, tables
+from lexvane.sources import chunks, registry, tables
 from lexvane.streaming import scoring
 
 
@@ -129,14 +130,25 @@ def micro_batches(spark, sf_dir):
     return sizes.agg(F.sum("d").alias("samples"), F.max("k").alias("largest"), F.count_if(F.col("k") != F.col("d")).alias("repeated")).join(F.broadcast(total)).withColumn("unfinished", F.col("n") - F.col("samples")).drop("n")
 
 
+def _answer(prompts: list[str]) -> list[str | None]:
+    return [f"Re: {p}" if len(p) % 3 else None for p in prompts]
+
+
+def _answer_some(prompts: list[str]) -> list[str | None]:
+    """Fails on chunks whose first prompt has an odd number of characters."""
+    if len(prompts[0]) % 2:
+        raise RuntimeError("no answer")
+    return _answer(prompts)
+
+
 def resume(spark, sf_dir):
-    """The first half of the chunks, then a second run over all rows, which adds the rest."""
+    """A first run, in which the provider fails on some chunks and all others are kept; a second one, which asks for the failed ones alone."""
     at = scratch(spark, "append")
-    rows = r.table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
-    half = rows.orderBy("at").limit(rows.count() // 200 * 100)
-    tables.resume_append(half, at, "at", 100)
-    tables.resume_append(rows, at, "at", 100)
-    return tables.finished(spark, at).select("conv_id", "turn", "chunk_id")
+    rows = r.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    with contextlib.suppress(chunks.ChunksFailed):
+        plugins.complete_chunks(rows, _answer_some, at, ["conv_id", "turn"], chunk=100)
+    done = plugins.complete_chunks(rows, _answer, at, ["conv_id", "turn"], chunk=100)
+    return done.select("conv_id", "turn", "chunk_id", "completion")
 
 
 def resume_two_runs(spark, sf_dir):

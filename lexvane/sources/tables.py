@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexvane.operators.ranks import ordinal_rank
-
 
 def scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Only these columns are read."""
@@ -46,33 +42,7 @@ def rollout_scan(spark: SparkSession, path: str, steps: list | None = None, colu
     return rows.select(*columns) if columns else rows
 
 
-def resume_append(df: DataFrame, path: str, ordinal: str, chunk_rows: int) -> int:
-    """Append the rows, in chunks of chunk_rows in the order of ordinal, that path doesn't hold yet; the number of rows written.
-
-    Rows are told apart by ordinal, so that a last chunk that was not full gets its rest when the table has grown at its end.
-    A run writes to a folder of its own, whose rows count once its _SUCCESS is there, so a partial chunk is never taken for done.
-    """
-    spark = df.sparkSession
-    chunks = ordinal_rank(df, ordinal, "_rank").withColumn("chunk_id", F.expr(f"(_rank - 1) div {chunk_rows}")).drop("_rank")
-    done = finished(spark, path)
-    todo = chunks if done is None else chunks.join(done.select(ordinal), ordinal, "left_anti").select(*chunks.columns)
-    target = f"{path}/run={uuid.uuid4().hex}"
-    todo.write.parquet(target)
-    return spark.read.schema(todo.schema).parquet(target).count()
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to path has ended."""
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
-
-
-def finished(spark: SparkSession, path: str) -> DataFrame | None:
-    """Rows of all finished runs; None without any."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    runs = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(*[r.toString() for r in runs]) if runs else None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexvane.operators import ranks, sampling, splits
 from lexvane.plans import pipeline
 from lexvane.plans import recipes as r
-from lexvane.sources import registry, tables
+from lexvane.sources import chunks, registry, tables
 
 
 def test_job_records_and_resumes(spark, small, tmp_path):
@@ -38,9 +38,9 @@ def test_job_gate(spark, small, tmp_path):
 
 def test_append_to_a_grown_table(spark, tmp_path):
     out = f"file://{tmp_path}/out"
-    assert tables.resume_append(spark.range(75), out, "id", 10) == 75
-    assert tables.resume_append(spark.range(100), out, "id", 10) == 25
-    rows = tables.finished(spark, out)
+    assert chunks.resume_append(spark.range(75), out, "id", 10) == 75
+    assert chunks.resume_append(spark.range(100), out, "id", 10) == 25
+    rows = chunks.finished(spark, out)
     assert rows.count() == 100 and sorted(rows.groupBy("chunk_id").count().collect()) == [(i, 10) for i in range(10)]
 
 

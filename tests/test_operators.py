@@ -11,7 +11,7 @@ from lexvane.functions import token_lists as tl
 from lexvane.functions import vectors as vec
 from lexvane.operators import gates, joins, metrics, plugins, ranks, sampling, splits
 from lexvane.plans import pipeline as job
-from lexvane.sources import registry, tables
+from lexvane.sources import chunks, registry, tables
 from lexvane.streaming import scoring
 
 
@@ -213,10 +213,10 @@ def test_tables(spark, tmp_path):
     with pytest.raises(ValueError, match="the corpus at 99"):
         tables.corpus_scan(spark, path, "c", "s", 95, 10, "text", "id")
     out = f"file://{tmp_path}/append"
-    assert tables.resume_append(spark.range(50), out, "id", 10) == 50
-    assert tables.resume_append(spark.range(75), out, "id", 10) == 25
-    assert tables.resume_append(spark.range(75), out, "id", 10) == 0
-    assert sorted(r["id"] for r in tables.finished(spark, out).collect()) == list(range(75))
+    assert chunks.resume_append(spark.range(50), out, "id", 10) == 50
+    assert chunks.resume_append(spark.range(75), out, "id", 10) == 25
+    assert chunks.resume_append(spark.range(75), out, "id", 10) == 0
+    assert sorted(r["id"] for r in chunks.finished(spark, out).collect()) == list(range(75))
 
 
 def test_baselines(spark):
