@@ -60,6 +60,14 @@ def register(meta: DataFrame, path: str) -> None:
     meta.select("dataset_id", F.to_json(F.struct(*meta.columns)).alias("value")).select("value").write.mode("append").text(f"{path}/json")
 
 
+def known_ids(spark: SparkSession, path: str) -> set[str]:
+    """Ids of all datasets in the registry at path, which may not be there yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/registry")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return set()
+    return {r[0] for r in spark.read.schema(SCHEMA).parquet(f"{path}/registry").select("dataset_id").distinct().collect()}
+
+
 def load_meta(spark: SparkSession, path: str, dataset_id: str) -> Row:
     """The valid record of a dataset; the latest by created_at, if several."""
     rows = spark.read.parquet(f"{path}/registry").filter(F.col("dataset_id") == dataset_id).orderBy(F.desc_nulls_last("created_at")).limit(1).collect()

@@ -36,6 +36,60 @@ def test_job_gate(spark, small, tmp_path):
         pipeline.run_pipeline(spark, cfg, None, lambda rows: rows, stages=["build"])
 
 
+def rows_of(spark, path):
+    return sorted(map(repr, spark.read.parquet(path).collect()))
+
+
+def test_job_that_dies_after_each_step(spark, small, tmp_path):
+    """Killed once after each step of each table, and resumed each time: equal tables, one record each, each chunk asked for once."""
+    docs = r.table(spark, small, "documents").filter("doc_id < 14")
+    vectors = lambda rows: r.with_vectors(rows, spark, small)
+    (log := tmp_path / "log").mkdir()
+
+    def complete(prompts):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(prompts[0])
+        return [f"<analysis>\n1. {p[9:29]}\n- two\n</analysis>" for p in prompts]
+
+    cfg = pipeline.resolve_config({"preset": "probe", "resume": True, "raw_completions": True, "chunk_rows": 10, "d_model": 64})
+    whole = pipeline.run_pipeline(spark, cfg | {"output": f"file://{tmp_path}/whole"}, docs, vectors, None, complete=complete)
+    asked = Counter(p.read_text() for p in log.iterdir())
+    died = []
+
+    def after(step, name):
+        if (step, name) not in died:
+            died.append((step, name))
+            raise KeyboardInterrupt
+
+    runs = 0
+    while runs < 100:
+        runs += 1
+        try:
+            at = pipeline.run_pipeline(spark, cfg | {"output": f"file://{tmp_path}/dying"}, docs, vectors, None, complete=complete, after=after)
+            break
+        except KeyboardInterrupt:
+            continue
+    assert runs == len(died) + 1 == 4 * 10 + 1
+    for name in ("base", "split", "explain", *[f"{s}/{t}" for s in ("build", "shuffle") for t in ("av_sft", "ar_sft", "rl")]):
+        assert rows_of(spark, f"{tmp_path}/dying/{name}") == rows_of(spark, f"{tmp_path}/whole/{name}")
+    both = [spark.read.parquet(f"{x['registry']}/registry") for x in (at, whole)]
+    assert sorted(map(repr, both[0].collect())) == sorted(map(repr, both[1].collect())) and both[0].count() == 12
+    assert {k: n - asked[k] for k, n in Counter(p.read_text() for p in log.iterdir()).items()} == asked
+    up = registry.lineage(both[0], "av_sft_base_run__shuf42").orderBy("depth").collect()
+    assert [x["ancestor"] for x in up] == ["av_sft_base_run", "base_run__av_raw__explained", "base_run__av_raw", "base_run"]
+    with pytest.raises(ValueError, match="complete already"):
+        pipeline.run_pipeline(spark, cfg | {"output": f"file://{tmp_path}/whole", "resume": False}, docs, vectors, stages=["base"])
+
+
+def test_rows_that_vectors_lose_are_told(spark, small, tmp_path):
+    cfg = pipeline.resolve_config({"preset": "probe", "output": f"file://{tmp_path}/job", "resume": True})
+    docs = r.table(spark, small, "documents").filter("doc_id < 12")
+    some = lambda rows: r.with_vectors(rows, spark, small).filter("n_raw_tokens % 5 <> 0")
+    with pytest.raises(ValueError, match="rows, not"):
+        pipeline.run_pipeline(spark, cfg, docs, some, None, r.prior)
+
+
 def test_append_to_a_grown_table(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     assert chunks.resume_append(spark.range(75), out, "id", 10) == 75
