@@ -54,6 +54,12 @@ def pair_mse(pred: Column, gold: Column, scale: float | None = None) -> Column:
     return F.when(F.size(pred) == n, F.greatest(value, F.lit(0.0)) / n)
 
 
+def digest(vector: Column) -> Column:
+    """A whole number that depends on every component and its place, the same in every engine: the sum of floor(x * 2**20) times the place, from 1."""
+    parts = F.transform(vector, lambda x, i: F.floor(x.cast("double") * 1048576.0) * (i + 1))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def reward(mse: Column, status: Column, log_mode: bool = False) -> Column:
     """-mse, or -ln(max(mse, 1e-8)); a row that isn't COMPLETED or has no mse gets -2 (-ln 2), below any success."""
     good = (status == "COMPLETED") & mse.isNotNull()

@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 EXPLANATION, TEXT, VECTOR = joins.EXPLANATION, joins.TEXT, splits.VECTOR
 NL = "chr(10)"
+#: vectors.digest() of a list v.
+DIGEST = "cast(list_sum([cast(floor(cast(v[i] as double) * 1048576) as bigint) * i for i in range(1, len(v) + 1)]) as bigint)"
 
 
 def query(sql: str | None = None):
@@ -146,11 +148,12 @@ def q_cache_stats(spark, sf_dir):
     return joins.cache_stats(one.unionByName(two))
 
 
-@query(f"with {r.PRIOR} select doc_id, n_raw_tokens, api_explanation from prior where (doc_id * 7 + n_raw_tokens) % 200 <> 0")
+@query(f"with {r.PRIOR}, nv as (select count(*) as nv from embeddings), e as (select vec_id, embedding as v from embeddings) select doc_id, n_raw_tokens, api_explanation, sha256(prefix) as text_key, {DIGEST} as vector_digest from prior, nv, e where (doc_id * 7 + n_raw_tokens) % 200 <> 0 and e.vec_id = (doc_id * 31 + n_raw_tokens) % nv")
 def q_reuse_join(spark, sf_dir):
-    rows = r.keys(spark, sf_dir)  # the join needs no texts
-    known = r.prior_ar(rows).filter((F.col("doc_id") * 7 + F.col("n_raw_tokens")) % 200 != 0)
-    return joins.reuse_join(rows, known, template=r.CRITIC).select("doc_id", "n_raw_tokens", EXPLANATION)
+    rows = r.base(spark, sf_dir)
+    known = r.prior_ar(r.keys(spark, sf_dir)).filter((F.col("doc_id") * 7 + F.col("n_raw_tokens")) % 200 != 0)
+    joined = joins.reuse_join(r.with_vectors(rows, spark, sf_dir), known, template=r.CRITIC)
+    return joined.select("doc_id", "n_raw_tokens", EXPLANATION, tx.text_key(F.col(TEXT)).alias("text_key"), vec.digest(F.col(VECTOR)).alias("vector_digest"))
 
 
 @query(f"with {r.PRIOR} select sha256(prefix) as k, api_explanation from prior")
@@ -204,8 +207,8 @@ def q_baseline_gap(spark, sf_dir):
 
 
 PROMPT = "'user' as role, 'Describe the vector <v>.' as content"
-N_VECTORS = "nv as (select count(*) as nv from embeddings)"
-VEC_ID = "(doc_id * 31 + n_raw_tokens) % nv as vec_id"
+WITH_VECTOR = "nv as (select count(*) as nv from embeddings), e as (select vec_id, embedding as v from embeddings)"
+MOVED = "prior, nv, e where e.vec_id = (doc_id * 31 + n_raw_tokens) % nv"
 
 
 def _stage(spark, sf_dir, stage):
@@ -216,10 +219,10 @@ def _stage(spark, sf_dir, stage):
 
 def _flat(rows):
     turn = F.get("prompt", F.lit(0))
-    return rows.select("doc_id", "n_raw_tokens", turn["role"].alias("role"), turn["content"].alias("content"), F.size(VECTOR).cast("long").alias("width"), *[c for c in ("response",) if c in rows.columns])
+    return rows.select("doc_id", "n_raw_tokens", turn["role"].alias("role"), turn["content"].alias("content"), F.size(VECTOR).cast("long").alias("width"), vec.digest(F.col(VECTOR)).alias("vector_digest"), *[c for c in ("response",) if c in rows.columns])
 
 
-@query(f"with {r.PRIOR} select doc_id, n_raw_tokens, {PROMPT}, 64 as width, '<explanation>' || {NL} || api_explanation || {NL} || '</explanation>' as response from prior".replace("64 as", "cast(64 as bigint) as"))
+@query(f"with {r.PRIOR}, {WITH_VECTOR} select doc_id, n_raw_tokens, {PROMPT}, cast(len(v) as bigint) as width, {DIGEST} as vector_digest, '<explanation>' || {NL} || api_explanation || {NL} || '</explanation>' as response from {MOVED}")
 def q_build_av(spark, sf_dir):
     return _flat(_stage(spark, sf_dir, "av_sft"))
 
@@ -229,7 +232,7 @@ def q_build_ar(spark, sf_dir):
     return _stage(spark, sf_dir, "ar_sft").select("doc_id", "n_raw_tokens", "prompt", tx.text_key(F.col(TEXT)).alias("debug_key"))
 
 
-@query(f"with {r.PRIOR} select doc_id, n_raw_tokens, {PROMPT}, cast(64 as bigint) as width from prior")
+@query(f"with {r.PRIOR}, {WITH_VECTOR} select doc_id, n_raw_tokens, {PROMPT}, cast(len(v) as bigint) as width, {DIGEST} as vector_digest from {MOVED}")
 def q_build_rl(spark, sf_dir):
     return _flat(_stage(spark, sf_dir, "rl"))
 
@@ -239,11 +242,11 @@ def q_shuffle_rows(spark, sf_dir):
     return ranks.shuffle_rows(r.table(spark, sf_dir, "embeddings").select("vec_id"), 42, "emb", ["vec_id"])
 
 
-@query("""with a as (select vec_id, row_number() over (order by sha256('42|emb|anchor|' || vec_id), vec_id) as rank from embeddings), b as (select vec_id, row_number() over (order by sha256('42|emb|vector|' || vec_id), vec_id) as rank from embeddings)
-select a.vec_id, a.rank is not null as has_vector, b.vec_id as from_vec_id from a join b on a.rank = b.rank""")
+@query(f"""with a as (select vec_id, row_number() over (order by sha256('42|emb|anchor|' || vec_id), vec_id) as rank from embeddings), b as (select vec_id, embedding as v, row_number() over (order by sha256('42|emb|vector|' || vec_id), vec_id) as rank from embeddings)
+select a.vec_id, {DIGEST} as moved_digest, b.vec_id as from_vec_id from a join b on a.rank = b.rank""")
 def q_shuffle_vectors(spark, sf_dir):
     rows = ranks.shuffle_vectors(r.table(spark, sf_dir, "embeddings"), 42, "emb", ["vec_id"], "embedding")
-    return rows.select("vec_id", F.col("embedding").isNotNull().alias("has_vector"), "from_vec_id")
+    return rows.select("vec_id", vec.digest(F.col("embedding")).alias("moved_digest"), "from_vec_id")
 
 
 # registry
@@ -296,11 +299,10 @@ def q_registry(spark, sf_dir):
     return stateful.registry_roundtrip(spark, sf_dir)
 
 
-@query("select label, count(*) as rows from embeddings group by 1")
+@query("select label, count(*) as rows, true as refused from embeddings group by 1")
 def q_table_gate(spark, sf_dir):
-    rows = r.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", VECTOR)
-    meta = {"stage": "rl", "norm": "none", "d_model": 64, "row_count": rows.count()}
-    return gates.gate_table(rows, meta, "rl", ["label", VECTOR]).groupBy("label").agg(F.count("*").alias("rows"))
+    """The table passes by its registered record, and is refused by one that tells another count."""
+    return stateful.table_gate(spark, sf_dir)
 
 
 @query(f"with {r.ROLLOUTS} select event_id, case when status = 'COMPLETED' and response_length % 3 <> 0 then reward else -2.0 end as reward from rollouts")
@@ -429,23 +431,28 @@ def q_length_drift(spark, sf_dir):
     return metrics.length_drift(r.rollouts(spark, sf_dir), "step", "response_length", "reward")
 
 
-@query("""with p as (select event_id, i, -((event_id * i) % 7) / 10.0 as t, -((event_id * i) % 5) / 10.0 as s from events, unnest(range(1, 9)) as u(i) where (event_id + i) % 3 <> 0)
-select event_id, count(*) as n, round(avg(exp(cast(t - s as double))), 6) as ratio, round(avg(abs(exp(cast(t - s as double)) - 1)), 6) as abs_ratio, round(avg(exp(cast(t - s as double)) - 1 - cast(t - s as double)), 6) as k3 from p group by 1""")
+@query("""with t as (select doc_id, string_split(text, ' ') as tok from documents), p as (select doc_id, length(tok[i]) as k, i, -((length(tok[i]) * i) % 7) / 10.0 as t, -((length(tok[i]) * i) % 5) / 10.0 as s from t, unnest(range(1, len(tok) + 1)) as u(i)),
+d as (select doc_id, (k + i) % 3 <> 0 as m, cast(t as double) - cast(s as double) as d from p)
+select doc_id, count(*) filter (m) as n, round(avg(exp(d)) filter (m), 6) as ratio, round(avg(abs(exp(d) - 1)) filter (m), 6) as abs_ratio, round(avg(exp(d) - 1 - d) filter (m), 6) as k3 from d group by 1""")
 def q_logprob_mismatch(spark, sf_dir):
-    i = F.sequence(F.lit(1), F.lit(8))
-    lp = lambda m: F.transform(i, lambda x: -((F.col("event_id") * x) % m).cast("double") / 10.0)
-    mask = F.transform(i, lambda x: F.when((F.col("event_id") + x) % 3 != 0, 1).otherwise(0))
-    rows = r.table(spark, sf_dir, "events").select("event_id", vec.mismatch(lp(7), lp(5), mask).alias("m"))
-    return rows.select("event_id", F.col("m.n").cast("long").alias("n"), *[F.round(F.col(f"m.{c}"), 6).alias(c) for c in ("ratio", "abs_ratio", "k3")])
+    """Log-probs of every token of every document, from its length and place."""
+    tok = F.col("tok")
+    lp = lambda m: F.transform(tok, lambda x, i: -((F.length(x) * (i + 1)) % m).cast("double") / 10.0)
+    mask = F.transform(tok, lambda x, i: F.when((F.length(x) + i + 1) % 3 != 0, 1).otherwise(0))
+    rows = r.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tok")).select("doc_id", lp(7).alias("t"), lp(5).alias("s"), mask.alias("m"))
+    rows = rows.select("doc_id", vec.mismatch(F.col("t"), F.col("s"), F.col("m")).alias("m"))
+    return rows.select("doc_id", F.col("m.n").cast("long").alias("n"), *[F.round(F.col(f"m.{c}"), 6).alias(c) for c in ("ratio", "abs_ratio", "k3")])
 
 
 # tokens, turns and batches
 
 
-@query("""with t as (select conv_id, role, len(string_split(text, ' ')) as k from conversations) select conv_id, cast(sum(k) as bigint) as n_tokens, cast(sum(case when role = 'assistant' then k else 0 end) as bigint) as response_length, cast(least(sum(k), sum(case when role = 'assistant' then k else 0 end)) as bigint) as mask_size from t group by 1""")
+@query("""with t as (select conv_id, turn, role, string_split(text, ' ') as tok from conversations), m as (select *, [case when role = 'assistant' then 1 else 0 end for x in tok] as m from t),
+g as (select conv_id, flatten(list(tok order by turn)) as tokens, flatten(list(m order by turn)) as a from m group by 1), n as (select *, cast(list_sum(a) as bigint) as n from g)
+select conv_id, len(tokens) as n_tokens, n as response_length, sha256(array_to_string(tokens, ' ')) as tokens_key, sha256(array_to_string(a[len(a) - n + 1:], '')) as mask_key from n""")
 def q_conversation_mask(spark, sf_dir):
     rows = tl.conversation_mask(r.table(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", F.size("tokens").cast("long").alias("n_tokens"), F.col("response_length").cast("long").alias("response_length"), F.size("mask").cast("long").alias("mask_size"))
+    return rows.select("conv_id", F.size("tokens").cast("long").alias("n_tokens"), F.col("response_length").cast("long").alias("response_length"), tx.text_key(F.array_join("tokens", " ")).alias("tokens_key"), tx.text_key(F.array_join("mask", "")).alias("mask_key"))
 
 
 @query("select conv_id, turn, cast(2 as integer) as n_turns, 'assistant' as last_role, 'Re: ' || text as last_content from conversations where role = 'user'")
@@ -477,17 +484,19 @@ def q_neighbors(spark, sf_dir):
     return rows.select("doc_id", F.col("m.site").cast("long").alias("site"), "m.left", "m.right")
 
 
-@query("select doc_id, len(string_split(text, ' ')) >= 1 and regexp_replace(text, '(?s)^.* ', '') in ('the.') as fits from documents")
+@query("with t as (select doc_id, string_split(text, ' ') as tok from documents), s as (select tok[-3:] as s from t where doc_id = 0) select doc_id, len(tok) >= 3 and tok[-3:] = s as fits from t, s")
 def q_suffix_check(spark, sf_dir):
-    suffix = tl.stable_suffix(["of", "the."])
-    return r.table(spark, sf_dir, "documents").select("doc_id", tl.ends_with_tokens(tx.tokens(F.col("text")), suffix).alias("fits"))
+    """The last three tokens of the first document, as a stable suffix, against all documents."""
+    docs = r.table(spark, sf_dir, "documents")
+    suffix = tl.stable_suffix(docs.filter("doc_id = 0").first()["text"].split(" ")[-4:])
+    return docs.select("doc_id", tl.ends_with_tokens(tx.tokens(F.col("text")), suffix).alias("fits"))
 
 
-@query("""with m as (select event_id, [case when (event_id * i) % 11 < 3 then 1 else 0 end for i in range(1, 9)] as m from events)
-select event_id, list_max(list_filter(range(0, 8), lambda i: m[i + 1] = 1)) as last from m""")
+@query("with t as (select doc_id, string_split(text, ' ') as tok from documents) select doc_id, list_max(list_filter(range(0, len(tok)), lambda i: length(tok[i + 1]) > 8)) as last from t")
 def q_last_set(spark, sf_dir):
-    mask = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when((F.col("event_id") * i) % 11 < 3, 1).otherwise(0))
-    return r.table(spark, sf_dir, "events").select("event_id", tl.last_set(mask).alias("last"))
+    """The last long token of each document."""
+    mask = F.transform(tx.tokens(F.col("text")), lambda x: F.when(F.length(x) > 8, 1).otherwise(0))
+    return r.table(spark, sf_dir, "documents").select("doc_id", tl.last_set(mask).cast("long").alias("last"))
 
 
 @query("select count(*) as rows, min(len(embedding)) as low, max(len(embedding)) as high from embeddings")
@@ -636,8 +645,12 @@ def q_hashed_vectors(spark, sf_dir):
     return stateful.hashed(spark, sf_dir)
 
 
-@query(f"with {BUCKETS} select case bucket when 'av' then 'av_sft' when 'ar' then 'ar_sft' else 'rl' end as stage, count(*) as rows, count(distinct b.doc_id) as docs from base b join buckets k on b.doc_id = k.doc_id group by 1")
-def q_pipeline(spark, sf_dir):
-    return stateful.whole_run(spark, sf_dir)
+JOB = f"""{r.PRIOR}, {BUCKETS[len(r.BASE) + 2 :]}, {WITH_VECTOR},
+told as (select p.doc_id, p.n_raw_tokens, bucket, coalesce(c.e, p.api_explanation) as x, {DIGEST} as d from prior p join buckets k on p.doc_id = k.doc_id left join cache c on sha256(p.prefix) = c.k, nv, e where e.vec_id = (p.doc_id * 31 + p.n_raw_tokens) % nv),
+made as (select doc_id, case bucket when 'av' then 'av_sft' when 'ar' then 'ar_sft' else 'rl' end as stage, concat_ws('|', doc_id, n_raw_tokens, d, case bucket when 'ar' then 'Read: ' || x || {NL} || 'Guess:' else 'Describe the vector <v>.' end,
+    case bucket when 'av' then '<explanation>' || {NL} || x || {NL} || '</explanation>' end) as row from told)"""
 
 
+@query(f"with {JOB} select stage, count(*) as rows, count(distinct doc_id) as docs, bit_xor(cast('0x' || substr(md5(row), 1, 15) as bigint)) as digest from made group by 1")
+def q_pipeline(spark, sf_dir):
+    return stateful.whole_run(spark, sf_dir)

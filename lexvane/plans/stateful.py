@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import time
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexvane.functions.text import tokens
-from lexvane.operators import plugins, splits
+from lexvane.functions.vectors import digest
+from lexvane.operators import gates, plugins, splits
 from lexvane.operators.joins import cache_misses
 from lexvane.plans import pipeline as job
 from lexvane.plans import recipes as r
@@ -27,7 +29,21 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexvane-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Folders go when the driver ends."""
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fanout_roundtrip(spark, sf_dir):
@@ -203,15 +219,35 @@ def hashed(spark, sf_dir):
 
 
 def whole_run(spark, sf_dir):
-    """All stages of the dataset job; rows and documents of its three final tables."""
-    cfg = job.resolve_config({"preset": "small", "output": scratch(spark, "job")})
+    """All stages of the dataset job; rows and documents of its three final tables, and a digest of all that their rows hold."""
+    cfg = job.resolve_config({"preset": "small", "d_model": 64, "output": scratch(spark, "job")})
     vectors = lambda rows: r.with_vectors(rows, spark, sf_dir)
     provider = lambda rows: r.prior(rows)
     at = job.run_pipeline(spark, cfg, r.table(spark, sf_dir, "documents"), vectors, r.caches, provider)
     out = None
     for stage in ("av_sft", "ar_sft", "rl"):
-        part = spark.read.parquet(f"{at['shuffle']}/{stage}").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("docs")).withColumn("stage", F.lit(stage))
+        rows = spark.read.parquet(f"{at['shuffle']}/{stage}")
+        prompt = F.col("prompt") if stage == "ar_sft" else F.get("prompt", F.lit(0))["content"]
+        held = [F.col("doc_id").cast("string"), F.col("n_raw_tokens").cast("string"), digest(F.col("activation_vector")).cast("string"), prompt, *[F.col(c) for c in ("response",) if c in rows.columns]]
+        row = F.conv(F.substring(F.md5(F.concat_ws("|", *held)), 1, 15), 16, 10).cast("long")
+        part = rows.select("doc_id", row.alias("row")).agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("docs"), F.bit_xor("row").alias("digest")).withColumn("stage", F.lit(stage))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def table_gate(spark, sf_dir):
+    """(label, rows, refused): vectors that agree with their registered record, and whether a record with another count refuses them."""
+    at = scratch(spark, "gate")
+    rows = r.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", splits.VECTOR)
+    n = rows.agg(F.max("vec_id")).first()[0] + 1  # ids are 0, 1, ..
+    tokens = ("<v>", -1, -1, -1, [-1])
+    for name, count in (("right", n), ("wrong", n + 1)):
+        extraction = ("lab/base-1", 64, 20, "none", "embeddings", (0, count), 1)
+        registry.register(registry.metadata(spark, [{"dataset_id": name, "stage": "rl", "row_count": count, "extraction": extraction, "tokens": tokens, "prompt_templates": {"actor": r.ACTOR}, "parent_datasets": []}]), at)
+    record = lambda name: (lambda m: {"stage": m["stage"], "norm": m["extraction"]["norm"], "d_model": m["extraction"]["d_model"], "row_count": m["row_count"]})(registry.load_meta(spark, at, name))
+    refused = False
+    try:
+        gates.gate_table(rows, record("wrong"), "rl", ["label", splits.VECTOR])
+    except ValueError:
+        refused = True
+    return gates.gate_table(rows, record("right"), "rl", ["label", splits.VECTOR]).groupBy("label").agg(F.count("*").alias("rows")).withColumn("refused", F.lit(refused))
