@@ -605,7 +605,7 @@ def q_stream_score(spark, sf_dir):
     return stateful.stream_score(spark, sf_dir)
 
 
-@query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n, round(avg(value), 9) as mean, round(stddev_pop(value), 9) as std, round(min(value), 9) as min, round(max(value), 9) as max from events group by 1 having day < (select strftime(max(ts) - interval 2 day, '%Y-%m-%d') from events)")
+@query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n, round(avg(value), 9) as mean, round(stddev_pop(value), 9) as std, round(min(value), 9) as min, round(max(value), 9) as max, true as percentiles_fit, true as groups_fit from events group by 1 having day < (select strftime(max(ts) - interval 2 day, '%Y-%m-%d') from events)")
 def q_stream_report(spark, sf_dir):
     return stateful.stream_report(spark, sf_dir)
 
@@ -615,6 +615,11 @@ def q_micro_batch(spark, sf_dir):
     return stateful.micro_batches(spark, sf_dir)
 
 
+@query(f"with {r.ROLLOUTS} select event_id as sample, case when response_length % 7 = 0 then 'gave up' else 'scored' end as status, case when response_length % 7 <> 0 then response_length / 2 - case status when 'COMPLETED' then 0 when 'TRUNCATED' then 1 else 2 end end as result, cast(null as varchar) as error from rollouts")
+def q_batch_scores(spark, sf_dir):
+    return stateful.batch_scores(spark, sf_dir)
+
+
 @query("select conv_id, turn, (row_number() over (order by conv_id, turn) - 1) // 100 as chunk_id, case when length(text) % 3 <> 0 then 'Re: ' || text end as completion from conversations")
 def q_resume_append(spark, sf_dir):
     return stateful.resume(spark, sf_dir)

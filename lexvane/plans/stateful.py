@@ -7,6 +7,8 @@ import contextlib
 import tempfile
 import time
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -87,14 +89,21 @@ def stream_score(spark, sf_dir):
 
 
 def stream_report(spark, sf_dir):
-    """Days that the watermark has closed."""
+    """Days that the watermark has closed, and whether their sketched percentiles and group counts are within the stated errors of exact ones."""
     at = scratch(spark, "report")
-    events = r.table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    events = r.table(spark, sf_dir, "events").select("event_id", "ts", "value", "user_id")
     events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
-    report = scoring.report_stream(stream, "ts", "value", "event_id")
+    report = scoring.report_stream(stream, "ts", "value", "event_id", group="user_id")
     scoring.run_available(report, f"{at}/out", f"{at}/state")
-    out = spark.read.parquet(f"{at}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")])
+    out = spark.read.parquet(f"{at}/out").withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+    days = events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).join(F.broadcast(out.select("day", *scoring.SHARES)), "day")
+    under = [F.count_if(F.col("value") < F.col(p)).alias(f"below_{p}") for p in scoring.SHARES] + [F.count_if(F.col("value") <= F.col(p)).alias(f"upto_{p}") for p in scoring.SHARES]
+    exact = days.groupBy("day").agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("groups"), *under)
+    error = scoring.PERCENTILE_ERROR
+    near = [(F.col(f"below_{p}") <= (s + error) * F.col("rows")) & (F.col(f"upto_{p}") >= (s - error) * F.col("rows")) for p, s in scoring.SHARES.items()]
+    out = out.join(F.broadcast(exact), "day").withColumn("percentiles_fit", reduce(and_, near)).withColumn("groups_fit", F.abs(F.col("n_groups") - F.col("groups")) <= F.greatest(F.col("groups") * 0.03, F.lit(1)))
+    out = out.select("day", "n", *[F.round(c, 9).alias(c) for c in ("mean", "std", "min", "max")], "percentiles_fit", "groups_fit")
     last = events.agg(F.date_format(F.max("ts") - F.expr("interval 2 days"), "yyyy-MM-dd").alias("last"))
     return out.join(F.broadcast(last)).filter("day < last").drop("last")
 
@@ -108,21 +117,30 @@ def _shards(events: int) -> int:
     return max(4, -(-events // SHARD_EVENTS))
 
 
-def micro_batches(spark, sf_dir):
-    """(samples, largest, repeated, unfinished): each event is in one batch, of 16 at most; rests leave by their timer.
+@contextlib.contextmanager
+def rocksdb(spark):
+    """The state store that stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def _batched(spark, sf_dir, columns, **how):
+    """All batches of the events' stream.
 
     The stream runs until all events have left, however long that takes. A failed stream is an error, and so is one that goes on
     to report but gives nothing out.
     """
     at = scratch(spark, "batches")
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    total = r.table(spark, sf_dir, "events").agg(F.count("*").alias("n"))
-    out = lambda: spark.read.schema("shard long, batch long, sample long").parquet(f"{at}/out")
-    try:
-        n = total.first()[0]
+    out = lambda: spark.read.schema(scoring.BATCHED).parquet(f"{at}/out")
+    with rocksdb(spark):
+        n = r.table(spark, sf_dir, "events").count()
         shards = _shards(n)
-        stream = scoring.micro_batch(_events_in_order(spark, sf_dir, at, ["event_id", "ts"], shards), "event_id", shards, timeout_ms=2_000)
+        stream = scoring.micro_batch(_events_in_order(spark, sf_dir, at, ["event_id", "ts", *columns], shards), "event_id", shards, timeout_ms=2_000, columns=columns, **how)
         running = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(processingTime="1 second").start()
         try:
             seen, gone, quiet = None, 0, 0
@@ -140,12 +158,27 @@ def micro_batches(spark, sf_dir):
             running.stop()
         if running.exception():
             raise running.exception()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
-    sizes = out().groupBy("shard", "batch").agg(F.count("*").alias("k"), F.count_distinct("sample").alias("d"))
+    return out()
+
+
+def micro_batches(spark, sf_dir):
+    """(samples, largest, repeated, unfinished): each event is in one batch, of 16 at most; rests leave by their timer."""
+    sizes = _batched(spark, sf_dir, []).groupBy("shard", "batch").agg(F.count("*").alias("k"), F.count_distinct("sample").alias("d"))
+    total = r.table(spark, sf_dir, "events").agg(F.count("*").alias("n"))
     return sizes.agg(F.sum("d").alias("samples"), F.max("k").alias("largest"), F.count_if(F.col("k") != F.col("d")).alias("repeated")).join(F.broadcast(total)).withColumn("unfinished", F.col("n") - F.col("samples")).drop("n")
 
 
+def _reward_of(batch):
+    """Half the length, less the status; none for lengths that 7 divides."""
+    cost = batch["status"].map({"COMPLETED": 0.0, "TRUNCATED": 1.0, "FAILED": 2.0})
+    return [None if k % 7 == 0 else k / 2 - c for k, c in zip(batch["response_length"], cost, strict=True)]
+
+
+def batch_scores(spark, sf_dir):
+    """Every event's result from the batch that it was in."""
+    return _batched(spark, sf_dir, ["status", "response_length"], score=_reward_of).select("sample", "status", "result", "error")
+
+
 def _answer(prompts: list[str]) -> list[str | None]:
     return [f"Re: {p}" if len(p) % 3 else None for p in prompts]
 

@@ -21,7 +21,7 @@ def test_shards_grow_with_the_input():
 
 def test_streams_without_progress_are_errors(spark, small, monkeypatch):
     batch = stateful.scoring.micro_batch
-    monkeypatch.setattr(stateful.scoring, "micro_batch", lambda *a, timeout_ms: batch(*a, timeout_ms=3_600_000))
+    monkeypatch.setattr(stateful.scoring, "micro_batch", lambda *a, timeout_ms, **k: batch(*a, timeout_ms=3_600_000, **k))
     monkeypatch.setattr(stateful, "QUIET_REPORTS", 3)
     with pytest.raises(RuntimeError, match="stay in the stream"):
         stateful.micro_batches(spark, small)
