@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,3 +95,39 @@ def leak_scan(df: DataFrame, text: str, key: str, patterns: list[str], skip: lis
     hits = F.filter(F.array(*[F.lit(p.lower()) for p in patterns]), lambda p: F.contains(low, p))
     rows = df.filter(~F.col(key).cast("string").isin(skip)) if skip else df
     return rows.select(key, F.explode(hits).alias("pattern"))
+
+
+#: Characters of all patterns of a scan; their automaton is sent to all tasks.
+PATTERN_CHARS = 20_000_000
+
+
+def leak_patterns(df: DataFrame, text: str, key: str, patterns: DataFrame, column: str) -> DataFrame:
+    """(key, pattern): which patterns of a table each lower-cased text contains, each once; any number of patterns in one pass over a text.
+
+    Aho-Corasick: patterns become one automaton (null and empty ones are left out), built once and sent to all tasks; beyond PATTERN_CHARS
+    characters, they go in several passes. Texts that are null contain nothing.
+    """
+    import ahocorasick
+
+    few = patterns.select(F.lower(column).alias("p")).filter("p <> ''").distinct()
+    total = few.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // PATTERN_CHARS))
+    kind = df.schema[key].dataType.simpleString()
+    rows, out = df.select(F.col(key), F.lower(text).alias("_text")).filter("_text is not null"), None
+    for k in range(passes):
+        found = ahocorasick.Automaton()
+        for (p,) in few.filter(F.pmod(F.xxhash64("p"), F.lit(passes)) == k).collect():
+            found.add_word(p, p)
+        if not len(found):
+            continue
+        found.make_automaton()
+        sent = df.sparkSession.sparkContext.broadcast(found)
+
+        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                hits = [(i, p) for i, t in zip(pdf[key], pdf["_text"], strict=True) for p in sorted({p for _, p in sent.value.iter(t)})]
+                yield pd.DataFrame({key: pd.Series([h[0] for h in hits], dtype=object), "pattern": pd.Series([h[1] for h in hits], dtype=object)})
+
+        one = rows.mapInPandas(scan, f"`{key}` {kind}, pattern string")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else rows.select(key, F.lit(None).cast("string").alias("pattern")).limit(0)

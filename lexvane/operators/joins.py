@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexvane.functions.text import extract_tag, text_key, unwrap
-from lexvane.operators.ranks import ordinal_rank
+from lexvane.operators.ranks import group_rank
 
 TEXT, EXPLANATION = "detokenized_text_truncated", "api_explanation"
 
@@ -81,13 +81,17 @@ def route(df: DataFrame, buckets: DataFrame, key: str = "doc_id", max_broadcast:
     return df.join(F.broadcast(buckets) if small else buckets, key)
 
 
-def zip_join(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
-    """The i-th row of left (by a whole-number column) with the i-th of right; unequal counts are an error."""
+def zip_join(left: DataFrame, right: DataFrame, order_left: str | list[str], order_right: str | list[str]) -> DataFrame:
+    """The i-th row of left, in the order of one or more columns (no nulls), with the i-th of right; unequal counts are an error."""
     a, b = left.count(), right.count()
     if a != b:
         raise ValueError(f"{a} rows can't be paired with {b}")
-    ranked = ordinal_rank(right, order_right, "_rank")
-    return ordinal_rank(left, order_left, "_rank").join(ranked, "_rank").drop("_rank")
+
+    def ranked(rows: DataFrame, order: str | list[str]) -> DataFrame:
+        order = [order] if isinstance(order, str) else order
+        return group_rank(rows, [], order[0], order, name="_rank").drop("_n")
+
+    return ranked(left, order_left).join(ranked(right, order_right), "_rank").drop("_rank")
 
 
 def scatter_back(samples: DataFrame, results: DataFrame, index: str, value: str, default: float) -> DataFrame:

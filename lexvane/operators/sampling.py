@@ -100,12 +100,31 @@ def range_join(points: DataFrame, at: str, ranges: DataFrame, start: str, length
     return left.join(right, "_bin").filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + length)).drop("_bin")
 
 
+def interval_join(left: DataFrame, right: DataFrame, ends_left: tuple[str, str], ends_right: tuple[str, str], width: int) -> DataFrame:
+    """Pairs of rows whose half-open whole-number intervals overlap, each once: an equi join on bins of width.
+
+    An interval is in each bin that it touches; a pair counts in the bin where the later of the two starts. So rows into the join are the
+    intervals plus their lengths by width, never their points. Empty intervals meet nothing.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
+    (a, b), (c, d) = ends_left, ends_right
+    x = left.filter(F.col(b) > F.col(a)).withColumn("_bin", bins(a, b))
+    y = right.filter(F.col(d) > F.col(c)).withColumn("_bin", bins(c, d))
+    return x.join(y, "_bin").filter((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("_bin") == F.floor(F.greatest(a, c) / width))).drop("_bin")
+
+
 def calibration_windows(docs: DataFrame, tok: Column, n: int, length: int, seed: int, doc: str = "doc_id") -> DataFrame:
-    """(window_id, start, tokens): n windows of `length` tokens from all texts in the order of doc, at seeded places."""
-    sized = running_total(docs.select(doc, F.size(tok).cast("long").alias("_size"), tok.alias("_tok")), doc, "_size", "_end")
-    total = docs.agg(F.sum(F.size(tok)).cast("long").alias("_total"))
-    room = F.greatest(F.col("_total") - length + 1, F.lit(1))
-    starts = docs.sparkSession.range(n).select(F.col("id").alias("window_id")).join(F.broadcast(total)).select("window_id", F.pmod(F.conv(F.substring(hash_key(seed, F.col("window_id")), 1, 12), 16, 10).cast("long"), room).alias("start"))
-    points = sized.select((F.col("_end") - F.col("_size")).alias("_first"), F.posexplode("_tok").alias("_i", "_token")).select((F.col("_first") + F.col("_i")).alias("_at"), "_token")
-    rows = range_join(points, "_at", starts, "start", length)
-    return rows.groupBy("window_id", "start").agg(F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_t")).select("window_id", "start", F.transform("_t", lambda x: x["_token"]).alias("tokens"))
+    """(window_id, start, tokens): n windows of `length` tokens from all texts in the order of doc (unique), at seeded places.
+
+    Windows meet the extents of documents, in bins of about a document's length; only texts that a window touches are cut.
+    """
+    sized = running_total(docs.select(doc, F.size(tok).cast("long").alias("_size")), doc, "_size", "_end").withColumn("_first", F.col("_end") - F.col("_size"))
+    total, rows = docs.agg(F.coalesce(F.sum(F.size(tok)), F.lit(0)).cast("long"), F.count("*")).first()
+    place = F.pmod(F.conv(F.substring(hash_key(seed, F.col("window_id")), 1, 12), 16, 10).cast("long"), F.lit(max(total - length + 1, 1)))
+    windows = docs.sparkSession.range(n).select(F.col("id").alias("window_id")).withColumn("start", place).withColumn("_to", F.col("start") + length)
+    hits = interval_join(sized.select(doc, "_first", "_end"), windows, ("_first", "_end"), ("start", "_to"), max(length, -(-total // max(rows, 1))))
+    texts = docs.select(doc, tok.alias("_tok")).join(F.broadcast(hits) if n * length <= 1_000_000 else hits, doc)
+    begin = F.greatest(F.col("start") - F.col("_first"), F.lit(0))
+    part = F.slice("_tok", (begin + 1).cast("int"), (F.least("_end", "_to") - F.col("_first") - begin).cast("int"))
+    found = texts.groupBy("window_id", "start").agg(F.array_sort(F.collect_list(F.struct("_first", part.alias("p")))).alias("_t"))
+    return found.select("window_id", "start", F.flatten(F.transform("_t", lambda x: x["p"])).alias("tokens"))

@@ -188,12 +188,11 @@ def q_zip_join(spark, sf_dir):
     ids = F.col("ids")
     docs = r.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("ids"))
     sites = docs.select("doc_id", F.explode(tl.marker_sites(ids, F.lit("the"), F.lit("of"), F.lit("that"))).alias("s")).select("doc_id", F.col("s").cast("long").alias("site"))
-    sites = sites.withColumn("at", F.col("doc_id") * 1_000_000 + F.col("site"))
     vectors = r.table(spark, sf_dir, "embeddings").select("vec_id")
     n, m = sites.count(), vectors.count()
     rounds = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // max(m, 1))))  # the vectors in their order, again and again, one a site
     dealt = ranks.ordinal_rank(vectors, "vec_id").select("vec_id", "rank", rounds.alias("round")).select("vec_id", (F.col("round").cast("long") * m + F.col("rank")).alias("turn"))
-    return joins.zip_join(sites, dealt.filter(F.col("turn") <= n), "at", "turn").select("doc_id", "site", "vec_id")
+    return joins.zip_join(sites, dealt.filter(F.col("turn") <= n), ["doc_id", "site"], "turn").select("doc_id", "site", "vec_id")
 
 
 @query(f"with {r.ROLLOUTS}, a as (select step, avg(reward) as m from rollouts where event_id % 2 = 0 group by 1), b as (select step, avg(reward) as m from rollouts where event_id % 2 = 1 group by 1) select a.step, round(a.m, 6) as real, round(b.m, 6) as shuffled, round(round(b.m, 6) - round(a.m, 6), 6) as gap from a join b on a.step = b.step")
@@ -574,6 +573,14 @@ def q_leak_scan(spark, sf_dir):
     return gates.leak_scan(r.table(spark, sf_dir, "pages"), "html", "page_id", ["track(", "COPY;", "example.org"], ["3", "5"])
 
 
+@query("with p as (select distinct left(lower(text), 24) as pattern from documents where length(text) >= 24) select doc_id, pattern from documents, p where contains(lower(text), pattern)")
+def q_leak_patterns(spark, sf_dir):
+    """The beginnings of all documents, looked for in all documents at once."""
+    docs = r.table(spark, sf_dir, "documents")
+    patterns = docs.filter(F.length("text") >= 24).select(F.left(F.lower("text"), F.lit(24)).alias("pattern"))
+    return gates.leak_patterns(docs, "text", "doc_id", patterns, "pattern")
+
+
 @query("""with v as (select doc_id, len(string_split(text, ' ')) > 50 as a, contains(text, 'the') as b, len(string_split(text, 'with')) = 2 as c from documents)
 select 'enough_tokens' as "check", count(*) filter (not a) as bad_rows, min(doc_id) filter (not a) as sample_key from v union all select 'has_marker', count(*) filter (not b), min(doc_id) filter (not b) from v union all select 'one_site', count(*) filter (not c), min(doc_id) filter (not c) from v""")
 def q_gate_report(spark, sf_dir):

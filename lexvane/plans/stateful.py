@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
 import time
-import uuid
 from functools import reduce
 from operator import and_
 
@@ -21,33 +18,10 @@ from lexvane.operators.joins import cache_misses
 from lexvane.plans import pipeline as job
 from lexvane.plans import recipes as r
 from lexvane.sources import chunks, registry, tables
+from lexvane.sources.scratch import scratch
 from lexvane.streaming import scoring
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder; where that is unset (local runs), in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lexvane-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _clean() -> None:
-    """Folders go when the driver ends."""
-    for spark, path in _made:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fanout_roundtrip(spark, sf_dir):
     at = scratch(spark, "fanout")
     rows = splits.split_docs(r.keys(spark, sf_dir), (0.25, 0.25, 0.5), 42, documents=r.long_documents(spark, sf_dir))

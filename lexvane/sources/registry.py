@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from lexvane.sources.scratch import written
+
 KIND, VERSION = "dataset", 1
 SCHEMA = (
     "dataset_id string, stage string, row_count long, extraction struct<base_model:string,d_model:int,layer_index:int,norm:string,corpus:string,"
@@ -99,11 +101,18 @@ def child_id(parent: Column, op: str, value: str | int | None = None) -> Column:
 
 
 def lineage(metas: DataFrame, of: str | None = None) -> DataFrame:
-    """(dataset_id, ancestor, depth): all ancestors, at their least depth. A registry is small and has no cycles."""
-    edges = metas.select("dataset_id", F.explode("parent_datasets").alias("parent"))
-    return metas.sparkSession.sql("""
-        with recursive up as (
-            select dataset_id, parent as ancestor, 1 as depth from {first}
-            union all
-            select up.dataset_id, e.parent, up.depth + 1 from up join {edges} e on up.ancestor = e.dataset_id)
-        select dataset_id, ancestor, min(depth) as depth from up group by dataset_id, ancestor""", edges=edges, first=edges.filter(F.col("dataset_id") == of) if of else edges)
+    """(dataset_id, ancestor, depth): all ancestors, at their least depth.
+
+    Ways are doubled from round to round (a way of 2n steps is two of n), so a chain of 1,000 takes ten rounds. Each round is
+    written. A dataset among its own ancestors is an error that names it.
+    """
+    ways = written(metas.select("dataset_id", F.explode("parent_datasets").alias("ancestor")).distinct().withColumn("depth", F.lit(1)), "lineage")
+    seen = None
+    while (state := ways.agg(F.count("*"), F.sum("depth")).first()) != seen:
+        if loops := ways.filter("dataset_id = ancestor").agg(F.min("dataset_id")).first()[0]:
+            raise ValueError(f"{loops} is among its own ancestors")
+        seen = state
+        on = ways.select(F.col("dataset_id").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = ways.join(on, "ancestor").select("dataset_id", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        ways = written(ways.unionByName(longer).groupBy("dataset_id", "ancestor").agg(F.min("depth").alias("depth")), "lineage")
+    return ways.filter(F.col("dataset_id") == of) if of else ways

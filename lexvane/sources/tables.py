@@ -25,8 +25,8 @@ def corpus_scan(spark: SparkSession, path: str, corpus: str, split: str, start:
 
 
 def write_table(df: DataFrame, path: str, max_records: int = 65_536, partition_by: list[str] | None = None) -> None:
-    """Files of max_records rows at most, so no reader meets a huge list buffer."""
-    writer = df.write.option("maxRecordsPerFile", max_records)
+    """Files, and row groups within them, of max_records rows at most, so no reader meets a huge list buffer."""
+    writer = df.write.option("maxRecordsPerFile", max_records).option("parquet.block.row.count.limit", max_records)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
@@ -46,3 +46,23 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to path has ended."""
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def row_groups(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(files, row groups, rows of the largest group) of a written table, told by the files' footers alone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files, sizes = spark.read.parquet(path).inputFiles(), []
+    for file in files:
+        at = jvm.org.apache.hadoop.fs.Path(file)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+        try:
+            sizes += [g.getRowCount() for g in reader.getRowGroups()]
+        finally:
+            reader.close()
+    return len(files), len(sizes), max(sizes, default=0)
+
+
+def check_row_groups(spark: SparkSession, path: str, most: int = 65_536) -> None:
+    """An error if a row group of the table has more than `most` rows."""
+    if (largest := row_groups(spark, path)[2]) > most:
+        raise ValueError(f"{path} has a row group of {largest} rows; {most} are allowed")
