@@ -11,7 +11,7 @@ from lexvane.functions import text as tx
 from lexvane.functions import token_lists as tl
 from lexvane.functions import vectors as vec
 
-from lexvane.operators import gates, joins, metrics, ranks, sampling, splits
+from lexvane.operators import gates, joins, metrics, permutation, ranks, sampling, splits
 from lexvane.plans import recipes as r
 from lexvane.plans import stateful
 from lexvane.sources import registry, tables
@@ -514,6 +514,28 @@ def q_epoch_batches(spark, sf_dir):
     return ranks.draw_batches(ranks.epoch_order(docs, 42, 3, ["doc_id"]), 96, 3 * docs.count() // 96).select("doc_id", F.col("epoch").cast("int").alias("epoch"), "pos", "batch_id")
 
 
+PLACES = f"""nd as (select count(*) as nd from documents), ids as (select doc_id, row_number() over (order by doc_id) - 1 as ordinal from documents),
+asked as (select pos, pos // nd as epoch, pos % nd as x, nd from nd, unnest(range(0, 3 * nd)) as u(pos)), {permutation.permutation_sql("asked", "s.nd", "epoch + 42", "dealt")}"""
+
+
+@query(f"with recursive {PLACES} select doc_id, epoch, pos, pos // 96 as batch_id from dealt d join ids i on d.ordinal = i.ordinal, nd where pos < 96 * (3 * nd // 96)")
+def q_addressed_batches(spark, sf_dir):
+    """All batches of three epochs, each place from the permutation alone."""
+    docs = permutation.numbered(r.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    n = docs.count()
+    rows = permutation.draw(docs, n, 42, 0, 3 * n // 96 * 96)
+    return rows.select("doc_id", "epoch", "pos", F.expr("pos div 96").alias("batch_id"))
+
+
+CONSUMED = f"{PLACES}, taken as (select pos from unnest(range(0, cast((select nd * 2 // 3 // 4 * 4 from nd) as bigint))) as u(pos))"
+
+
+@query(f"with recursive {CONSUMED} select d.pos as group_index, i.doc_id, cast(1 as bigint) as uses from taken t join dealt d on t.pos = d.pos join ids i on d.ordinal = i.ordinal")
+def q_consumed_groups(spark, sf_dir):
+    """Four runs over one consumption state, some groups of which come back: each position is used once."""
+    return stateful.consumed_groups(spark, sf_dir)
+
+
 @query(f"with {EPOCHS} select doc_id, pos as group_index, pos * 4 + i as sample_index from ordered, unnest(range(0, 4)) as u(i) where epoch = 0")
 def q_replicate(spark, sf_dir):
     rows = ranks.epoch_order(r.table(spark, sf_dir, "documents").select("doc_id"), 42, 1, ["doc_id"])

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from lexvane.functions.text import tokens
 from lexvane.functions.vectors import digest
-from lexvane.operators import gates, plugins, splits
+from lexvane.operators import gates, permutation, plugins, splits
 from lexvane.operators.joins import cache_misses
 from lexvane.plans import pipeline as job
 from lexvane.plans import recipes as r
 from lexvane.sources import chunks, registry, tables
-from lexvane.sources.scratch import scratch
+from lexvane.sources.scratch import scratch, written
 from lexvane.streaming import scoring
+from lexvane.streaming.consumption import Consumption
 
 
 def fanout_roundtrip(spark, sf_dir):
@@ -258,3 +259,23 @@ def table_gate(spark, sf_dir):
     except ValueError:
         refused = True
     return gates.gate_table(rows, record("right"), "rl", ["label", splits.VECTOR]).groupBy("label").agg(F.count("*").alias("rows")).withColumn("refused", F.lit(refused))
+
+
+def consumed_groups(spark, sf_dir):
+    """(group_index, doc_id, uses): groups of two thirds of the documents, drawn in four runs and more; every third position of a run
+    comes back unused, and is drawn again, first, by the next one."""
+    docs = written(permutation.numbered(r.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]), "numbered")
+    at, n = scratch(spark, "consumption"), docs.count()
+    goal = n * 2 // 3 // 4 * 4
+    used = []
+    for run in range(4):
+        state = Consumption(spark, at, must_exist=run > 0)  # as after a restart
+        rows = state.draw(goal // 4)
+        back = rows.filter("pos % 3 = 0") if run % 2 == 0 else rows.limit(0)
+        state.give_back(back)
+        used.append(written(rows.join(back, "pos", "left_anti"), "used"))
+    state = Consumption(spark, at, must_exist=True)
+    used.append(written(state.draw(goal - sum(u.count() for u in used)), "used"))
+    rows = reduce(DataFrame.unionByName, used).groupBy("pos").agg(F.count("*").alias("uses"))
+    places = permutation.places(spark, 0, goal, n, 42)
+    return rows.join(places, "pos").join(docs, "ordinal").select(F.col("pos").alias("group_index"), "doc_id", "uses")
