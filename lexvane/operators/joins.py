@@ -35,6 +35,29 @@ def cache_misses(df: DataFrame, caches: list[DataFrame]) -> DataFrame:
     return df.withColumn("_k", text_key(F.col(TEXT))).join(cache, F.col("_k") == F.col("_key"), "left_anti").drop("_k")
 
 
+def store_cache(caches: list[DataFrame], name: str, path: str, buckets: int, ordinal: str | None = None) -> None:
+    """union_caches() as the catalog's table `name` at path, in buckets of its key, so that no later join moves it."""
+    rows = union_caches(caches, ordinal).repartition(buckets, "text_key")
+    rows.write.bucketBy(buckets, "text_key").sortBy("text_key").option("path", path).saveAsTable(name)
+
+
+def stored_cache_join(df: DataFrame, name: str) -> DataFrame:
+    """cache_join() with a stored cache: only df's rows are shuffled, to the cache's buckets."""
+    cache = df.sparkSession.table(name).withColumnRenamed("text_key", "_key")
+    return df.withColumn("_k", text_key(F.col(TEXT))).join(cache, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+
+
+def store_prior(prior: DataFrame, name: str, path: str, buckets: int, template: str | None = None, tag: str = "explanation", ordinal: str | None = None) -> None:
+    """The explanations of an earlier run by (doc_id, n_raw_tokens), as a bucketed table for stored_reuse_join()."""
+    rows = _known(prior, template, tag, ordinal).repartition(buckets, *KEY)
+    rows.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+
+
+def stored_reuse_join(raw: DataFrame, name: str, min_frac: float = 0.95) -> DataFrame:
+    """reuse_join() with a stored earlier run, whose buckets stay where they are."""
+    return _reused(raw, raw.sparkSession.table(name), min_frac)
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     """One row: rows, unique_texts, duplicate_rows."""
     return cache.groupBy(text_key(F.col(TEXT)).alias("k")).count().agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("rows"), F.count("*").alias("unique_texts")).withColumn("duplicate_rows", F.col("rows") - F.col("unique_texts"))
@@ -60,7 +83,14 @@ def reuse_join(raw: DataFrame, prior: DataFrame, min_frac: float = 0.95, templat
     prior is an av table (with response), an ar table (with prompt, made of template) or has api_explanation; its last row
     of a key wins. The share is counted on keys, before the wide rows meet.
     """
-    key = ["doc_id", "n_raw_tokens"]
+    return _reused(raw, _known(prior, template, tag, ordinal), min_frac)
+
+
+KEY = ["doc_id", "n_raw_tokens"]
+
+
+def _known(prior: DataFrame, template: str | None, tag: str, ordinal: str | None) -> DataFrame:
+    """(doc_id, n_raw_tokens, explanation) of an earlier run, one row a key."""
     if "response" in prior.columns:
         text = extract_tag(F.col("response"), tag)
     elif EXPLANATION in prior.columns:
@@ -68,11 +98,15 @@ def reuse_join(raw: DataFrame, prior: DataFrame, min_frac: float = 0.95, templat
     else:
         text = unwrap(F.col("prompt"), template, "explanation")
     row = F.col(ordinal).cast("long") if ordinal else F.lit(0).cast("long")
-    known = prior.select(*key, text.alias(EXPLANATION), row.alias("_r")).filter(F.col(EXPLANATION).isNotNull()).groupBy(*key).agg(F.max(F.struct("_r", EXPLANATION))[EXPLANATION].alias(EXPLANATION))
-    total, hits = raw.select(*key).join(known.select(*key, F.lit(1).alias("_hit")), key, "left").agg(F.count("*"), F.count("_hit")).first()
+    rows = prior.select(*KEY, text.alias(EXPLANATION), row.alias("_r")).filter(F.col(EXPLANATION).isNotNull())
+    return rows.groupBy(*KEY).agg(F.max(F.struct("_r", EXPLANATION))[EXPLANATION].alias(EXPLANATION))
+
+
+def _reused(raw: DataFrame, known: DataFrame, min_frac: float) -> DataFrame:
+    total, hits = raw.select(*KEY).join(known.select(*KEY, F.lit(1).alias("_hit")), KEY, "left").agg(F.count("*"), F.count("_hit")).first()
     if not total or hits < min_frac * total:
         raise ValueError(f"{hits} of {total} rows match the earlier run; {min_frac:.0%} are needed")
-    return raw.join(known, key)
+    return raw.join(known, KEY)
 
 
 def route(df: DataFrame, buckets: DataFrame, key: str = "doc_id", max_broadcast: int = 1_000_000) -> DataFrame:

@@ -179,6 +179,12 @@ def audit_runs(a, b):
     return joins.audit(keyed(a), keyed(b), ["doc_id", "n_raw_tokens"], "t").withColumn("overlap_pct", F.col("overlap_pct").cast("double"))
 
 
+@query(f"with {r.PRIOR} select p.doc_id, p.n_raw_tokens, c.e as cached, p.api_explanation as reused from prior p left join cache c on sha256(p.prefix) = c.k where (p.doc_id * 7 + p.n_raw_tokens) % 200 <> 0")
+def q_stored_joins(spark, sf_dir):
+    """A cache and an earlier run, stored by their keys, joined without moving them."""
+    return stateful.stored_joins(spark, sf_dir)
+
+
 SITES = """tk as (select doc_id, string_split(text, ' ') as ids from documents),
 sites as (select doc_id, i - 1 as site, ids[i - 1] as l, ids[i + 1] as r from tk, unnest(range(2, len(ids))) as u(i) where ids[i] in ('the', 'la'))"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import time
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexvane.functions.text import tokens
 from lexvane.functions.vectors import digest
-from lexvane.operators import gates, permutation, plugins, splits
+from lexvane.operators import gates, joins, permutation, plugins, splits
 from lexvane.operators.joins import cache_misses
 from lexvane.plans import pipeline as job
 from lexvane.plans import recipes as r
@@ -279,3 +280,14 @@ def consumed_groups(spark, sf_dir):
     rows = reduce(DataFrame.unionByName, used).groupBy("pos").agg(F.count("*").alias("uses"))
     places = permutation.places(spark, 0, goal, n, 42)
     return rows.join(places, "pos").join(docs, "ordinal").select(F.col("pos").alias("group_index"), "doc_id", "uses")
+
+
+def stored_joins(spark, sf_dir):
+    """(doc_id, n_raw_tokens, cached, reused): rows that a stored earlier run has, with what a stored cache has for their texts."""
+    rows, name = r.base(spark, sf_dir), f"stored_{uuid.uuid4().hex}"
+    joins.store_cache(r.caches(rows), f"{name}_cache", scratch(spark, "cache"), 16)
+    known = r.prior_ar(r.keys(spark, sf_dir)).filter((F.col("doc_id") * 7 + F.col("n_raw_tokens")) % 200 != 0)
+    joins.store_prior(known, f"{name}_prior", scratch(spark, "prior"), 16, r.CRITIC)
+    cached = joins.stored_cache_join(rows, f"{name}_cache").withColumnRenamed(joins.EXPLANATION, "cached")
+    both = joins.stored_reuse_join(cached, f"{name}_prior").withColumnRenamed(joins.EXPLANATION, "reused")
+    return both.select("doc_id", "n_raw_tokens", "cached", "reused")

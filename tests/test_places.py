@@ -117,3 +117,23 @@ def test_zip_of_several_columns(spark):
     left = spark.createDataFrame([(1, 2_000_000, "c"), (1, 5, "b"), (2, 0, "d"), (0, 9, "a")], "doc long, site long, x string")
     right = spark.createDataFrame([(i, y) for i, y in enumerate("abcd")], "k long, y string")
     assert {(r["x"], r["y"]) for r in joins.zip_join(left, right, ["doc", "site"], "k").collect()} == {(c, c) for c in "abcd"}
+
+
+def test_stored_keys_stay(spark, tmp_path):
+    """The cache's side of the join is a bucketed scan without an exchange, and the answers are those of cache_join()."""
+    rows = spark.range(300).select(F.concat(F.lit("t"), (F.col("id") % 90).cast("string")).alias(joins.TEXT), "id")
+    cache = rows.filter("id < 60").select(joins.TEXT, F.col("id").cast("string").alias(joins.EXPLANATION))
+    name = f"cache_{random.getrandbits(60)}"
+    joins.store_cache([cache], name, f"file://{tmp_path}/cache", 4)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.stored_cache_join(rows, name)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        side = plan[plan.index("FileScan") - 400 : plan.index("Bucketed: true")]
+        assert "Exchange" not in side[side.rindex("_key") :]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joins.cache_join(rows, [cache]).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.sql(f"drop table {name}")
