@@ -42,17 +42,41 @@ def test_relative_and_later_targets_block(spark, html):
     assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, rules).collect()} == {1: "block", 2: "block"}
 
 
+@pytest.mark.parametrize(
+    ("url", "html", "want"),
+    [
+        ("http://a.net/x", """<link rel=canonical href="http://shop.com/de's/z">""", ["shop.com/de's/z"]),
+        ("http://a.net/x", """<link rel='canonical' href='/a"b>c'>""", ['a.net/a"b>c']),
+        ("http://a.net/x", '<link rel=canonical data-href="http://bad.com/" href="http://good.com/">', ["good.com/"]),
+        ("http://a.net/x", """<link title="href='http://bad.com/'" rel=canonical href=/y>""", ["a.net/y"]),
+        ("http://a.net/x", "<!-- <link rel=canonical href=/gone> --><link rel=canonical href=/kept><!-- <link rel=canonical href=/open>", ["a.net/kept"]),
+        ("http://a.net/x/y", "<base href='http://b.net/f/g'><link rel=canonical href=z>", ["b.net/f/z"]),
+        ("https://a.net/x/y", "<base target=_top><base href=../q/><base href=/other/><link rel=canonical href=z>", ["a.net/q/z"]),
+        ("http://f.net:80/y", "<link rel=canonical href=http://f.net/x>", ["f.net/x"]),
+        ("https://f.net:443/y", "<link rel=canonical href=x><link rel=canonical href=//f.net:443/z><link rel=canonical href=http://f.net:443/w>", ["f.net/x", "f.net/z", "f.net:443/w"]),
+        ("http://a.net/x", "<link rel='nofollow Canonical' href=/y><link rel=canonicals href=/n><linker rel=canonical href=/n>", ["a.net/y"]),
+        ("http://a.net/x", """<meta content='3 ; URL="/r;s"' http-equiv=Refresh><meta http-equiv=refresh content=5><meta name=refresh content="0;url=/n">""", ["a.net/r;s"]),
+        ("http://a.net/x", "<link rel=canonical href=/first href=/second><link rel=canonical href><link rel=canonical href=''>", ["a.net/first"]),
+    ],
+)
+def test_targets_of_tags(spark, url, html, want):
+    """Quotes, names that end alike, comments, base tags, default ports and token lists."""
+    rows = url_filter.link_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()
+    assert sorted(r["dst"] for r in rows) == sorted(want)
+    assert {r["src"] for r in rows} <= {url.split("://")[1].replace(":80/", "/").replace(":443/", "/")}
+
+
 def test_query_and_sql_on_linked_pages(spark, tmp_path):
     """Chains, relative targets, several tags, entities, cycles, hot targets and allow precedence, in Spark and in SQL."""
     rng = random.Random(3)
-    hosts, folders = ["example.org", "a.Example.org", "shop.com", "b.shop.com", "x.net", "y.net"], ["/es/", "/en/1", "/en/2/", "/fr/", "/de/", "/", "/q/r/"]
+    hosts, folders = ["example.org", "a.Example.org", "shop.com", "shop.com:80", "x.net:443", "b.shop.com", "x.net", "y.net"], ["/es/", "/en/1", "/en/2/", "/fr/", "/de/", "/", "/q/r/"]
     urls = [f"http{'s' * (i % 2)}://{rng.choice(hosts)}{rng.choice(folders)}{rng.choice(['', 'p', 'q?i=1&j=2', 's#t'])}{i % 40}" for i in range(300)] + [None, "no scheme", "http://x.net", "http://x.net"]
 
     def target():
         return rng.choice([rng.choice(urls[:300]).replace("&", "&amp;"), *TARGETS, "mailto:a@b", "#f", f"../{rng.choice(['es', 'de', 'fr'])}/p{rng.randrange(40)}", "//Shop.com/de/hot", "/a//b", "./..", "../../x/./?k=/../"])
 
     def tag():
-        return rng.choice([f'<link rel="canonical" href="{target()}">', f"<LINK href='{target()}' REL=canonical>", f'<meta http-equiv="refresh" content="0; url={target()}">', "<link rel=icon href=/i>", "<p>"])
+        return rng.choice([f'<link rel="canonical" href="{target()}">', f"<LINK href='{target()}' REL=canonical>", f'<meta http-equiv="refresh" content="0; url={target()}">', "<link rel=icon href=/i>", "<p>", f'<link data-href="/de/x" title="rel=canonical >" rel="x canonical" href="{target()}">', f"<!-- <link rel=canonical href='{target()}'> -->", f"<base href='{target()}'>", f"<link rel=canonical href=\"/de's/{rng.randrange(9)}\">", f"<meta content=\"0;url='{target()}'\" http-equiv=REFRESH>"])
 
     rows = [(i, u, None if i % 29 == 0 else " ".join(tag() for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))) for i, u in enumerate(urls)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
