@@ -16,9 +16,10 @@ def truncate_tokens(tok: Column, n: int) -> Column:
     return F.slice(tok, 1, n)
 
 
-def prefix_text(tok: Column, pos: Column) -> Column:
-    """Text of the tokens up to 0-based position pos, pos included."""
-    return F.array_join(F.slice(tok, 1, pos + 1), " ")
+def prefix_text(tok: Column, pos: Column, special: list[str] | None = None) -> Column:
+    """Text of the tokens up to 0-based position pos, pos included; special tokens are skipped."""
+    part = F.slice(tok, 1, pos + 1)
+    return F.array_join(F.filter(part, lambda t: ~t.isin(special)) if special else part, " ")
 
 
 def token_count(text: Column) -> Column:

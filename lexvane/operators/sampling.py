@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexvane.functions.keys import hash_key
-from lexvane.functions.text import leading_text, token_count
+from lexvane.functions.text import leading_text, prefix_text, token_count, tokens
 from lexvane.operators.ranks import group_rank, running_total
 
 MIN_POSITION = 50
@@ -54,8 +54,15 @@ def _sized(docs: DataFrame, k: int, min_pos: int, seed: int) -> tuple[DataFrame,
     return rows, draw(F.col("_eligible"), k, seed, F.col("doc_id"))
 
 
-def base_rows(docs: DataFrame, k: int = 10, min_pos: int = MIN_POSITION, seed: int = 42, layer: int = 20) -> DataFrame:
-    """(doc_id, n_raw_tokens, detokenized_text_truncated, activation_layer) of sampled positions; a text is never split into its tokens."""
+def base_rows(docs: DataFrame, k: int = 10, min_pos: int = MIN_POSITION, seed: int = 42, layer: int = 20, special: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_raw_tokens, detokenized_text_truncated, activation_layer) of sampled positions; a text is never split into its tokens.
+
+    special: tokens at which no position is drawn and which the texts leave out (n_raw_tokens counts them); then texts are split.
+    """
+    if special:
+        rows = sample_positions(docs.select("doc_id", tokens(F.col("text")).alias("_tok")), F.col("_tok"), k, min_pos, special, seed)
+        text = prefix_text(F.col("_tok"), F.col("position"), special)
+        return rows.select("doc_id", (F.col("position") + 1).cast("long").alias("n_raw_tokens"), text.alias("detokenized_text_truncated"), F.lit(layer).cast("long").alias("activation_layer"))
     rows, places = _sized(docs, k, min_pos, seed)
     pair = lambda i: F.struct((i + min_pos + 1).alias("n"), leading_text(F.col("text"), i + min_pos).alias("t"))
     out = rows.select("doc_id", F.explode(F.transform(places, pair)).alias("p"))

@@ -88,8 +88,9 @@ def merged_record(metas: DataFrame) -> DataFrame:
     one = lambda c: F.first(c).alias(c)  # noqa: E731  # merge_shards() has found them equal
     ids = dataset_id(F.col("base_model"), F.col("layer_index"), F.col("corpus"), F.col("start"), F.col("length"))
     parents = F.transform(F.array_sort(F.collect_list(F.struct("start", ids.alias("id")))), lambda p: p["id"]).alias("parent_datasets")
-    whole = metas.agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("row_count").alias("row_count"), parents, *[one(c) for c in ("base_model", "layer_index", "corpus")])
-    return whole.select(ids.alias("dataset_id"), "start", "length", "row_count", "parent_datasets")
+    same = ["base_model", "layer_index", "d_model", "norm", "corpus", "positions_per_doc"]
+    whole = metas.agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("row_count").alias("row_count"), parents, *[one(c) for c in same])
+    return whole.select(ids.alias("dataset_id"), "start", "length", "row_count", *same, "parent_datasets")
 
 
 def build_stage(df: DataFrame, stage: str, actor_prompt: str | None = None, critic_template: str | None = None, keep_debug: bool = False, tag: str = "explanation") -> DataFrame:

@@ -52,6 +52,16 @@ def q_sample_positions(spark, sf_dir):
     return rows.select("doc_id", "n_raw_tokens", F.length(TEXT).cast("long").alias("n_chars"), tx.text_key(F.col(TEXT)).alias("prefix_key"))
 
 
+@query(f"""with {r.BASE.split("sized as")[0]}el as (select doc_id, tok, list_filter(range(50, len(tok)), lambda i: not list_contains(['the', 'la'], tok[i + 1])) as pl from tok),
+sized as (select doc_id, tok, pl, cast(len(pl) as bigint) as n, cast(least(len(pl), 10) as bigint) as k from el where len(pl) > 0),
+{"drawn as" + r.BASE.split("drawn as")[1].split("base as")[0].replace("select doc_id, tok,", "select doc_id, tok, pl,", 1)}placed as (select doc_id, tok, pl[p + 1] as p from drawn, unnest(places) as u(p))
+select doc_id, cast(p + 1 as bigint) as n_raw_tokens, sha256(array_to_string(list_filter(tok[1:p + 1], lambda x: x not in ('the', 'la')), ' ')) as prefix_key from placed""")
+def q_special_positions(spark, sf_dir):
+    """Positions and prefix texts without special tokens (two frequent words stand in for them)."""
+    rows = sampling.base_rows(r.table(spark, sf_dir, "documents"), special=["the", "la"])
+    return rows.select("doc_id", "n_raw_tokens", tx.text_key(F.col(TEXT)).alias("prefix_key"))
+
+
 @query("with t as (select greatest(len(string_split(text, ' ')) - 50, 0) as n from documents) select count(*) as docs, count(*) filter (n = 0) as skipped, count(*) filter (n > 0 and n < 10) as short, cast(sum(least(n, 10)) as bigint) as rows from t")
 def q_short_docs(spark, sf_dir):
     return sampling.short_documents(r.table(spark, sf_dir, "documents"), tx.tokens(F.col("text")))
@@ -293,7 +303,7 @@ def q_lineage(spark, sf_dir):
     return registry.lineage(edges)
 
 
-@query(f"with {IDS} select 'base_base-1_L20_' || substr(sha256('lab/base-1|20|documents|' || min(m.start) || '|' || cast(sum(m.length) as bigint)), 1, 8) as dataset_id, min(m.start) as start, cast(sum(m.length) as bigint) as length, cast(sum(m.length) as bigint) as row_count, string_agg(ids.id, ' ' order by m.start) as parents from metas m join ids on m.start = ids.start")
+@query(f"with {IDS} select 'base_base-1_L20_' || substr(sha256('lab/base-1|20|documents|' || min(m.start) || '|' || cast(sum(m.length) as bigint)), 1, 8) as dataset_id, min(m.start) as start, cast(sum(m.length) as bigint) as length, cast(sum(m.length) as bigint) as row_count, 'lab/base-1' as base_model, cast(20 as integer) as layer_index, cast(64 as integer) as d_model, 'none' as norm, 'documents' as corpus, cast(10 as integer) as positions_per_doc, string_agg(ids.id, ' ' order by m.start) as parents from metas m join ids on m.start = ids.start")
 def q_merged_record(spark, sf_dir):
     return splits.merged_record(r.shard_metas(spark, sf_dir)).withColumn("parents", F.array_join("parent_datasets", " ")).drop("parent_datasets")
 
