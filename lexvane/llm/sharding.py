@@ -22,12 +22,17 @@ def rendezvous_shard(key: Column, weights: dict[int, float]) -> Column:
     away only its own, and a changed weight moves records only to or from that shard. Shards of weight 0 take none; a null key
     counts as an empty string. Ties go to the smaller shard.
     """
+    return -_best(key, weights)["shard"]
+
+
+def _best(key: Column, weights: dict[int, float]) -> Column:
+    """struct(score, shard) of the winner; shard is negated, so that of equal scores the smaller shard's is greater."""
     live = {s: w for s, w in weights.items() if w > 0}
     if not live:
         raise ValueError("at least one shard needs a weight over 0")
     key = F.coalesce(key.cast("string"), F.lit(""))
     scored = [F.struct((F.lit(-float(w)) / F.log(_draw(key, str(s)))).alias("score"), F.lit(-s).alias("shard")) for s, w in live.items()]
-    return -(F.greatest(*scored) if len(scored) > 1 else scored[0])["shard"]
+    return F.greatest(*scored) if len(scored) > 1 else scored[0]
 
 
 def assign_shards(docs: DataFrame, key: str, weights: dict[int, float], column: str = "shard") -> DataFrame:
@@ -52,7 +57,8 @@ def shard_manifest(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     narrow = docs.select(F.col(key).alias("k"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     order = ["k", "size", "text_crc32"]
     counted = narrow.groupBy(*order).agg(F.count("*").alias("n"))
-    placed = counted.withColumn("shard", rendezvous_shard(F.col("k"), weights)).withColumn("grown_shard", F.when(_beats(F.col("k"), shards), F.lit(shards)).otherwise(F.col("shard")))
+    further = _best(F.col("k"), {shards: 1.0})  # one more shard takes what it wins against the best of all others
+    placed = counted.withColumn("best", F.explode(F.array(_best(F.col("k"), weights)))).withColumn("shard", -F.col("best.shard")).withColumn("grown_shard", F.when(further > F.col("best"), F.lit(shards)).otherwise(F.col("shard")))
     # a shard's rows are numbered in the order of a digest, in parts by its first digits, so that no task holds a whole shard; how
     # many digits these are changes no slot
     placed = placed.withColumn("digest", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]).cast("binary"))).withColumn("part", F.substring("digest", 1, _digits(docs.count(), shards)))
@@ -73,11 +79,6 @@ def _digits(rows: int, shards: int, in_part: int = 50_000) -> int:
     return digits
 
 
-def _beats(key: Column, shard: int) -> Column:
-    """Whether a further shard of weight 1 wins the key against all shards before it."""
-    return rendezvous_shard(key, {s: 1.0 for s in range(shard + 1)}) == shard
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_manifest(table(spark, sf_dir, "documents"))
 
