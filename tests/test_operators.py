@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexvane.functions import text as tx
 from lexvane.functions import token_lists as tl
 from lexvane.functions import vectors as vec
+from lexvane.functions.keys import hash_key
 from lexvane.operators import gates, joins, metrics, plugins, ranks, sampling, splits
 from lexvane.plans import pipeline as job
 from lexvane.sources import chunks, registry, tables
@@ -106,6 +107,11 @@ def test_width_gate(spark):
         vec.assert_width(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "v array<double>"), "v", 2)
 
 
+def test_null_keys_keep_their_place(spark):
+    rows = spark.createDataFrame([(None, 5), (5, None), (None, None)], "a long, b long")
+    assert rows.select(hash_key(1, F.col("a"), F.col("b"))).distinct().count() == 3
+
+
 def test_sampling_is_stable(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     whole = {tuple(r) for r in sampling.base_rows(docs).select("doc_id", "n_raw_tokens").collect()}
