@@ -284,7 +284,7 @@ def consumed_groups(spark, sf_dir):
 
 def stored_joins(spark, sf_dir):
     """(doc_id, n_raw_tokens, cached, reused): rows that a stored earlier run has, with what a stored cache has for their texts."""
-    rows, name = r.base(spark, sf_dir), f"stored_{uuid.uuid4().hex}"
+    rows, name = written(r.base(spark, sf_dir), "base"), f"stored_{uuid.uuid4().hex}"  # read five times
     joins.store_cache(r.caches(rows), f"{name}_cache", scratch(spark, "cache"), 16)
     known = r.prior_ar(r.keys(spark, sf_dir)).filter((F.col("doc_id") * 7 + F.col("n_raw_tokens")) % 200 != 0)
     joins.store_prior(known, f"{name}_prior", scratch(spark, "prior"), 16, r.CRITIC)
