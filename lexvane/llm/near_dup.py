@@ -4,8 +4,10 @@ No link between different texts is lost for want of pairs: texts with equal shin
 band, every member is first checked against two hubs (one row a member). Where a bucket then still holds members of more
 than one component, all signatures across components are compared there, and a spanning forest of the likely links is
 kept: it tells which components may belong together. Within such a cluster the full sets of all members meet, in blocks
-of bounded bytes, and again only a spanning forest of the confirmed links leaves a task. So rows grow with members, never
-with pairs. What can be missed is a pair that shares no bucket, at a similarity of 0.8 with a chance of
+of bounded bytes, and again only a spanning forest of the confirmed links leaves a task. In buckets of more than WIDE members
+not all meet: there only members that share one of their rarest shingles are compared (prefix filter: of two sets at the
+similarity or above, these always share one), so many unlike members that have met by a common passage cost rows in
+proportion to their words. What can be missed is a pair that shares no bucket, at a similarity of 0.8 with a chance of
 (1 - 0.8**7)**60 = 7e-7, or whose signatures agree in less than SIGNATURE_FLOOR, with one of about 4e-7 (5 standard errors).
 """
 
@@ -21,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexvane.llm.bpe import groups
-from lexvane.llm.common import broadcast_if_small, claim, materialise, table
+from lexvane.llm.common import broadcast_if_small, claim, materialise, remove, table
 from lexvane.llm.components import connected_components
 
 BANDS, ROWS = 60, 7
 #: A pair whose signatures agree in a smaller share of places goes on to no exact check; 0.8 is 5 standard errors higher.
 SIGNATURE_FLOOR = 0.70
-#: Members of a bucket outside its largest component, and members of all, that meet in one task.
+#: Members of a bucket outside its largest component, and members of all, that meet in one task; a bucket of over WIDE members meets by rare shingles.
 BLOCK, WIDE = 1000, 8_000
+#: Slots in which shingles are counted to tell rare ones from frequent ones: any order is right, this one makes small groups.
+COUNT_BITS = 18
 #: Bytes of shingle sets outside the largest component that meet twice as many bytes of all in one task.
 SET_BYTES = 4_000_000
 #: Copies of one shingle set from which on it is joined by a broadcast.
@@ -129,6 +133,34 @@ def _shingle_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
+def _rarest(docs: DataFrame, size: int, percent: int, seen: np.ndarray) -> DataFrame:
+    """(id, low, high): the rarest shingles of each set of docs (id, text), by the counts of their slots, then by value.
+
+    Two sets at the similarity share one of the smaller set's `low` and the other's `low` or `high`: their intersection is at
+    least 2 * percent / (100 + percent) of the smaller set and percent of the larger one, and all sets have one order.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    shift = np.uint64(64 - COUNT_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for start, stop in groups(texts, 1_000_000):
+                parts = ([], [])
+                for t in texts[start:stop]:
+                    s = shingle_hashes(t, size)
+                    n = len(s)
+                    s = s[np.lexsort((s, seen[s >> shift]))].view(np.int64)
+                    low = n - -(-2 * percent * n // (100 + percent)) + 1 if n else 0
+                    parts[0].append(s[:low])
+                    parts[1].append(s[low : n - -(-percent * n // 100) + 1])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]).astype(np.int32)), pa.array(np.concatenate(p))) for p in parts]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), *lists], ["id", "low", "high"])
+
+    rows = docs.select("id", F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, low array<long>, high array<long>")
+
+
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of signatures, row by row; 8-bit places also agree by chance."""
     return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
@@ -236,16 +268,52 @@ def _linked(pdf: pd.DataFrame, percent: int, confirm) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series(found_a, dtype=pdf.id.dtype), "b": pd.Series(found_b, dtype=pdf.id.dtype)})
 
 
-def _likely_links(members: DataFrame, components: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _rare_cells(wide: DataFrame, docs: DataFrame, size: int, percent: int, max_broadcast: int) -> DataFrame:
+    """(pack, shingle, i, j, id, c, other) for members (id, c): those with the shingle among their low ones against those with it among low or high.
+
+    A shingle without a low member, or all of whose members are in one component, has no cell. Rows grow with the words of
+    members; a shingle is cut into more than one cell from BLOCK low members or WIDE members on. A pack has many small cells.
+    """
+    texts = docs.join(broadcast_if_small(wide.select("id"), max_broadcast), "id", "left_semi")
+    slot = F.shiftrightunsigned("shingle", 64 - COUNT_BITS)
+    counted = _shingle_sets(texts, "id", "text", size).select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).count().toPandas()  # 2**COUNT_BITS at most
+    seen = np.zeros(1 << COUNT_BITS, np.int64)
+    seen[counted["slot"].to_numpy(np.int64)] = counted["count"]
+    mark = lambda name: F.transform(name, lambda x: F.struct(x.alias("shingle"), F.lit(name == "low").alias("low")))
+    found = _rarest(texts, size, percent, seen).join(wide, "id")
+    rows = materialise(found.select("id", "c", F.explode(F.concat(mark("low"), mark("high"))).alias("at")).select("id", "c", "at.*").distinct(), "rare")
+    sizes = rows.groupBy("shingle").agg(F.sum(F.col("low").cast("long")).alias("lows"), F.count("*").alias("all"), F.min("c").alias("first"), F.max("c").alias("last"))
+    cut = sizes.filter("lows > 0 and first < last").select("shingle", F.ceil(F.col("lows") / BLOCK).alias("i_n"), F.ceil(F.col("all") / WIDE).alias("j_n"))
+    packs = rows.count() // WIDE + 1
+    dealt = rows.join(cut, "shingle").withColumn("pack", F.pmod(F.xxhash64("shingle"), F.lit(packs)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    ones = dealt.filter("low").select("pack", "shingle", block("i_n").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), "id", "c", F.lit(True).alias("other"))
+    everyone = dealt.select("pack", "shingle", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), block("j_n").alias("j"), "id", "c", F.lit(False).alias("other"))
+    return materialise(ones.unionByName(everyone), "rare_cells")
+
+
+def _likely_links(members: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, max_broadcast: int) -> DataFrame:
     """Links (src, dst) that join, through signatures alone, all components of a bucket whose members may be linked."""
     kind = members.schema["id"].dataType.simpleString()
-    placed = members.filter("n > 2").join(components, members.id == components.node, "left").select("id", "band", F.coalesce("component", "id").alias("c"), F.lit(1).alias("one"))
-    signed = _cells(placed, "band", "one", BLOCK, WIDE).join(nodes.select("id", "sig", "n_shingles"), "id")
+    placed = members.filter("n > 2").join(components, members.id == components.node, "left").select("id", "band", "n", F.coalesce("component", "id").alias("c"), F.lit(1).alias("one"))
+    signs = nodes.select("id", "sig", "n_shingles")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return _linked(pdf, percent, lambda x, hits: hits[0])
 
-    return signed.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    def compare_each(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([compare(part.reset_index(drop=True)) for _, part in pdf.groupby("shingle")], ignore_index=True)
+
+    cells = _cells(placed.filter(F.col("n") <= WIDE), "band", "one", BLOCK, WIDE).join(signs, "id")
+    links = cells.groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    if not members.filter(F.col("n") > WIDE).isEmpty():
+        large = placed.filter(F.col("n") > WIDE)
+        mixed = large.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last")).filter("first < last")
+        wide = materialise(large.join(mixed, "band", "left_semi").select("id", "c").distinct(), "wide")
+        if not wide.isEmpty():
+            rare = _rare_cells(wide, docs, size, percent, max_broadcast).join(signs, "id")
+            links = links.unionByName(rare.groupBy("pack", "i", "j").applyInPandas(compare_each, f"a {kind}, b {kind}"))
+    return links.distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def _sure_links(clusters: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, max_broadcast: int) -> DataFrame:
@@ -309,17 +377,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(bands.join(shared, "band").select("id", "band", "n"), "members")
     near = materialise(nodes.select("id", "sig", "n_shingles").join(members.select("id").distinct(), "id", "left_semi"), "nodes")
-    first = _confirm(materialise(_alike(_hub_pairs(members), near, percent), "pairs"), docs, size, percent, max_broadcast)
+    pairs = materialise(_alike(_hub_pairs(members), near, percent), "pairs")
+    first = _confirm(pairs, docs, size, percent, max_broadcast)
     twice = named.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     again = named.join(twice, "id").select(F.col("rep").alias("src"), F.col("low").alias("dst"))
     components = materialise(connected_components(first.unionByName(again)), "components")
-    likely = materialise(_likely_links(members, components, near, percent), "likely")
+    remove(pairs)
+    likely = materialise(_likely_links(members, components, near, docs, size, percent, max_broadcast), "likely")
     if not likely.isEmpty():
         stars = components.select(F.col("node").alias("src"), F.col("component").alias("dst"))
         clusters = connected_components(stars.unionByName(likely))
         sure = materialise(_sure_links(clusters, components, near, docs, size, percent, max_broadcast), "sure")
         if not sure.isEmpty():
             components = connected_components(stars.unionByName(sure))
+    for done in (members, near):
+        remove(done)
     groups_ = named.select("id", "set_key", "rep").join(components, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     rows = found.select("id", "n_shingles").join(groups_, "id", "left")
     component = F.coalesce("component", "id")

@@ -179,6 +179,63 @@ def test_one_large_group_of_near_copies(spark, monkeypatch, blocks):
         assert links > 10_000 and sizes["likely"] < near_dup.BANDS * len(rows)
 
 
+def unlike_members(n, rng):
+    """Texts of which 70 of 100 words are a passage that all share; every tenth is followed by a near copy of itself."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = []
+    while len(rows) < n:
+        own = [f"x{len(rows)}-{k}" for k in range(30)]
+        rows.append((len(rows), passage + " " + " ".join(own)))
+        if len(rows) % 10 == 0:
+            rows.append((len(rows), passage + " " + " ".join(own[:-1] + ["y"])))
+    return rows[:n]
+
+
+@pytest.mark.parametrize("n", [300, 600, 1200])
+def test_unlike_members_cost_rows_by_their_words(spark, monkeypatch, n):
+    """Buckets far over WIDE members, few of them alike: rows of each step a member stay the same when members grow fourfold."""
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    monkeypatch.setattr(near_dup, "WIDE", 10)
+    made = []
+    written = near_dup.materialise
+
+    def keep(df, name):
+        made.append((name, df := written(df, name), df.count()))
+        return df
+
+    monkeypatch.setattr(near_dup, "materialise", keep)
+    rows = unlike_members(n, np.random.default_rng(1))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == {d: d - 1 if t.endswith(" y") else d for d, t in rows}
+    assert len(set(got.values())) < n
+    sizes = {}
+    for name, _, k in made:
+        sizes[name] = max(k, sizes.get(name, 0))
+    assert sizes["wide"] > 0.9 * n and 0 < sizes["rare"] <= 25 * n
+    assert all(k <= 100 * n for k in sizes.values()), sizes
+    assert sizes["rare_cells"] <= 5 * n, sizes
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95, 100])
+def test_rare_shingles_meet(spark, percent):
+    """Of two sets at the similarity, the smaller one's low shingles meet the other's low or high ones, whatever the counts are."""
+    rng = np.random.default_rng(percent)
+    rows = [(d, " ".join(f"w{k}" for k in np.sort(rng.choice(24, rng.integers(20, 25) if d % 2 else 2, replace=False)))) for d in range(120)]
+    sets = {d: set(near_dup.shingle_hashes(t.encode(), 1).tolist()) for d, t in rows}
+    seen = rng.integers(0, 3, 1 << near_dup.COUNT_BITS)
+    found = near_dup._rarest(spark.createDataFrame(rows, "id long, text string"), 1, percent, seen).collect()
+    low = {r["id"]: {x % 2**64 for x in r["low"]} for r in found}
+    both = {r["id"]: low[r["id"]] | {x % 2**64 for x in r["high"]} for r in found}
+    links = 0
+    for a, x in sets.items():
+        assert both[a] <= x
+        for b, y in sets.items():
+            if a != b and len(x) <= len(y) and 100 * len(x & y) >= percent * len(x | y):
+                links += 1
+                assert low[a] & both[b]
+    assert links > 20
+
+
 def test_candidates_find_nearly_all_links():
     """Pairs at 0.8 and a little more: share that no bucket holds or whose signatures differ too much."""
     rng = np.random.default_rng(6)
