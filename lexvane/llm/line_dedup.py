@@ -39,6 +39,18 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
+def _slots(lines: Column) -> Column:
+    """A host's lines, dealt by their hashes to about sqrt(lines) slots, so that a look-up compares with about sqrt(lines) of them."""
+    n = F.ceil(F.sqrt(F.size(lines))).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(lines, lambda x: F.pmod(x["a"], n) == i))
+
+
+def _found(line: Column, slots: Column) -> Column:
+    """Whether the line, without white space at its ends, is in the slots; the array of one key only makes the key once."""
+    at = lambda key: F.pmod(key["a"], F.size(slots)).cast("int")
+    return F.exists(F.array(_key(_bare(line))), lambda key: F.array_contains(F.get(slots, at(key)), key))
+
+
 def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, max_broadcast: int = 500_000) -> DataFrame:
     """docs with boilerplate lines cut out of text, and n_lines and n_dropped (long; columns of these names are replaced).
 
@@ -49,12 +61,13 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     """
     found = materialise(boilerplate(docs, host, text, ratio), "boilerplate")
     lines = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    found = found.select("host", _slots(F.col("lines")).alias("lines"))
     inner = {c: f"column_{i}" for i, c in enumerate(docs.columns)}  # so that no column name can clash
     body, bad = F.col(inner[text]), F.col("lines")
     rows = docs.toDF(*inner.values()).withColumn("host", F.coalesce(F.col(inner[host]).cast("string"), F.lit("")))
     rows = join_hot(rows, found, "host", body, max_broadcast if lines <= max_broadcast else -1)
     parts = F.split(body, "\n")
-    stay = F.filter(parts, lambda x: (_bare(x) == "") | ~F.array_contains(bad, _key(_bare(x))))
+    stay = F.filter(parts, lambda x: (_bare(x) == "") | ~_found(x, bad))
     rest = F.when(body.isNull() | bad.isNull(), body).otherwise(F.array_join(stay, "\n"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     dropped = F.when(bad.isNull() | body.isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay)).cast("long").alias("n_dropped")
