@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +63,18 @@ _held: dict[str, Callable[[], None]] = {}
 def claim(owner: str, empty: Callable[[], None]) -> None:
     """Called by an operator's task in a Python worker that remembers things in `owner`: empties what other operators remember.
 
-    Workers serve one stage after another, so without this the memories of all stages of a pipeline would add up.
+    Workers serve one stage after another, so without this the memories of all stages of a pipeline would add up. What the
+    earlier operators freed goes back to the system, as Arrow's pool and the C library would keep it.
     """
-    for name in [n for n in _held if n != owner]:
+    others = [n for n in _held if n != owner]
+    for name in others:
         _held.pop(name)()
     _held[owner] = empty
+    if others:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
 
 
 _written: list[tuple[SparkSession, str]] = []

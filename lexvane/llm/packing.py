@@ -7,7 +7,6 @@ piece the place that belongs to its length and its rank among the pieces of that
 
 from __future__ import annotations
 
-import json
 import os
 import unicodedata
 import zlib
@@ -25,7 +24,7 @@ from lexvane.llm.common import broadcast_if_small, claim, materialise, table
 
 SEQUENCE = 2048
 #: Chunks of text that a Python worker remembers, and as many that it used before.
-MEMORY = 700_000
+MEMORY = 300_000
 #: Pieces of one length are ranked in parts of about so many.
 PART = 50_000
 
@@ -45,7 +44,7 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        self.lowers = "Lowercase(" in repr(self.tokenizer.normalizer)  # to_str() would take the whole vocabulary's memory again
         special = sorted(self.tokenizer.get_added_tokens_decoder().items())
         self.stop_id, self.stop = (special[-1][0], special[-1][1].content) if special else (None, None)
         self.ids: dict[bytes, bytes] = {}
@@ -109,8 +108,8 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     names = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        coder = ChunkIds.load(path)
         claim("packing", ChunkIds._loaded.clear)
+        coder = ChunkIds.load(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for first, stop in groups(texts):
