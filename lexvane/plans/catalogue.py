@@ -226,10 +226,12 @@ WITH_VECTOR = "nv as (select count(*) as nv from embeddings), e as (select vec_i
 MOVED = "prior, nv, e where e.vec_id = (doc_id * 31 + n_raw_tokens) % nv"
 
 
-def _stage(spark, sf_dir, stage):
-    rows = r.with_vectors(r.prior(r.base(spark, sf_dir)), spark, sf_dir)
-    carried = rows.withColumn("activation_layer", F.col("activation_layer") + F.col("vec_id") * 0)
-    return splits.build_stage(carried, stage, r.ACTOR, r.CRITIC, keep_debug=True)
+def _stage(spark, sf_dir, stage, debug=False):
+    rows = r.with_vectors(r.prior(r.keys(spark, sf_dir)), spark, sf_dir)
+    carried = rows.withColumn("activation_layer", F.lit(20).cast("long") + F.col("vec_id") * 0)
+    if debug:  # behind the join with vectors, so that texts don't move with each position
+        carried = r.texts(carried, spark, sf_dir)
+    return splits.build_stage(carried, stage, r.ACTOR, r.CRITIC, keep_debug=debug)
 
 
 def _flat(rows):
@@ -244,7 +246,7 @@ def q_build_av(spark, sf_dir):
 
 @query(f"with {r.PRIOR} select doc_id, n_raw_tokens, 'Read: ' || api_explanation || {NL} || 'Guess:' as prompt, sha256(prefix) as debug_key from prior")
 def q_build_ar(spark, sf_dir):
-    return _stage(spark, sf_dir, "ar_sft").select("doc_id", "n_raw_tokens", "prompt", tx.text_key(F.col(TEXT)).alias("debug_key"))
+    return _stage(spark, sf_dir, "ar_sft", debug=True).select("doc_id", "n_raw_tokens", "prompt", tx.text_key(F.col(TEXT)).alias("debug_key"))
 
 
 @query(f"with {r.PRIOR}, {WITH_VECTOR} select doc_id, n_raw_tokens, {PROMPT}, cast(len(v) as bigint) as width, {DIGEST} as vector_digest from {MOVED}")

@@ -9,7 +9,7 @@ from lexvane import share_code
 from lexvane.functions.keys import hash_key
 from lexvane.functions.text import render, token_count, wrap_tag
 from lexvane.operators.joins import EXPLANATION, TEXT
-from lexvane.operators.sampling import MIN_POSITION, base_keys, base_rows
+from lexvane.operators.sampling import MIN_POSITION, base_keys, base_rows, with_texts
 from lexvane.operators.splits import VECTOR
 
 ACTOR = "Describe the vector <v>."
@@ -31,6 +31,11 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_keys(table(spark, sf_dir, "documents"))
 
 
+def texts(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows of keys() with the texts of base()."""
+    return with_texts(rows, table(spark, sf_dir, "documents"))
+
+
 def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which base() has rows."""
     return table(spark, sf_dir, "documents").filter(token_count(F.col("text")) > MIN_POSITION).select("doc_id")
