@@ -160,9 +160,9 @@ def q_cache_stats(spark, sf_dir):
 
 @query(f"with {r.PRIOR}, nv as (select count(*) as nv from embeddings), e as (select vec_id, embedding as v from embeddings) select doc_id, n_raw_tokens, api_explanation, sha256(prefix) as text_key, {DIGEST} as vector_digest from prior, nv, e where (doc_id * 7 + n_raw_tokens) % 200 <> 0 and e.vec_id = (doc_id * 31 + n_raw_tokens) % nv")
 def q_reuse_join(spark, sf_dir):
-    rows = r.base(spark, sf_dir)
     known = r.prior_ar(r.keys(spark, sf_dir)).filter((F.col("doc_id") * 7 + F.col("n_raw_tokens")) % 200 != 0)
-    joined = joins.reuse_join(r.with_vectors(rows, spark, sf_dir), known, template=r.CRITIC)
+    joined = joins.reuse_join(r.keys(spark, sf_dir), known, template=r.CRITIC)  # keys meet first, then vectors, then texts: none is moved twice
+    joined = r.texts(r.with_vectors(joined, spark, sf_dir), spark, sf_dir)
     return joined.select("doc_id", "n_raw_tokens", EXPLANATION, tx.text_key(F.col(TEXT)).alias("text_key"), vec.digest(F.col(VECTOR)).alias("vector_digest"))
 
 

@@ -16,7 +16,7 @@ def test_texts_are_those_of_the_base(spark, small):
     assert late.filter("doc_id = -3").agg(F.count("*"), F.max(F.length(r.TEXT))).first() == (10, 70)
 
 
-@pytest.mark.parametrize("name", ["q_build_ar"])
+@pytest.mark.parametrize("name", ["q_build_ar", "q_reuse_join"])
 def test_no_join_moves_a_prefix(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "substring_index" in plan and plan.rindex("substring_index") < plan.index("Join")
