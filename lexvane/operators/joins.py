@@ -23,10 +23,13 @@ def union_caches(caches: list[DataFrame], ordinal: str | None = None) -> DataFra
     return rows.groupBy("text_key").agg(F.max(F.struct("_s", "_r", EXPLANATION))[EXPLANATION].alias(EXPLANATION))
 
 
-def cache_join(df: DataFrame, caches: list[DataFrame], ordinal: str | None = None) -> DataFrame:
-    """df with the cached explanation of its text; null is a miss. The cache has one row a text before the join."""
+def cache_join(df: DataFrame, caches: list[DataFrame], ordinal: str | None = None, key: str | None = None) -> DataFrame:
+    """df with the cached explanation of its text; null is a miss. The cache has one row a text before the join.
+
+    key: df's column with text_key() of the text, where df holds no texts.
+    """
     cache = union_caches(caches, ordinal).withColumnRenamed("text_key", "_key")
-    return df.withColumn("_k", text_key(F.col(TEXT))).join(cache, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+    return df.withColumn("_k", F.col(key) if key else text_key(F.col(TEXT))).join(cache, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
 
 
 def cache_misses(df: DataFrame, caches: list[DataFrame]) -> DataFrame:

@@ -12,16 +12,18 @@ from pyspark.sql.window import Window
 from lexvane.functions.keys import hash_key
 
 
-def bucket_rank(df: DataFrame, bucket: Column, order: list, name: str = "rank") -> DataFrame:
+def bucket_rank(df: DataFrame, bucket: Column, order: list, name: str = "rank", in_order: bool = False) -> DataFrame:
     """df with the rank (from 1) by (bucket, order): counts by bucket are summed up, rows are numbered within a bucket.
 
-    bucket has to rise with the order and have few values; only its counts meet in one task and are sent to all.
+    bucket has to rise with the order and have few values; only its counts meet in one task and are sent to all. in_order: partitions
+    are ranges of buckets, so they follow each other in the order of the rank, by the one shuffle that ranking takes.
     """
     marked = df.withColumn("_bucket", bucket)
     counts = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_bucket").orderBy(*order)
+    marked = marked.repartitionByRange("_bucket") if in_order else marked
     return marked.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), "_bucket").withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_bucket", "_row", "_start")
 
 
@@ -127,10 +129,10 @@ def with_percentiles(groups: DataFrame, df: DataFrame, by: list[str], value: str
     return groups.join(p, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]), "left").drop(*[f"_by_{c}" for c in by])
 
 
-def hash_rank(df: DataFrame, seed, keys: list[str], name: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, seed, keys: list[str], name: str = "rank", in_order: bool = False) -> DataFrame:
     """df with its rank in the seeded order of keys, which have to be unique for a stable result. At most 65,536 buckets."""
     marked = df.withColumn("_h", hash_key(seed, *[F.col(k) for k in keys]))
-    return bucket_rank(marked, F.substring("_h", 1, 4), ["_h", *keys], name).drop("_h")
+    return bucket_rank(marked, F.substring("_h", 1, 4), ["_h", *keys], name, in_order).drop("_h")
 
 
 def _width(df: DataFrame, ordinal: str) -> int:
@@ -159,9 +161,10 @@ def chunk_id(df: DataFrame, ordinal: str, n: int) -> DataFrame:
     return ordinal_rank(df, ordinal, "_rank").withColumn("chunk_id", F.expr(f"(_rank - 1) div {n}")).drop("_rank")
 
 
-def shuffle_rows(df: DataFrame, seed: int, dataset_id: str, keys: list[str]) -> DataFrame:
-    """df with shuffle_rank, a full permutation keyed on seed and dataset; write it sorted by that column."""
-    return hash_rank(df, f"{seed}|{dataset_id}", keys, "shuffle_rank")
+def shuffle_rows(df: DataFrame, seed: int, dataset_id: str, keys: list[str], in_order: bool = False) -> DataFrame:
+    """df with shuffle_rank, a full permutation keyed on seed and dataset; write it sorted by that column (in_order: it is)."""
+    rows = hash_rank(df, f"{seed}|{dataset_id}", keys, "shuffle_rank", in_order)
+    return rows.sortWithinPartitions("shuffle_rank") if in_order else rows
 
 
 def shuffle_vectors(df: DataFrame, seed: int, dataset_id: str, keys: list[str], vector: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexvane.functions.text import clean_explanation, min_features, render
+from lexvane.functions.text import clean_explanation, min_features, render, text_key
 from lexvane.operators.gates import gate_rows, gate_table
-from lexvane.operators.joins import EXPLANATION, TEXT, cache_join
+from lexvane.operators.joins import EXPLANATION, KEY, TEXT, cache_join
 from lexvane.operators.plugins import complete_chunks
 from lexvane.operators.ranks import shuffle_rows
 from lexvane.operators.sampling import base_rows
@@ -38,13 +38,15 @@ def paths(cfg: dict) -> dict[str, str]:
     return {s: f"{cfg['output']}/{s}" for s in [*STAGES, "registry"]}
 
 
-def _explained(joined: DataFrame, cfg: dict, provider, complete) -> DataFrame:
-    """joined with the provider's text where the caches have none; cleaned texts with too few features are null."""
+def _explained(joined: DataFrame, base: DataFrame, cfg: dict, provider, complete) -> DataFrame:
+    """joined with the provider's text where the caches have none; cleaned texts with too few features are null. What is asked for gets its texts from base."""
     misses = joined.filter(F.col(EXPLANATION).isNull()).drop(EXPLANATION)
+    if provider or complete:
+        misses = misses.join(base.select(*KEY, TEXT), KEY, "left")
     missing = None
     if complete:
-        asked = misses.withColumn("prompt", render(cfg["instruction"], "text", F.col(TEXT)))
-        done = complete_chunks(asked, complete, f"{cfg['output']}/completions", ["doc_id", "n_raw_tokens"], chunk=cfg["chunk_rows"], at_once=cfg["at_once"])
+        asked = misses.withColumn("prompt", render(cfg["instruction"], "text", F.col(TEXT))).drop(TEXT)
+        done = complete_chunks(asked, complete, f"{cfg['output']}/completions", KEY, chunk=cfg["chunk_rows"], at_once=cfg["at_once"])
         missing = done.drop("prompt", "chunk_id").withColumnRenamed("completion", EXPLANATION)
     elif provider:
         missing = provider(misses)
@@ -87,13 +89,17 @@ class _Job:
         self.journal.write("base", lambda: base_rows(documents, cfg["positions_per_doc"], cfg["min_position"], cfg["seed"], cfg["layer"]), describe)
 
     def split(self) -> None:
+        def keyed() -> DataFrame:
+            """The base, with keys in the place of texts: these stay in the base alone, by (doc_id, n_raw_tokens)."""
+            return self._table("base").withColumn("text_key", text_key(F.col(TEXT))).drop(TEXT)
+
         def describe(rows: DataFrame, n: int) -> dict:
             if (entry := self.journal.entry("base")) and entry["rows"] != n:
                 raise ValueError(f"the split has {n} rows, the base {entry['rows']}")
             counts = self._by_bucket(rows, n)
             return {"counts": counts, "records": [{"dataset_id": f"{self.base}__{b}_raw", "stage": "base", "row_count": k, "parent_datasets": [self.base]} for b, k in sorted(counts.items())]}
 
-        self.journal.write("split", lambda: split_docs(self._table("base"), self.cfg["fractions"], self.cfg["seed"]), describe, ["bucket"])
+        self.journal.write("split", lambda: split_docs(keyed(), self.cfg["fractions"], self.cfg["seed"]), describe, ["bucket"])
 
     def explain(self, caches, provider, complete) -> None:
         def describe(rows: DataFrame, n: int) -> dict:
@@ -104,11 +110,12 @@ class _Job:
 
         def joined() -> DataFrame:
             rows = self._table("split")
-            return cache_join(rows, caches(rows)) if caches else rows.withColumn(EXPLANATION, F.lit(None).cast("string"))
+            found = cache_join(rows, caches(self._table("base")), key="text_key") if caches else rows.withColumn(EXPLANATION, F.lit(None).cast("string"))
+            return found.drop("text_key")
 
         def explained() -> DataFrame:
             self.journal.write("joined", joined)  # read twice: hits, and misses for the provider
-            found = _explained(self._table("joined"), self.cfg, provider, complete)
+            found = _explained(self._table("joined"), self._table("base"), self.cfg, provider, complete)
             return found.filter(F.col(EXPLANATION).isNotNull() | (F.col("bucket") == "rl"))
 
         self.journal.write("explain", explained, describe, ["bucket"])
@@ -136,8 +143,7 @@ class _Job:
     def shuffle(self) -> None:
         for _, stage in BUILDS:
             def make(stage=stage) -> DataFrame:
-                rows = shuffle_rows(self._table(f"build/{stage}"), self.cfg["seed"], stage, ["doc_id", "n_raw_tokens"])
-                return rows.repartitionByRange("shuffle_rank").sortWithinPartitions("shuffle_rank")
+                return shuffle_rows(self._table(f"build/{stage}"), self.cfg["seed"], stage, KEY, in_order=True)
 
             entry = self.journal.entry(f"build/{stage}")
             expected = entry["rows"] if entry else self._table(f"build/{stage}").count()
@@ -147,7 +153,8 @@ class _Job:
 def run_pipeline(spark: SparkSession, cfg: dict, documents: DataFrame, vectors, caches=None, provider=None, stages: list[str] | None = None, complete=None, after=None) -> dict[str, str]:
     """Run the stages (all, or some in the given order of STAGES); the paths of all tables.
 
-    vectors: base rows to rows with activation_vector. caches: base rows to a list of explanation caches. What no cache explains goes to
+    vectors: keys of base rows to rows with activation_vector. Only the base holds texts; later tables have (doc_id, n_raw_tokens) of their
+    rows, and what is asked for gets its texts from the base. caches: base rows to a list of explanation caches. What no cache explains goes to
     complete, a provider of the kind of plugins.complete_chunks (a chunk that is answered is never asked for again, whatever stops the
     run), or to provider, rows to rows with api_explanation. Null ones are dropped, and so are explanations of fewer than min_features
     features; raw_completions: they are cleaned first. Each stage reads what the one before wrote. Tables go through a journal

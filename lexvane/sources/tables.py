@@ -25,8 +25,8 @@ def corpus_scan(spark: SparkSession, path: str, corpus: str, split: str, start:
 
 
 def write_table(df: DataFrame, path: str, max_records: int = 65_536, partition_by: list[str] | None = None) -> None:
-    """Files, and row groups within them, of max_records rows at most, so no reader meets a huge list buffer."""
-    writer = df.write.option("maxRecordsPerFile", max_records).option("parquet.block.row.count.limit", max_records)
+    """Files, and row groups within them, of max_records rows at most, so no reader meets a huge list buffer. Zstandard finds the prefixes of a text in each other."""
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", max_records).option("parquet.block.row.count.limit", max_records)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

@@ -160,3 +160,27 @@ def test_group_percentiles(spark):
 def test_shards_in_order(spark):
     metas = spark.createDataFrame([(20, 10, "c"), (0, 5, "a"), (5, 15, "b")], "start long, length long, id string")
     assert [(m["shard"], m["id"]) for m in splits.order_shards(metas).collect()] == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_texts_are_stored_once(spark, small, tmp_path):
+    """Later tables have keys alone, what is asked for still gets its text, and rows in order come by one shuffle."""
+    docs, asked = r.table(spark, small, "documents").filter("doc_id < 30"), []
+
+    def provider(rows):
+        asked.append(rows.select("doc_id", "n_raw_tokens", r.TEXT).collect())
+        return r.prior(rows)
+
+    cfg = pipeline.resolve_config({"output": f"file://{tmp_path}/job"})
+    at = pipeline.run_pipeline(spark, cfg, docs, lambda rows: r.with_vectors(rows, spark, small), r.caches, provider)
+    assert r.TEXT in spark.read.parquet(at["base"]).columns
+    assert not any(r.TEXT in spark.read.parquet(f"{tmp_path}/job/{t}").columns for t in ("split", "joined", "explain"))
+    texts = {(x["doc_id"], x["n_raw_tokens"]): x[r.TEXT] for x in sampling.base_rows(docs).collect()}
+    assert asked[0] and all(texts[x["doc_id"], x["n_raw_tokens"]] == x[r.TEXT] for x in asked[0])
+    rows = spark.read.parquet(f"{at['build']}/rl")
+    ranked = ranks.shuffle_rows(rows, 42, "rl", ["doc_id", "n_raw_tokens"], in_order=True)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning(_bucket" not in plan.split("BroadcastExchange")[0]
+    found = [x["shuffle_rank"] for x in ranked.collect()]
+    assert found == list(range(1, len(found) + 1))
+    plain = ranks.shuffle_rows(rows, 42, "rl", ["doc_id", "n_raw_tokens"])
+    assert sorted(map(repr, plain.select(*ranked.columns).collect())) == sorted(map(repr, ranked.collect()))
