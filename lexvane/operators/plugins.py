@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +21,42 @@ def _same(n: int, results, what: str):
     return results
 
 
+#: Positions of one Arrow batch of an extractor's results; a longer text is cut.
+BATCH_POSITIONS = 100_000
+
+
 def apply_extractor(df: DataFrame, fn: Callable[[list[str]], list[tuple[list[int], np.ndarray]]], d: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, position, vector): fn gives token ids and a positions x d matrix for each text of a batch; it splits batches itself."""
+    """(key, position, vector): fn gives token ids and a positions x d matrix for each text of a batch; it splits batches itself.
+
+    Results leave as Arrow batches of BATCH_POSITIONS rows, made from whole matrices; no position is an object of its own.
+    """
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, (ids, matrix) in zip(pdf[key], _same(len(pdf), fn(list(pdf[text])), "extractor"), strict=True):
+    def told(held: list[tuple], keys: pa.DataType) -> pa.RecordBatch:
+        sizes = [len(m) for _, _, m in held]
+        flat = np.concatenate([m for _, _, m in held]).astype(np.float32).ravel()
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, d, dtype=np.int32) if d else np.zeros(sum(sizes) + 1, np.int32)), pa.array(flat))
+        positions = np.concatenate([np.arange(s, s + n, dtype=np.int32) for (_, s, _), n in zip(held, sizes, strict=True)])
+        names = pa.array([k for k, _, _ in held], keys).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+        return pa.RecordBatch.from_arrays([names, pa.array(positions), vectors], [key, "position", "vector"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, held, n = batch.column(0), [], 0
+            for k, (ids, matrix) in zip(keys.to_pylist(), _same(len(keys), fn(batch.column(1).to_pylist()), "extractor"), strict=True):
                 if matrix.shape != (len(ids), d):
                     raise ValueError(f"{k}: {matrix.shape} isn't {len(ids)} x {d}")
-                yield pd.DataFrame({key: [k] * len(ids), "position": range(len(ids)), "vector": list(matrix.astype(np.float32))})
-
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, position int, vector array<float>")
+                for s in range(0, len(ids), BATCH_POSITIONS):
+                    part = matrix[s : s + BATCH_POSITIONS]
+                    if n and n + len(part) > BATCH_POSITIONS:
+                        yield told(held, keys.type)
+                        held, n = [], 0
+                    held.append((k, s, part))
+                    n += len(part)
+            if held:
+                yield told(held, keys.type)
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, position int, vector array<float>")
 
 
 def hashed_vectors(df: DataFrame, tok, d: int, window: int = 8) -> DataFrame:

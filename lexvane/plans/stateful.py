@@ -192,7 +192,9 @@ def _lengths(texts: list[str]) -> list:
     out = []
     for t in texts:
         words = t.split(" ")
-        out.append((list(range(len(words))), np.array([[len(w), 1.0] for w in words])))
+        matrix = np.ones((len(words), 2))
+        matrix[:, 0] = list(map(len, words))
+        out.append((range(len(words)), matrix))
     return out
 
 
