@@ -43,6 +43,11 @@ def report_stream(stream: DataFrame, time: str, reward_col: str, key: str, windo
 BATCHED = "shard long, batch long, sample long, status string, result double, error string"
 
 
+def _plain(column: pd.Series) -> list:
+    """Values with None for what is missing."""
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
 class _Batcher(StatefulProcessor):
     """Keeps pending samples of a key; a batch leaves at n samples, or timeout after the first of them, and is scored on its way out."""
 
@@ -70,12 +75,19 @@ class _Batcher(StatefulProcessor):
         lost = [x is None or x != x for x in found]
         return ["gave up" if x else "scored" for x in lost], [None if x else float(r) for x, r in zip(lost, found, strict=True)], None
 
-    def _emit(self, key, rows: list[tuple]) -> pd.DataFrame:
-        number = self.number.get()[0] if self.number.exists() else 0
-        self.number.update((number + 1,))
-        status, result, error = self._scored(rows)
-        k = len(rows)
-        return pd.DataFrame({"shard": [key[0]] * k, "batch": [number] * k, "sample": [int(r[0]) for r in rows], "status": status, "result": pd.Series(result, dtype="float64"), "error": [error] * k})
+    def _emit(self, key, batches: list[list[tuple]]) -> pd.DataFrame:
+        """The rows of batches, numbered on; their number is read and kept once for all of them."""
+        first = self.number.get()[0] if self.number.exists() else 0
+        self.number.update((first + len(batches),))
+        rows = [r for b in batches for r in b]
+        number = [first + i for i, b in enumerate(batches) for _ in b]
+        status, result, error = [], [], []
+        for b in batches:
+            told, found, wrong = self._scored(b)
+            status += told
+            result += found
+            error += [wrong] * len(b)
+        return pd.DataFrame({"shard": key[0], "batch": number, "sample": [int(r[0]) for r in rows], "status": status, "result": pd.Series(result, dtype="float64"), "error": pd.Series(error, dtype=object)})
 
     def _waiting(self) -> list[tuple]:
         return [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
@@ -84,10 +96,10 @@ class _Batcher(StatefulProcessor):
         waiting = self._waiting()
         had = bool(waiting)
         for pdf in rows:
-            waiting += [tuple(r) for r in pdf[self.names].astype(object).where(pdf[self.names].notna(), None).itertuples(index=False, name=None)]
-            while len(waiting) >= self.n:
-                yield self._emit(key, waiting[: self.n])
-                waiting, had = waiting[self.n :], False
+            waiting += list(zip(*[_plain(pdf[c]) for c in self.names], strict=True))
+            if full := len(waiting) // self.n * self.n:
+                yield self._emit(key, [waiting[i : i + self.n] for i in range(0, full, self.n)])
+                waiting, had = waiting[full:], False
         for t in list(self.handle.listTimers()) if not had else []:
             self.handle.deleteTimer(t)
         if waiting:
@@ -101,7 +113,7 @@ class _Batcher(StatefulProcessor):
         waiting = self._waiting()
         self.pending.clear()
         if waiting:
-            yield self._emit(key, waiting)
+            yield self._emit(key, [waiting])
 
     def close(self) -> None:
         pass
