@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,37 +98,88 @@ def leak_scan(df: DataFrame, text: str, key: str, patterns: list[str], skip: lis
     return rows.select(key, F.explode(hits).alias("pattern"))
 
 
-#: Characters of all patterns of a scan; their automaton is sent to all tasks.
-PATTERN_CHARS = 20_000_000
+#: Most bits of the Bloom filter of patterns that is sent to all tasks (64 a pattern and more up to there), and its hashes; characters of a text that are hashed at a time.
+PATTERN_BITS, PATTERN_HASHES, PATTERN_CHARS = 1 << 28, 4, 1_000_000
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _windows(h: np.ndarray, g: int) -> np.ndarray:
+    """Hashes of windows of 2 g characters from those of g characters."""
+    return h[:-g] * np.uint64(pow(_BASE, g, 1 << 64)) + h[g:] if len(h) > g else h[:0]
+
+
+def _hashes(text: str, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of the text's windows of n characters), for rising lengths: from the hashes of their first and last g, g <= n < 2 g."""
+    h, g = _points(text), 1
+    for n in lengths:
+        if n > len(text):
+            return
+        while 2 * g <= n:
+            h, g = _windows(h, g), 2 * g
+        x = (h[: len(text) - n + 1] * np.uint64(_MIX) ^ h[n - g :]) * np.uint64(_BASE) + np.uint64(n)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
+        yield n, x ^ (x >> np.uint64(29))
+
+
+def _places(h: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """Where the i-th bit of these hashes is."""
+    return ((h + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _candidates(text: str, lengths: list[int], held: np.ndarray, most: int) -> set[str]:
+    """Windows that the filter holds; texts are hashed in pieces of `most` characters, which overlap by a pattern."""
+    bits, found = len(held) * 8, set()
+    for start in range(0, max(len(text), 1), most):
+        piece = text[start : start + most + lengths[-1] - 1] if lengths else ""
+        for n, h in _hashes(piece, lengths):
+            at = None
+            for i in range(PATTERN_HASHES):
+                place = _places(h if at is None else h[at], i, bits)
+                there = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                at = there if at is None else at[there]
+            found.update(piece[i : i + n] for i in at.tolist())
+    return found
 
 
 def leak_patterns(df: DataFrame, text: str, key: str, patterns: DataFrame, column: str) -> DataFrame:
     """(key, pattern): which patterns of a table each lower-cased text contains, each once; any number of patterns in one pass over a text.
 
-    Aho-Corasick: patterns become one automaton (null and empty ones are left out), built once and sent to all tasks; beyond PATTERN_CHARS
-    characters, they go in several passes. Texts that are null contain nothing.
+    All windows of a text that are as long as some pattern are looked up by their hashes (combined by doubling) in a Bloom filter of the patterns,
+    bounded by PATTERN_BITS whatever they are; what it holds meets the patterns themselves in a join, so the filter decides how many windows
+    go into the join, never the result. Work grows with the texts times the different lengths of patterns. Null and empty patterns are left
+    out; texts that are null contain nothing.
     """
-    import ahocorasick
+    few = patterns.select(F.lower(column).alias("pattern")).filter("pattern <> ''").distinct()
+    sizes = few.groupBy(F.length("pattern").alias("n")).count().collect()  # a row for each length
+    lengths, bits, most = sorted(r["n"] for r in sizes), 1 << 16, PATTERN_CHARS
+    while bits < min(64 * sum(r["count"] for r in sizes), PATTERN_BITS):
+        bits *= 2
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = np.array([x for p in pdf["pattern"] for _, found in _hashes(p, [len(p)]) for x in found], np.uint64)
+            yield pd.DataFrame({"at": np.concatenate([_places(h, i, bits) for i in range(PATTERN_HASHES)])})
+
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    words = few.mapInPandas(hashed, "at long").groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(bits // 64, "<i8")
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(table.view(np.uint8))  # little-endian: bit i is bit i & 7 of byte i >> 3
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = sent.value
+        for pdf in batches:
+            keys, hits = [], []
+            for k, t in zip(pdf[key], pdf["_text"], strict=True):
+                found = _candidates(t, lengths, held, most)
+                keys += [k] * len(found)
+                hits += found
+            yield pd.DataFrame({key: pd.Series(keys, dtype=object), "pattern": pd.Series(hits, dtype=object)})
 
-    few = patterns.select(F.lower(column).alias("p")).filter("p <> ''").distinct()
-    total = few.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // PATTERN_CHARS))
     kind = df.schema[key].dataType.simpleString()
-    rows, out = df.select(F.col(key), F.lower(text).alias("_text")).filter("_text is not null"), None
-    for k in range(passes):
-        found = ahocorasick.Automaton()
-        for (p,) in few.filter(F.pmod(F.xxhash64("p"), F.lit(passes)) == k).collect():
-            found.add_word(p, p)
-        if not len(found):
-            continue
-        found.make_automaton()
-        sent = df.sparkSession.sparkContext.broadcast(found)
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                hits = [(i, p) for i, t in zip(pdf[key], pdf["_text"], strict=True) for p in sorted({p for _, p in sent.value.iter(t)})]
-                yield pd.DataFrame({key: pd.Series([h[0] for h in hits], dtype=object), "pattern": pd.Series([h[1] for h in hits], dtype=object)})
-
-        one = rows.mapInPandas(scan, f"`{key}` {kind}, pattern string")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else rows.select(key, F.lit(None).cast("string").alias("pattern")).limit(0)
+    rows = df.select(F.col(key), F.lower(text).alias("_text")).filter("_text is not null")
+    return rows.mapInPandas(scan, f"`{key}` {kind}, pattern string").join(few, "pattern", "left_semi").select(key, "pattern")

@@ -137,3 +137,20 @@ def test_stored_keys_stay(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
         spark.sql(f"drop table {name}")
+
+
+def test_filter_of_patterns_is_bounded(spark, monkeypatch):
+    """A task holds a filter of PATTERN_BITS at most, however many patterns there are; a full one lets more through, and results stay."""
+    random.seed(11)
+    word = lambda: "".join(random.choice("abCé") for _ in range(random.randint(1, 9)))
+    patterns = {word().lower() for _ in range(3_000)} | {"𝄞x", "a" * 33}
+    texts = [(i, " ".join(word() for _ in range(30)) + ("𝄞X" + "A" * 40) * (i % 3 == 0)) for i in range(40)]
+    docs, table = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(p,) for p in patterns], "p string")
+    want = sorted((i, p) for i, t in texts for p in patterns if p in t.lower())
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (sent.append(x.nbytes), send(self, x))[1])
+    monkeypatch.setattr(gates, "PATTERN_CHARS", 7)
+    for most in (1 << 16, 1 << 28):
+        monkeypatch.setattr(gates, "PATTERN_BITS", most)
+        assert sorted(tuple(r) for r in gates.leak_patterns(docs, "text", "id", table, "p").collect()) == want
+    assert sent[0] == (1 << 16) // 8 < sent[1] <= 16 * len(patterns)
