@@ -3,16 +3,22 @@
 A task writes one file and moves it into the table when it ends (the file committer's second algorithm, one rename a file), so a
 chunk is there whole or not at all. Of attempts that run side by side, Spark lets one commit. What stops a run (an error, a lost
 executor, a killed driver) takes the chunks that were being worked on at that moment, never those that are done.
+
+Small chunks make many tasks, so a task is kept cheap: only chunks that are still to be done get one, a chunk that raises writes nothing
+(its error goes to the driver by an accumulator), and what a Python worker has imported isn't searched for garbage after each of them.
 """
 
 from __future__ import annotations
 
+import gc
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import pandas as pd
+from pyspark import Accumulator, AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +26,9 @@ from lexvane.operators.ranks import group_rank
 
 #: Most chunks, and so tasks, of one job.
 WAVE = 20_000
-CHUNK, ERROR = "chunk_id", "_error"
+CHUNK = "chunk_id"
+#: Files and bytes of finished chunks that a task reads, about: a chunk's file is far smaller than a split.
+READ_FILES, READ_BYTES = 64, 32 << 20
 
 
 class ChunksFailed(RuntimeError):
@@ -37,8 +45,10 @@ def finished(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of all finished chunks; None without any."""
     if not _files(spark, path):
         return None
-    rows = spark.read.parquet(path)
-    return rows.filter(F.col(ERROR).isNull()).drop(ERROR) if ERROR in rows.columns else rows
+    fs, at = _hadoop(spark, path)
+    held = fs.getContentSummary(at)
+    tasks = max(math.ceil(held.getFileCount() / READ_FILES), math.ceil(held.getLength() / READ_BYTES), spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(path).coalesce(tasks)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -51,12 +61,35 @@ def _files(spark: SparkSession, path: str) -> bool:
     return fs.exists(at) and any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(at))
 
 
-def _worked(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], added: str) -> DataFrame:
-    """rows with what work adds to a chunk; of a chunk that raises, one row with the error."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+class _Told(AccumulatorParam):
+    """{chunk: (its rows, its error)}; a task that is run twice tells the same."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, value1: dict, value2: dict) -> dict:
+        value1.update(value2)
+        return value1
+
+
+_frozen = False
+
+
+def _freeze() -> None:
+    """Once a worker: after each task, Spark collects garbage among all that its modules hold; from now on, only among what came since."""
+    global _frozen
+    if not _frozen:
+        gc.collect()
+        gc.freeze()
+        _frozen = True
+
+
+def _worked(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], added: str, failed: Accumulator[dict]) -> DataFrame:
+    """rows with what work adds to a chunk; none of a chunk that raises, which is told in failed."""
     names = [*rows.columns, *[a.strip().split(" ")[0].strip("`") for a in added.split(",")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _freeze()
         held = [pdf for pdf in batches if len(pdf)]
         if not held:
             return
@@ -65,11 +98,13 @@ def _worked(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], added
             out = work(chunk)
             if len(out) != len(chunk):
                 raise ValueError(f"{len(out)} results for {len(chunk)} rows")
-            yield out[names].assign(**{ERROR: None})
+            out = out[names]
         except Exception as error:  # the others go on; the caller gets it when they have ended
-            yield pd.DataFrame({**{n: [None] for n in names}, CHUNK: [chunk[CHUNK].iloc[0]], ERROR: [f"{type(error).__name__}: {error}"]})
+            failed.add({int(chunk[CHUNK].iloc[0]): (len(chunk), f"{type(error).__name__}: {error}")})
+            return
+        yield out
 
-    return rows.mapInPandas(run, f"{fields}, {added}, {ERROR} string")
+    return rows.mapInPandas(run, f"{_fields(rows)}, {added}")
 
 
 def resume_append(df: DataFrame, path: str, keys: str | list[str], chunk_rows: int, work: Callable[[pd.DataFrame], pd.DataFrame] | None = None, added: str = "", at_once: int | None = None) -> int:
@@ -92,32 +127,28 @@ def resume_append(df: DataFrame, path: str, keys: str | list[str], chunk_rows: i
     todo.withColumn("_wave", F.expr(f"{CHUNK} div {wave}")).write.partitionBy("_wave").parquet(staged)
     waves = spark.read.schema(f"{_fields(todo)}, _wave long").parquet(staged)
     before = 0 if done is None else done.count()
+    failed = spark.sparkContext.accumulator({}, _Told())
     try:
-        for w in sorted(r[0] for r in waves.groupBy("_wave").count().select("_wave").collect()):
-            own = waves.filter(F.col("_wave") == w).drop("_wave")
-            rows = own.repartitionById(wave if at_once else own.agg(F.max(CHUNK)).first()[0] - w * wave + 1, (F.col(CHUNK) % wave).cast("int")).sortWithinPartitions(*keys)
-            rows = _worked(rows, work, added) if work else rows
+        counts = waves.groupBy("_wave").agg(F.count("*").alias("rows"), F.count_distinct(CHUNK).alias("chunks")).orderBy("_wave").collect()
+        for w in counts:
+            own = waves.filter(F.col("_wave") == w["_wave"]).drop("_wave")
+            places = own.agg(F.array_sort(F.collect_set(CHUNK)).alias("_all")).select(F.posexplode("_all").alias("_place", "_chunk"))
+            rows = own.join(F.broadcast(places), F.col(CHUNK) == F.col("_chunk")).repartitionById(w["chunks"], F.col("_place"))
+            rows = rows.select(*todo.columns).sortWithinPartitions(*keys)
+            rows = _worked(rows, work, added, failed) if work else rows
             rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", 0).parquet(path)
     finally:
         fs, at = _hadoop(spark, staged)
         fs.delete(at, True)
-    if work:
-        _raise_failed(spark, path)
-    return (finished(spark, path).count() if _files(spark, path) else 0) - before
+    now, bad = finished(spark, path), failed.value
+    written = (0 if now is None else now.count()) - before
+    if bad:
+        told = "; ".join(f"chunk {c}: {bad[c][1]}" for c in sorted(bad)[:10])
+        raise ChunksFailed(f"{len(bad)} chunks failed: {told}")
+    if written != (asked := sum(w["rows"] for w in counts)):
+        raise RuntimeError(f"{written} rows of {asked} were written to {path}")
+    return written
 
 
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
-def _raise_failed(spark: SparkSession, path: str) -> None:
-    """Take the files of failed chunks away, and raise what they hold."""
-    if not _files(spark, path) or ERROR not in (rows := spark.read.parquet(path)).columns:
-        return
-    bad = rows.filter(F.col(ERROR).isNotNull()).select(CHUNK, ERROR, F.input_file_name().alias("file")).collect()
-    for file in {r["file"] for r in bad}:
-        fs, at = _hadoop(spark, file)
-        fs.delete(at, False)
-    if bad:
-        told = "; ".join(f"chunk {r[CHUNK]}: {r[ERROR]}" for r in sorted(bad, key=lambda r: r[CHUNK])[:10])
-        raise ChunksFailed(f"{len(bad)} chunks failed: {told}")

@@ -95,6 +95,65 @@ def test_chunks_of_a_job_have_tasks_of_their_own(spark, rows, tmp_path):
     assert len(by_file) == 15 and {r["k"] for r in by_file} == {1}
 
 
+def most_tasks(spark, group):
+    """Tasks of the largest stage that ran in a job group."""
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds]
+    return max(s.numCompletedTasks for s in stages if s)
+
+
+def test_only_chunks_that_are_to_be_done_have_tasks(spark, rows, tmp_path):
+    (log := tmp_path / "log").mkdir()
+    at = f"file://{tmp_path}/out"
+    with pytest.raises(chunks.ChunksFailed, match="chunk 39: RuntimeError"):
+        plugins.complete_chunks(rows.filter("id < 80"), counted(log, fail="p78"), at, "id", chunk=2)
+    spark.sparkContext.setJobGroup("again", "a run for one chunk of forty")
+    try:
+        done = plugins.complete_chunks(rows.filter("id < 80"), counted(log), at, "id", chunk=2).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["id"] for r in done) == list(range(80)) and most_tasks(spark, "again") <= 4
+
+
+def test_a_chunk_that_fails_writes_nothing(spark, rows, tmp_path):
+    """All chunks fail, the first too; the table that they leave is empty, and a later run fills it."""
+    (log := tmp_path / "log").mkdir()
+    at = f"file://{tmp_path}/out"
+
+    def none(prompts):
+        raise RuntimeError("away")
+
+    with pytest.raises(chunks.ChunksFailed, match="10 chunks failed: chunk 0: RuntimeError: away; chunk 1: "):
+        plugins.complete_chunks(rows, none, at, "id", chunk=10)
+    left = chunks.finished(spark, at)
+    assert left is None or left.count() == 0
+    done = plugins.complete_chunks(rows, counted(log), at, "id", chunk=10)
+    assert sorted((r["id"], r["chunk_id"], r["completion"]) for r in done.collect()) == [(i, i // 10, f"<p{i}>") for i in range(100)]
+    assert set(calls(log).values()) == {1} and "_error" not in spark.read.parquet(at).columns
+
+
+def test_small_files_are_read_together(spark, rows, tmp_path):
+    at = f"file://{tmp_path}/out"
+    chunks.resume_append(rows, at, "id", 2)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert spark.read.parquet(at).rdd.getNumPartitions() == 50 and chunks.finished(spark, at).rdd.getNumPartitions() == 4
+        assert sorted(r["id"] for r in chunks.finished(spark, at).collect()) == list(range(100))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_workers_freeze_what_they_have_imported(spark, rows, tmp_path):
+    def run(prompts):
+        import gc
+
+        return [str(gc.get_freeze_count()) for _ in prompts]
+
+    done = plugins.complete_chunks(rows, run, f"file://{tmp_path}/out", "id", chunk=10)
+    assert all(int(r["completion"]) > 0 for r in done.collect())
+
+
 def test_wrong_number_of_results(spark, rows, tmp_path):
     with pytest.raises(chunks.ChunksFailed, match="9 results for 10 rows"):
         plugins.complete_chunks(rows, lambda p: p[1:], f"file://{tmp_path}/out", "id", chunk=10)
